@@ -11,6 +11,7 @@ gives an empty result and an even map. Null text has size 1 and the crc of no by
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -141,7 +142,7 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> D
     """All documents in shards 0 to 15 of near equal bytes; ``slot`` is the place in the shard."""
     recs = cut(records(table(spark, sf_dir, "documents")), "slot-records")
     slot_map = fit_map(recs, n_shards)
-    slot_map.save(spark, f"{shared_dir(spark)}/slot-map-{spark.sparkContext.applicationId}-{id(slot_map)}")
+    slot_map.save(spark, f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
     return numbered(assign(recs, slot_map)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version")
     )
