@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from keyloom.llm import mixing, sharding
+from keyloom.llm import minhash, mixing, sharding
 
 QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_virtual_slots": sharding.op6_virtual_slots,
+    "op7_minhash": minhash.op7_minhash,
 }
 
 ORACLE_SQL = {
     "op5_mix": mixing.OP5_SQL,
+    "op7_minhash": minhash.OP7_SQL,
 }
