@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from keyloom.llm import minhash, mixing, sharding
+from keyloom.llm import decontaminate, minhash, mixing, sharding
 
 QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op7_minhash": minhash.op7_minhash,
+    "op9_suffix_array": decontaminate.op9_suffix_array,
 }
 
 ORACLE_SQL = {
     "op5_mix": mixing.OP5_SQL,
     "op7_minhash": minhash.OP7_SQL,
+    "op9_suffix_array": decontaminate.OP9_SQL,
 }
