@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, minhash, mixing, sharding
+from keyloom.llm import decontaminate, embeddings, minhash, mixing, sharding
 
 QUERIES = {
+    "op2_hyperplanes": embeddings.op2_hyperplanes,
     "op5_mix": mixing.op5_mix,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op7_minhash": minhash.op7_minhash,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_hyperplanes": embeddings.OP2_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op7_minhash": minhash.OP7_SQL,
     "op9_suffix_array": decontaminate.OP9_SQL,
