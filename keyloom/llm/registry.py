@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, embeddings, minhash, mixing, sharding
+from keyloom.llm import decontaminate, embeddings, minhash, mixing, sharding, toxicity
 
 QUERIES = {
+    "op1_lexicon": toxicity.op1_lexicon,
     "op2_hyperplanes": embeddings.op2_hyperplanes,
     "op5_mix": mixing.op5_mix,
     "op6_virtual_slots": sharding.op6_virtual_slots,
