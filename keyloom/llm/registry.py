@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, embeddings, minhash, mixing, sharding, toxicity
+from keyloom.llm import decontaminate, embeddings, html_text, minhash, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_lexicon": toxicity.op1_lexicon,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op7_minhash": minhash.op7_minhash,
+    "op8_dom_trees": html_text.op8_dom_trees,
     "op9_suffix_array": decontaminate.op9_suffix_array,
 }
 
@@ -17,5 +18,6 @@ ORACLE_SQL = {
     "op2_hyperplanes": embeddings.OP2_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op7_minhash": minhash.OP7_SQL,
+    "op8_dom_trees": html_text.op8_dom_trees,
     "op9_suffix_array": decontaminate.OP9_SQL,
 }
