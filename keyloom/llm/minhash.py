@@ -6,10 +6,10 @@ into a 64-byte signature. Texts that share a band key are candidates; within a b
 share of equal nibbles, corrected for chance, estimates the similarity. Candidates within
 reach of the threshold are confirmed on the full shingle sets of the whole texts.
 
-Equal sets are collapsed first, so copies cost one row. A large bucket is worked on in
-blocks, first only along a maximum spanning forest of the estimates; what is then still
-apart, yet within reach of the threshold, is confirmed pair by pair. So a group of copies
-of any size costs few pairs, and no link between different texts is lost to a cap.
+Equal sets are collapsed first, so copies cost one row. A bucket is worked on in blocks,
+first only along a maximum spanning forest of the estimates; what is then still apart, yet
+within reach of the threshold, is confirmed pair by pair. So a group of copies of any size
+costs few pairs, and no link between different texts is lost to a cap.
 
 A row without an id is compared with nothing, has no component and is kept. Null, empty
 and wordless texts have no shingles and link with nothing. Ids name one text each.
@@ -34,7 +34,7 @@ MINIMA = ROWS * BANDS
 #: Standard deviations below the threshold at which an estimate is still confirmed.
 REACH = 4.5
 #: Buckets of at most so many texts are confirmed pair by pair at once.
-SMALL = 64
+SMALL = 3
 
 _ODD = np.random.default_rng(5).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.uint64(32)
@@ -111,7 +111,7 @@ def least_estimate(percent: int) -> float:
 
 def _pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
     """Candidate pairs (a, b) of the blocks. apart: all within reach between different components, else along a forest
-    where the bucket is large."""
+    where the bucket has more than SMALL texts."""
     least = least_estimate(percent)
 
     def work(t: pa.Table):
@@ -148,10 +148,8 @@ def _pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
     return map_groups(blocks, ["key", "low", "high"], work, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 x intersection >= percent x union."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = texts.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+def confirm(pairs: DataFrame, held: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (a, b) of texts in ``held`` (doc_id, text) whose full shingle sets have 100 x intersection >= percent x union."""
     both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -187,14 +185,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.groupBy("members", "who").agg(F.min("key").alias("key"))  # buckets of the same texts count once
     members = cut(dealt.join(buckets.select("key", "members"), "key").join(classes.select("rep", "packed"), "rep"), "buckets")
 
-    links = cut(confirm(cut(_pairs(members, percent, False), "pairs"), texts, percent, words), "links")
-    large = members.filter(F.col("members") > SMALL)
-    if not large.isEmpty():
-        found = cut(components(links), "components")
-        known = large.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        more = confirm(cut(_pairs(known, percent, True), "pairs"), texts, percent, words)
-        links = links.unionByName(more)
-    found = components(links)
+    # Only texts that share a bucket go on. Merged, not broadcast: the ids grow with the input.
+    held = texts.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id")
+    held = cut(held.groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
+
+    tried = cut(_pairs(members, percent, False), "pairs")
+    links = cut(confirm(tried, held, percent, words), "links")
+    found = cut(components(links), "components")
+    large = members.filter(F.col("members") > SMALL).join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = _pairs(large, percent, True).join(tried, ["a", "b"], "left_anti")
+    more = confirm(cut(apart, "pairs"), held, percent, words)
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("hi", "lo", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     one = rows.select("doc_id", "n_shingles", "hi", "lo")
     alone = one.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

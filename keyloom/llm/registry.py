@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, embeddings, html_text, minhash, mixing, sharding, toxicity
+from keyloom.llm import decontaminate, embeddings, html_text, licenses, line_chunks, minhash, mixing, preferences, sharding, toxicity
 
 QUERIES = {
     "op1_lexicon": toxicity.op1_lexicon,
     "op2_hyperplanes": embeddings.op2_hyperplanes,
+    "op3_preferences": preferences.op3_preferences,
+    "op4_line_chunks": line_chunks.op4_line_chunks,
     "op5_mix": mixing.op5_mix,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op7_minhash": minhash.op7_minhash,
     "op8_dom_trees": html_text.op8_dom_trees,
     "op9_suffix_array": decontaminate.op9_suffix_array,
+    "op10_patience": licenses.op10_patience,
 }
 
 ORACLE_SQL = {
     "op2_hyperplanes": embeddings.OP2_SQL,
+    "op3_preferences": preferences.OP3_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op7_minhash": minhash.OP7_SQL,
-    "op8_dom_trees": html_text.op8_dom_trees,
     "op9_suffix_array": decontaminate.OP9_SQL,
 }
