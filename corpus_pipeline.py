@@ -1,17 +1,68 @@
-"""The corpus pipeline: documents through toxicity, near duplicates, benchmark leaks, mixing and shards."""
+"""The corpus pipeline: documents through toxicity, near duplicates, benchmark leaks, mixing and shards.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's ``docs``. All but the last return the columns of
+``documents`` as they came, extra columns included.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.llm import decontaminate, minhash, mixing, sharding, toxicity
+from keyloom.llm.store import cut, table
+
+N_SHARDS = 16
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that a model learned from ``labels`` rejects."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id; rows that repeat an id count as one
+    document. Rows without an id stay."""
+    found = minhash.near_duplicates(docs)
+    one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    # Merged, not broadcast: the ids grow with the input, and both sides are dealt by doc_id anyway.
+    kept = one.join(found.filter("kept and doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a window of the benchmark."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: not at all, once, or once for each epoch."""
+    return mixing.repeated(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with ``virtual_slot``, ``shard`` and ``map_version``."""
+    return sharding.sharded(docs, N_SHARDS)
+
 
 #: (name, function of (spark, docs, sf_dir)); each result is written and read again as the next one's docs.
-STAGES: list = []
-#: Learned and hashed stages have no SQL form; tests compare each stage with a brute-force version.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+#: The first stage learns and others hash in ways SQL has no functions for; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages on ``documents``; a stage's result is written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, f"stage-{name}")
     return docs

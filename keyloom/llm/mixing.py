@@ -34,8 +34,16 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count_words(b.column(2), SPACED))], ["doc_id", "source", "size"])
 
     rows = schema.mapInArrow(count, f"doc_id {kind}, source string, size long")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return rows.withColumn("key", key)
+    return rows.withColumn("key", random_key("doc_id", seed))
+
+
+def random_key(id_col: str, seed: str):
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+
+
+def source_number(source_col: str):
+    """Sources are joined by a number, never by a name that may be null."""
+    return F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
 
 
 def weighted_sources(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -65,10 +73,9 @@ def targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
 
 def take(rows: DataFrame, goals: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Adds source_size, target and ``taken``: how many of its words the mix takes, whole epochs included."""
-    # Null-safe: sources are joined by a number, never by a name that may be null.
-    keyed = rows.withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
+    keyed = rows.withColumn("sid", source_number("source"))
     keyed = keyed.withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
-    goals = goals.withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))).select("sid", "source_size", "target")
+    goals = goals.withColumn("sid", source_number("source")).select("sid", "source_size", "target")
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset")).join(goals, "sid")
@@ -78,6 +85,7 @@ def take(rows: DataFrame, goals: DataFrame, buckets: int = BUCKETS) -> DataFrame
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
+    placed = placed.withColumn("epochs", epochs.cast("int"))
     return placed.withColumn("taken", (epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - place))).cast("long"))
 
 
@@ -88,6 +96,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     return take(rows, goals, buckets)
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = SEED) -> DataFrame:
+    """Every row as often as the mix takes it, columns as they were. The one row of a source that the cut goes through
+    is there once more if at least half its words are taken. What a source keeps is told by one row of it: its epochs
+    and the first key that the last epoch leaves out; texts are not shuffled."""
+    rows = cut(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    goals = cut(targets(cut(weighted_sources(rows, weights), "mix-sources"), max_epochs), "mix-targets")
+    mixed = take(rows, goals)
+    out = 2 * (F.col("taken") - F.col("epochs") * F.col("size")) < F.col("size")
+    ends = cut(mixed.groupBy("sid").agg(F.max("epochs").alias("epochs"), F.min(F.when(out, F.col("key"))).alias("end")), "mix-ends")
+    sid, epochs, end, copies = (f"__mix_{c}" for c in ("sid", "epochs", "end", "copies"))
+    ends = ends.select(F.col("sid").alias(sid), F.col("epochs").alias(epochs), F.col("end").alias(end))
+    joined = docs.withColumn(sid, source_number(source_col)).join(ends, sid)
+    last = F.when(F.col(end).isNull() | (random_key(id_col, seed) < F.col(end)), 1).otherwise(0)
+    joined = joined.withColumn(copies, F.least(F.lit(max_epochs), F.col(epochs) + last))
+    return joined.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 over their sources."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

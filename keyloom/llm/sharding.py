@@ -138,11 +138,30 @@ def numbered(sharded: DataFrame) -> DataFrame:
     return sharded.withColumn("place", F.row_number().over(within)).join(F.broadcast(lanes), ["virtual_slot", "lane"]).withColumn("slot", F.col("offset") + F.col("place") - 1)
 
 
+def store_map(spark: SparkSession, slot_map: SlotMap) -> str:
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    slot_map.save(spark, path)
+    return path
+
+
+def sharded(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """Every row with all its columns, and virtual_slot, shard and map_version, which replace any columns of these names.
+    Only slot sums are shuffled; the map of fixed size is broadcast to the rows."""
+    spark = docs.sparkSession
+    slot_map = fit_map(records(docs, id_col, text_col, slots), n_shards, slots)
+    store_map(spark, slot_map)
+    out = docs.drop("virtual_slot", "shard", "map_version")
+    names = out.columns
+    crc = "__slot_crc"
+    out = out.withColumn(crc, F.crc32(F.coalesce(F.col(text_col), F.lit("")))).withColumn("virtual_slot", slot_column(id_col, crc, slots))
+    return assign(out, slot_map).select(*names, "virtual_slot", "shard", F.lit(slot_map.version).alias("map_version"))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFrame:
     """All documents in shards 0 to 15 of near equal bytes; ``slot`` is the place in the shard."""
     recs = cut(records(table(spark, sf_dir, "documents")), "slot-records")
     slot_map = fit_map(recs, n_shards)
-    slot_map.save(spark, f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
+    store_map(spark, slot_map)
     return numbered(assign(recs, slot_map)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version")
     )
