@@ -55,19 +55,3 @@ def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], dict |
             yield from flush(held.combine_chunks())
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
-def forest(rows: Callable[[int], np.ndarray], n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a maximum spanning forest over pairs of at least ``least``; rows(i) gives i's similarity to all."""
-    best, link = np.full(n, -1.0), np.full(n, -1)
-    out, a, b = np.zeros(n, bool), [], []
-    for _ in range(n):
-        i = int(np.argmax(np.where(out, -2.0, best)))
-        if best[i] >= least:
-            a.append(int(link[i]))
-            b.append(i)
-        out[i] = True
-        s = rows(i)
-        better = ~out & (s > best)
-        best[better], link[better] = s[better], i
-    return np.array(a, np.int64), np.array(b, np.int64)

@@ -6,10 +6,10 @@ into a 64-byte signature. Texts that share a band key are candidates; within a b
 share of equal nibbles, corrected for chance, estimates the similarity. Candidates within
 reach of the threshold are confirmed on the full shingle sets of the whole texts.
 
-Equal sets are collapsed first, so copies cost one row. A bucket is worked on in blocks,
-first only along a maximum spanning forest of the estimates; what is then still apart, yet
-within reach of the threshold, is confirmed pair by pair. So a group of copies of any size
-costs few pairs, and no link between different texts is lost to a cap.
+Equal sets are collapsed first, so copies cost one row. A bucket is worked on in blocks of
+bounded size: the texts in reach of another meet there, and of the links a block confirms it
+passes on a spanning forest. So a group of copies of any size yields few rows, and no link
+between different texts is lost to a cap.
 
 A row without an id is compared with nothing, has no component and is kept. Null, empty
 and wordless texts have no shingles and link with nothing. Ids name one text each.
@@ -19,12 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
-from keyloom.llm.groups import forest, in_blocks, map_groups
+from keyloom.llm.groups import SIDE, in_blocks, map_groups
 from keyloom.llm.store import cut, table
 from keyloom.llm.words import SPACED, mix, shingles, slices, split, text_buffers
 
@@ -33,8 +32,9 @@ ROWS, BANDS, BITS = 4, 32, 4
 MINIMA = ROWS * BANDS
 #: Standard deviations below the threshold at which an estimate is still confirmed.
 REACH = 4.5
-#: Buckets of at most so many texts are confirmed pair by pair at once.
-SMALL = 3
+#: Shingles of the texts on one side of a block, about.
+SIDE_SHINGLES = 2_000_000
+BLOCK = ["key", "low", "high"]
 
 _ODD = np.random.default_rng(5).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.uint64(32)
@@ -109,93 +109,85 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - REACH * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
 
 
-def _pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
-    """Candidate pairs (a, b) of the blocks. apart: all within reach between different components, else along a forest
-    where the bucket has more than SMALL texts."""
+def _in_reach(blocks: DataFrame, percent: int) -> DataFrame:
+    """The members of each block that have a partner in it whose estimate is in reach of the threshold."""
     least = least_estimate(percent)
 
     def work(t: pa.Table):
-        ids, part = t.column("rep").to_numpy(), t.column("part").to_numpy()
-        n = len(ids)
-        size, low, high = (t.column(c)[0].as_py() for c in ("members", "low", "high"))
-        sig = np.frombuffer(b"".join(t.column("packed").to_pylist()), np.uint64).reshape(n, -1)
-        comp = t.column("component").to_numpy() if apart else None
-
-        def rows(i: int) -> np.ndarray:
-            s = estimate(sig[i], sig)
-            s[i] = -1
-            if low != high:
-                s[part == part[i]] = -1
-            if apart:
-                s[comp == comp[i]] = -1
-            return s
-
-        if apart or size <= SMALL:
-            a, b = [], []
-            for i in range(n - 1):
-                found = np.flatnonzero(rows(i)[i + 1 :] >= least) + i + 1
-                a.append(np.full(len(found), i))
-                b.append(found)
-            a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-        else:
-            a, b = forest(rows, n, least)
-        if not len(a):
-            return None
-        return {"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}
-
-    columns = ["key", "low", "high", "part", "rep", "members", "packed"] + ["component"] * apart
-    blocks = in_blocks(members, "key", "members", F.col("rep")).select(*columns)
-    return map_groups(blocks, ["key", "low", "high"], work, "a long, b long").distinct()
-
-
-def confirm(pairs: DataFrame, held: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) of texts in ``held`` (doc_id, text) whose full shingle sets have 100 x intersection >= percent x union."""
-    both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+        near = _nearness(t)
+        keep = np.array([(near(i) >= least).any() for i in range(t.num_rows)])
+        return {c: t.column(c).combine_chunks().filter(pa.array(keep)) for c in t.column_names} if keep.any() else None
 
-    def run(batches):
-        for batch in batches:
-            one = [(h[s:e]) for _, bounds, h in sets_of(batch.column(2), words) for s, e in zip(bounds, bounds[1:], strict=False)]
-            keep = np.zeros(batch.num_rows, bool)
-            at = 0
-            for _, bounds, h in sets_of(batch.column(3), words):
-                for s, e in zip(bounds, bounds[1:], strict=False):
-                    x, y = one[at], h[s:e]
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        z = np.concatenate([x, y])
-                        z.sort()
-                        both = int((z[1:] == z[:-1]).sum())
-                        keep[at] = both > 0 and 100 * both >= percent * (len(z) - both)
-                    at += 1
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    return both.mapInArrow(run, "a long, b long")
+    return map_groups(blocks, BLOCK, work, "key long, low int, high int, part int, rep long, packed binary")
+
+
+def _nearness(t: pa.Table):
+    """A function of i: the estimated similarity of member i of a block to all, -1 to itself and, in a block of two parts, to its own part."""
+    part = t.column("part").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("packed").to_pylist()), np.uint64).reshape(len(part), -1)
+    two = t.column("low")[0].as_py() != t.column("high")[0].as_py()
+
+    def near(i: int) -> np.ndarray:
+        s = estimate(sig[i], sig)
+        s[i] = -1
+        if two:
+            s[part == part[i]] = -1
+        return s
+
+    return near
+
+
+def _links(rows: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) confirmed on full sets: of each block a spanning forest of all its links. A member is compared with
+    those no link has reached yet, so what is left apart has been compared in full."""
+    least = least_estimate(percent)
+
+    def work(t: pa.Table):
+        near, ids = _nearness(t), t.column("rep").to_numpy()
+        sets = [h[s:e] for _, bounds, h in sets_of(t.column("text"), words) for s, e in zip(bounds, bounds[1:], strict=False)]
+        size, left, a, b = np.array([len(x) for x in sets]), np.ones(len(ids), bool), [], []
+        for root in range(len(ids)):
+            if not left[root]:
+                continue
+            left[root], queue = False, [root]
+            while queue:
+                i = queue.pop()
+                n = size[i]
+                them = np.flatnonzero(left & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & (near(i) >= least))
+                if not len(them):
+                    continue
+                every = np.concatenate([sets[j] for j in them])
+                found = sets[i][np.minimum(np.searchsorted(sets[i], every), n - 1)] == every
+                both = np.add.reduceat(found.astype(np.int64), np.cumsum(size[them]) - size[them])
+                them = them[100 * both >= percent * (n + size[them] - both)]
+                left[them] = False
+                queue += them.tolist()
+                a.append(np.full(len(them), ids[i]))
+                b.append(ids[them])
+        return {"a": np.concatenate(a), "b": np.concatenate(b)} if a else None
+
+    return map_groups(rows, BLOCK, work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = cut(signatures(docs, id_col, text_col, words), "signatures")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = rows.filter("n_shingles > 0 and doc_id is not null")
-    first = sets.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "bands", "packed")).alias("x"))
-    classes = cut(first.select("hi", "lo", F.col("x.doc_id").alias("rep"), "x.bands", "x.packed"), "classes")
-
-    dealt = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = dealt.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("members > 1")
-    buckets = buckets.groupBy("members", "who").agg(F.min("key").alias("key"))  # buckets of the same texts count once
-    members = cut(dealt.join(buckets.select("key", "members"), "key").join(classes.select("rep", "packed"), "rep"), "buckets")
-
-    # Only texts that share a bucket go on. Merged, not broadcast: the ids grow with the input.
-    held = texts.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id")
-    held = cut(held.groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
-
-    tried = cut(_pairs(members, percent, False), "pairs")
-    links = cut(confirm(tried, held, percent, words), "links")
-    found = cut(components(links), "components")
-    large = members.filter(F.col("members") > SMALL).join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = _pairs(large, percent, True).join(tried, ["a", "b"], "left_anti")
-    more = confirm(cut(apart, "pairs"), held, percent, words)
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    first = sets.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "bands", "packed")).alias("x"), F.min("n_shingles").alias("n"))
+    classes = cut(first.select("hi", "lo", F.col("x.doc_id").alias("rep"), "n", "x.bands", "x.packed"), "classes")
+
+    dealt = classes.select("rep", "n", F.explode("bands").alias("key"))
+    buckets = dealt.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("members > 1")
+    # Buckets of the same texts count once. A side of a block has at most SIDE texts and about SIDE_SHINGLES shingles.
+    buckets = buckets.groupBy("members", "total", "who").agg(F.min("key").alias("key")).withColumn("load", F.greatest("members", F.ceil(F.col("total") * SIDE / SIDE_SHINGLES)))
+    members = dealt.join(buckets.select("key", "load"), "key").join(classes.select("rep", "packed"), "rep")
+    blocks = in_blocks(members, "key", "load", F.col("rep")).select(*BLOCK, "part", "rep", "packed")
+    near = cut(_in_reach(blocks, percent), "in-reach")
+
+    # Only texts in reach of another go on. Merged, not broadcast: the ids grow with the input.
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    held = texts.join(near.select("rep").distinct().hint("merge"), "rep").groupBy("rep").agg(F.min("text").alias("text"))
+    found = components(_links(near.join(held.hint("merge"), "rep"), percent, words))
     named = classes.select("hi", "lo", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     one = rows.select("doc_id", "n_shingles", "hi", "lo")
     alone = one.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
