@@ -1,6 +1,337 @@
-"""The queries over the events and, where SQL can express them, their SQL."""
+"""The queries over the events, one for each operator or small flow, and the SQL they are compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from keyloom.functions import columns as C
+from keyloom.operators import cache, canonical, controllers, inference, labels, metrics, policies, reconcile, taxonomy, training, workload
+from keyloom.operators import features as feat
+from keyloom.plans.sql import SQL
+from keyloom.sources import events as src
+from keyloom.sources.store import shared_dir, written
+from keyloom.streaming import engine
+
+# The model of the demonstration queries, their horizon and end, and the threshold their failures are told by.
+MODEL = src.LogisticModel(0.2, (0.4, -0.1, 0.3, 0.2, -0.4, 0.1, 0.01))
+HORIZON_NS, END_NS = 86_400 * C.NS, canonical.CAMPAIGN[1] * C.NS
+THRESHOLD = 0.95
+CADENCE = policies.Policy("fixed_cadence", cadence=4)
+
+
+def r6(*names: str) -> list:
+    return [C.rounded(F.col(n), 6).alias(n) for n in names]
+
+
+def r9(*names: str) -> list:
+    return [C.rounded(F.col(n), 9).alias(n) for n in names]
+
+
+def _features(s: SparkSession, d: str) -> DataFrame:
+    return feat.vector(src.events(s, d))
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return feat.scored(_features(s, d), MODEL).withColumn("score", C.rounded(F.col("score")))
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return labels.causal_labels(src.events(s, d), HORIZON_NS, END_NS)
+
+
+def _cohort(s: SparkSession, d: str) -> DataFrame:
+    return labels.assign_splits(_labels(s, d))
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    """seq, user_id, event_ts_ns, score, label of every event."""
+    return _scored(s, d).select("seq", "event_ts_ns", F.col("key").alias("user_id"), "score").join(_labels(s, d).select("seq", "label"), "seq")
+
+
+def _examined(s: SparkSession, d: str) -> DataFrame:
+    """The labelled rows of the test split."""
+    kept = _cohort(s, d).filter("split = 'test' and label is not null").select("seq", "label")
+    return _scored(s, d).select("seq", "event_ts_ns", F.col("key").alias("user_id"), "score").join(kept, "seq")
+
+
+def _published(s: SparkSession, d: str) -> DataFrame:
+    return policies.publish(_features(s, d), CADENCE)
+
+
+def _ranked(s: SparkSession, d: str) -> DataFrame:
+    return canonical.dense_index(src.events(s, d), ["seq"], "rank")
+
+
+def _batches(s: SparkSession, d: str) -> DataFrame:
+    """Batches of 100 events with the share of different keys in them as occupancy."""
+    rows = written(_ranked(s, d), "ranked")
+    share = rows.groupBy(F.expr("rank div 100").alias("generation")).agg((F.count_distinct("key").cast("double") / F.count("*")).alias("occupancy"))
+    return controllers.occupancy_ema(controllers.fixed_batches(rows, 100).join(share, "generation"), 0.2)
+
+
+def _trace(s: SparkSession, d: str) -> tuple[DataFrame, tuple]:
+    rows = written(canonical.dense_index(src.events(s, d), ["seq"], "place"), "places")
+    phases = workload.scaled(rows.count())
+    return workload.schedule(rows, phases), phases
+
+
+def _phases(s: SparkSession, d: str):
+    n = src.raw_events(s, d).count()
+    return lambda c: F.expr(f"{c} * 4 div {n}")
+
+
+def _answers(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "key", "query_ts_ns", "cold_start", *cache.META, "event_time_age_ns", "update_staleness", C.rounded(F.col("feature_error"), 3).alias("feature_error"))
+
+
+def top_users(s, d):
+    g = _scored(s, d).groupBy("key").agg(F.count("*").alias("n"), C.rounded(F.avg("score")).alias("mean_score"))
+    best = g.orderBy(F.desc("mean_score"), "key").limit(10)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_score"), "key")))  # ten rows
+
+
+def publish_quota(s, d):
+    rows = _ranked(s, d)
+    n = rows.count()
+    return policies.publish(rows, policies.Policy("quota", quota=n // 5), "rank", n).select("seq", "key", "published", "version_id", "pending")
+
+
+def publish_adaptive(s, d):
+    pressure = F.when(F.expr("seq div 100") % 3 == 1, F.lit(0.85)).otherwise(F.lit(0.10))
+    return policies.publish(src.events(s, d).withColumn("pressure", pressure), policies.Policy("adaptive", cadence=1, cadence_max=16)).select("seq", "key", "published", "version_id", "pending")
+
+
+def _publish(policy: policies.Policy):
+    return lambda s, d: policies.publish(src.events(s, d), policy).select("seq", "key", "published", "version_id", "pending")
+
+
+def publication_accounting(s, d):
+    p = written(_published(s, d), "published")
+    return policies.accounting(p, cache.query_final(src.queries(s, d), p))
+
+
+def query_phase_end(s, d):
+    phase = _phases(s, d)
+    return _answers(cache.query_phase_end(src.queries(s, d), _published(s, d), phase("query_id"), phase("seq")))
+
+
+def reconcile_status(s, d):
+    """A cohort against predictions that were spoiled in each of the ways that must be found."""
+    cohort = _cohort(s, d).filter("split = 'test'").select("seq", "user_id", "label")
+    p = cohort.filter("seq % 101 != 0").withColumn("score", F.when(F.expr("seq % 97 = 0"), F.lit(1.5)).otherwise(F.lit(0.5))).withColumn("label", F.when(F.expr("seq % 89 = 0"), 1 - F.col("label")).otherwise(F.col("label")))
+    spoiled = p.withColumn("user_id", F.when(F.expr("seq % 83 = 0"), F.col("user_id") + 1).otherwise(F.col("user_id")))
+    return reconcile.reconcile(cohort, spoiled.unionByName(p.filter("seq % 103 = 0")).unionByName(p.filter("seq % 107 = 0").withColumn("seq", F.col("seq") + 1_000_000_000)))
+
+
+def holm(s, d):
+    h = src.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("family"), (((F.col("n_nationkey") * 7) % 25 + 1).cast("double") / 500.0).alias("p"))
+    return metrics.holm(h, by=("family",))
+
+
+def ema_kernel_weights(s, d):
+    alpha = F.lit(0.02) + F.lit(0.28) * ((F.col("item_id") % 10).cast("double") / 10.0)
+    g = src.events(s, d).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", alpha.alias("a")))).alias("x"))
+    g = g.select("key", F.transform("x", lambda x: x["a"]).alias("alphas"))
+    return g.select("key", F.posexplode(feat.kernel_weights()).alias("i", "weight")).select("key", "i", *r9("weight"))
+
+
+def ema_response(s, d):
+    grid = s.range(19 * 16).select(((F.expr("id div 16") + 1) / 20.0).alias("alpha"), (F.col("id") % 16 * F.lit(3.141592653589793) / 16.0).alias("omega"))
+    r = C.ema_response(F.col("alpha"), F.col("omega"))
+    one = grid.select("alpha", "omega", r["real"].alias("re"), r["imag"].alias("im"), r["group_delay"].alias("group_delay"), C.variance_equivalent_span(F.col("alpha")).alias("span"))
+    return one.select("alpha", *r6("omega", "re", "im", "group_delay"), "span")
+
+
+def stream_features(s, d):
+    """The stream in four files, one a micro-batch, features and publications as in batch."""
+    base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    rows = src.events(s, d)
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    for k in range(4):  # files are read in the order in which they appear
+        rows.filter(F.expr(f"seq * 4 div {last + 1} = {k}")).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    out = engine.replay(engine.feature_stream(engine.event_stream(s, f"{base}/events"), MODEL, feat.ALPHA, 4), f"{base}/out", f"{base}/checkpoint")
+    return out.select("seq", "key", *r6(*C.FEATURES), "published", "version_id", "pending")
+
+
+def streaming_metrics(s, d):
+    raw = src.raw_events(s, d)
+    q = raw.filter("behavior is null").select(F.col("event_ts_ns").alias("query_ts_ns"), (F.col("event_ts_ns") - F.col("seq") % 7 * 1_000_000).alias("feature_ts_ns"), (F.col("seq") % 11).cast("double").alias("latency_ms"))
+    valid = F.col("behavior").isNotNull()
+    summary = raw.agg(F.count_if(valid).alias("events_processed"), F.count_if(valid & (F.col("seq") % 4 == 0)).alias("writes_emitted"), F.count_if(valid & (F.col("seq") % 4 != 0)).alias("events_absorbed"), F.count_if(~valid).alias("queries_offered"), F.count_if(~valid).alias("queries_answered"))
+    out = reconcile.streaming_metrics(summary, q, 8.0)
+    return out.select("coverage", "write_work_ratio", "conserved", "n_queries", *r9("mean_staleness_ms"), "max_staleness_ms", *r9("deadline_utility"))
+
+
+def temporal_leaks(s, d):
+    q = src.raw_events(s, d).filter("behavior is null")
+    return reconcile.leaks(q.select(F.col("seq").cast("string").alias("query_id"), F.col("event_ts_ns").alias("query_ts_ns"), F.when(F.col("seq") % 13 == 0, F.col("event_ts_ns") + 1_000_000).when(F.col("seq") % 5 == 0, F.lit(None)).otherwise(F.col("event_ts_ns") - 5).alias("feature_ts_ns")))
+
+
+def mean_scores(s, d):
+    runs = _scored(s, d).select(F.col("seq").cast("string").alias("sample_id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda r: F.col("score") * (1 + r * F.lit(0.01)))).alias("score"))
+    return src.mean_scores(runs).select("sample_id", *r9("score"), "n_runs")
+
+
+def pressure_maps(s, d):
+    p = s.range(-4, 25).select((F.col("id") / 20.0).alias("pressure"))
+    return p.select("pressure", C.cadence(F.col("pressure"), 1, 16).alias("cadence"), C.alpha_of(F.col("pressure")).alias("alpha"))
+
+
+def loss_gap_summary(s, d):
+    return metrics.loss_gap(_labelled(s, d).withColumn("base", F.lit(0.3)), "score", "base").select("n", *r6("mean_gap", "p95_gap", "max_gap"))
+
+
+def phase_telemetry(s, d):
+    trace, _ = _trace(s, d)
+    rows = policies.publish(trace, policies.Policy("fixed_cadence", cadence=5))
+    out = workload.phase_telemetry(rows)
+    return out.select("phase", "events", "publications", "coalesced", *r9("mean_staleness"), "max_staleness", *r9("p95_staleness"), "conserved")
+
+
+def policy_suite(s, d):
+    g = workload.suite(_trace(s, d)[0]).groupBy("config", "phase").agg(F.count("*").alias("events"), F.count_if("published").alias("publications"), F.avg("pending").alias("mean_staleness"))
+    return g.select("config", "phase", "events", "publications", *r9("mean_staleness"))
+
+
+def policy_signatures(s, d):
+    rn = src.events(s, d).select(F.row_number().over(feat.w_key()).alias("rn")).select("rn", F.explode(F.array(F.lit(1), F.lit(4), F.lit(9))).alias("cadence"))
+    return inference.signatures(rn.select("cadence", F.when(F.col("rn") % F.col("cadence") == 0, 1).otherwise(0).alias("publications"), (F.col("rn") % F.col("cadence")).alias("staleness")), "cadence", ["publications", "staleness"])
+
+
+def budget_match(s, d):
+    """The number a cadence of five publishes, as a quota: publications agree to the event."""
+    rows = written(_ranked(s, d), "ranked")
+    a = policies.publish(rows, policies.Policy("fixed_cadence", cadence=5))
+    n = rows.count()
+    quota = a.filter("published").count()
+    return workload.budget_match(a, policies.publish(rows, policies.Policy("quota", quota=quota), "rank", n))
+
+
+def factorial_effects(s, d):
+    rows = feat.gaps(src.events(s, d)).select((F.col("seq") % 2).alias("a"), (F.col("item_id") % 2).alias("b"), "gap_s")
+    return inference.factorial_effects(rows, "a", "b", "gap_s").select(*r6("m00", "m10", "m01", "m11", "effect_a", "effect_b", "synergy"))
+
+
+def diagnostic_replay(s, d):
+    """Recomputed features against emitted ones of which some were changed: the changed ones are found, and no other."""
+    ours = written(_features(s, d).select("seq", *C.FEATURES), "features")
+    emitted = ours.withColumn("x0", F.when(F.col("seq") % 211 == 0, F.col("x0") + F.lit(1e-3)).otherwise(F.col("x0")))
+    return reconcile.differences(ours, emitted, "seq", list(C.FEATURES)).select("seq", "column", *r6("a", "b"))
+
+
+def paired_sign_flip(s, d):
+    pairs = _labelled(s, d).filter("label is not null").select((F.col("seq") % 7).alias("group_id"), ((F.col("score") - F.col("label")) * (F.col("score") - F.col("label")) - (F.lit(0.8) - F.col("label")) * (F.lit(0.8) - F.col("label"))).alias("d"))
+    return inference.sign_flip(inference.group_sums(pairs)).select("n_clusters", *r9("mean_difference"), "p_value", "exact")
+
+
+def cluster_bootstrap(s, d):
+    pairs = _labelled(s, d).filter("label is not null").select((F.col("seq") % 29).alias("group_id"), ((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))).alias("d"))
+    return inference.bootstrap(inference.group_sums(pairs))
+
+
+def train_logistic(s, d):
+    """Weights fitted on the train split, beside those that know only the prior or x0."""
+    cohort, features = written(_cohort(s, d), "cohort"), written(_features(s, d), "features")
+    rows = training.examples(features, cohort)
+    model, history = training.fit(rows)
+    base, one = training.prior(rows), training.fit(training.examples(features, cohort, columns=("x0",)))[0]
+    pad = lambda m: (*m.weights, *(0.0,) * (7 - len(m.weights)))
+    table = [("logistic", model.bias, *pad(model), len(history)), ("x0_only", one.bias, *pad(one), 0), ("prior", base.bias, *pad(base), 0)]
+    return s.createDataFrame(table, "model string, bias double, " + ", ".join(f"w{i} double" for i in range(7)) + ", iterations int")
+
+
+def workload_queries(s, d):
+    trace, phases = _trace(s, d)
+    return workload.phase_queries(trace, phases)
+
+
+def cyclic_padding(s, d):
+    rows = written(_ranked(s, d), "ranked")
+    return workload.cyclic(rows, rows.count() * 5 // 2).select("place", "seq", "key")
+
+
+def holdout_taxonomy(s, d):
+    return taxonomy.prevalence(taxonomy.classify(taxonomy.recency(_examined(s, d)), THRESHOLD))
+
+
+
+QUERIES = {
+    "canonical_events": lambda s, d: canonical.canonical(src.raw_events(s, d)),
+    "exclusion_ledger": lambda s, d: canonical.ledger(src.raw_events(s, d)),
+    "behavior_profile": lambda s, d: canonical.behaviour_profile(src.events(s, d)),
+    "data_profile": lambda s, d: canonical.data_profile(src.raw_events(s, d)),
+    "event_order_violations": lambda s, d: canonical.order_violations(src.events(s, d)),
+    "key_budget": lambda s, d: canonical.key_budget(src.events(s, d), 1_000_000),
+    "keyed_counts": lambda s, d: feat.counts(src.events(s, d)).select("seq", "key", "pv", "cart_fav", "buy", "n"),
+    "gap_feature": lambda s, d: feat.gaps(src.events(s, d)).select("seq", "key", "gap_s"),
+    "engagement_ema": lambda s, d: _features(s, d).select("seq", "key", F.col("x0").alias("engagement_ema")),
+    "gap_ema": lambda s, d: _features(s, d).select("seq", "key", F.col("x6").alias("gap_ema")),
+    "feature_vector": lambda s, d: _features(s, d).select("seq", "key", *r6(*C.FEATURES)),
+    "logistic_score": lambda s, d: _scored(s, d).select("seq", "key", "score"),
+    "top_users": top_users,
+    "causal_labels": _labels,
+    "label_manifest": lambda s, d: labels.manifest(_labels(s, d)),
+    "cohort_splits": _cohort,
+    "evaluated_cohort": lambda s, d: labels.evaluated_only(_cohort(s, d)).select("seq", "split", "group_id", "label"),
+    "split_summary": lambda s, d: labels.split_summary(_cohort(s, d)),
+    "test_groups": lambda s, d: labels.group_counts(_cohort(s, d)),
+    "ood_users": lambda s, d: _cohort(s, d).filter("split = 'ood'").groupBy("user_id").agg(F.count("*").alias("n")),
+    "ood_overlaps": lambda s, d: labels.overlaps(_cohort(s, d)),
+    "publish_exact_fresh": _publish(policies.Policy("exact_fresh")),
+    "publish_cadence": _publish(CADENCE),
+    "publish_elapsed": _publish(policies.Policy("elapsed", elapsed_ns=HORIZON_NS)),
+    "publish_adaptive": publish_adaptive,
+    "publish_quota": publish_quota,
+    "cache_versions": lambda s, d: cache.versions(_published(s, d)).select("key", *cache.META, *r6(*C.FEATURES)),
+    "cache_latest": lambda s, d: cache.latest(cache.versions(_published(s, d))).select("key", *cache.META, *r6(*C.FEATURES)),
+    "query_final_state": lambda s, d: _answers(cache.query_final(src.queries(s, d), _published(s, d))),
+    "query_asof_before": lambda s, d: _answers(cache.query_asof(src.queries(s, d), _published(s, d))),
+    "query_phase_end": query_phase_end,
+    "publication_accounting": publication_accounting,
+    "auroc_ap": lambda s, d: metrics.ranking(_labelled(s, d)).select("n", *r9("auroc", "ap")),
+    "ap_untied": lambda s, d: metrics.ap_untied(_labelled(s, d), "seq").select(*r9("ap")),
+    "proper_scores": lambda s, d: metrics.proper_scores(_labelled(s, d), 0.8).select("n", *r9("accuracy", "f1", "brier", "log_loss")),
+    "reliability_curve": lambda s, d: metrics.reliability(_labelled(s, d)).select("bin", "n", *r9("mean_score", "observed")),
+    "loss_gap_summary": loss_gap_summary,
+    "metric_summary": lambda s, d: metrics.summary(feat.gaps(src.events(s, d)), "gap_s", ("behavior_code",)).select("behavior_code", "n", *r6("mean", "std", "min", "max", "p50", "p95", "p99", "cv")),
+    "upper_medians": lambda s, d: metrics.upper_median(feat.gaps(src.events(s, d)), "gap_s", ("behavior_code",)),
+    "line_fit": lambda s, d: metrics.line_fit(feat.gaps(src.events(s, d)).groupBy("key").agg(F.count("*").alias("k"), F.sum("gap_s").alias("total")), "k", "total").select(*r6("slope", "intercept"), "n"),
+    "holm": holm,
+    "ema_kernel_weights": ema_kernel_weights,
+    "ema_response": ema_response,
+    "reconcile_status": reconcile_status,
+    "dispositions": lambda s, d: reconcile.dispositions(src.raw_events(s, d), "behavior"),
+    "diagnostic_replay": diagnostic_replay,
+    "streaming_metrics": streaming_metrics,
+    "temporal_leaks": temporal_leaks,
+    "mean_scores": mean_scores,
+    "burst_count": lambda s, d: taxonomy.recency(_cohort(s, d).filter("split = 'test'")).select("seq", "user_id", "burst", "prior", "gap_s"),
+    "failure_taxonomy": holdout_taxonomy,
+    "activity_terciles": lambda s, d: taxonomy.by_tier(_examined(s, d)).select("tier", "n", *r9("auroc", "ap")),
+    "fixed_batches": lambda s, d: controllers.fixed_batches(_ranked(s, d), 100),
+    "occupancy_ema": lambda s, d: _batches(s, d).select("generation", "occupancy", "occupancy_ema"),
+    "alpha_slew": lambda s, d: controllers.alpha_slew(_batches(s, d), pressure="occupancy_ema").select("generation", *r9("alpha")),
+    "mimd_batches": lambda s, d: controllers.batch_sizes(_batches(s, d), pressure="occupancy_ema").select("generation", "batch_target"),
+    "controller_actions": lambda s, d: controllers.controller_actions(src.events(s, d), "behavior_code", "seq", ("key",)),
+    "pressure_maps": pressure_maps,
+    "tune_static_cadence": lambda s, d: policies.tune_cadence(src.events(s, d)),
+    "actuator_grid": lambda s, d: workload.grid(src.events(s, d)),
+    "workload_trace": lambda s, d: _trace(s, d)[0].select("place", "seq", "key", "phase", "phase_idx", "t_sched_ns"),
+    "workload_queries": workload_queries,
+    "phase_telemetry": phase_telemetry,
+    "policy_suite": policy_suite,
+    "policy_signatures": policy_signatures,
+    "budget_match": budget_match,
+    "cyclic_padding": cyclic_padding,
+    "factorial_effects": factorial_effects,
+    "paired_sign_flip": paired_sign_flip,
+    "cluster_bootstrap": cluster_bootstrap,
+    "train_logistic": train_logistic,
+    "hourly_counts": lambda s, d: engine.hourly(src.events(s, d)),
+    "stream_features_batch_parity": stream_features,
+}
+
+ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}
