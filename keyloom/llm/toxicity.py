@@ -59,7 +59,8 @@ EXCEPTIONS = (" trash can ", " trash bin ", " trash collection ", " clown fish "
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _FOREIGN = re.compile("[ɐ-ʯͰ-ԯℓı]")
-_MIXED = re.compile(r"(?:[^\W\d_]+[0134578@$]+|[0134578@$]+[^\W\d_]+)[\w@$]*")
+# From the first letter or sign of a run only, and without going back, so that long runs cost no more than their length.
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0134578@$]++[\w@$]*+|(?<![\w@$])[0134578@$]++[^\W\d_][\w@$]*+")
 _GAPS = re.compile(r"[\W_]+")
 
 
