@@ -1,7 +1,8 @@
 """Line deduplication by content-defined chunks.
 
-A rolling hash over the hashes of two successive lines decides where a chunk of lines ends,
-so boundaries depend on the lines around them alone and a shift elsewhere moves none. Chunks
+A rolling hash over the hashes of two successive lines is taken at every line, and a chunk of
+lines ends where it has a local minimum, so boundaries depend on the lines around them alone
+and a shift elsewhere moves none. Chunks
 of at least two lines that occur anywhere else in the corpus are repeats: the first place
 (by id, then place in the text) keeps it, all others lose it. Before that the bytes of all
 chunks of one hash are compared, and where they differ none of them is touched.
@@ -25,21 +26,21 @@ from keyloom.llm.words import _BASE, _BYTE_VALUE, _class, _power, mix, slices, s
 _U = np.uint64
 #: A line feed (or carriage return) ends a line.
 LINES = _class([(0x0A, 0x0A), (0x0D, 0x0D)], False)
-#: One pair of lines in so many ends a chunk.
-MEAN_LINES = 4
 LEAST_LINES = 2
 
 
-def chunk_ends(hashes: np.ndarray, text: np.ndarray, mean: int = MEAN_LINES) -> np.ndarray:
-    """Whether each line is the last of its chunk: where the rolling hash of it and the line before says so, unless it
-    said so one line earlier too; and at the end of a text."""
+def chunk_ends(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether each line is the last of its chunk: where the rolling hash of it and the line before is less than those at
+    the lines around it, or the text ends. Two such lines never touch, so a chunk has two lines at least, about three on
+    average, and hardly ever many."""
     n = len(hashes)
-    says = np.zeros(n, bool)
-    says[1:] = (mix(hashes[:-1] * _U(0xD6E8FEB86659FD93) + hashes[1:]) % _U(mean) == 0) & (text[1:] == text[:-1])
-    ends = says.copy()
-    ends[1:] &= ~says[:-1]
+    ends = np.zeros(n, bool)
+    same = text[1:] == text[:-1]
+    roll = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    roll[1:][same] = mix(hashes[:-1] * _U(0xD6E8FEB86659FD93) + hashes[1:])[same]
+    ends[1:-1] = (roll[1:-1] < roll[:-2]) & (roll[1:-1] <= roll[2:]) & same[:-1] & same[1:]
     ends[-1:] = True
-    ends[:-1] |= text[1:] != text[:-1]
+    ends[:-1] |= ~same
     return ends
 
 
