@@ -51,7 +51,7 @@ class SlotMap:
     shards: tuple[int, ...]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, s, x) for s, x in enumerate(self.shards)], "version int, virtual_slot int, shard int")
+        return spark.createDataFrame([(self.version, self.n_shards, s, x) for s, x in enumerate(self.shards)], "version int, n_shards int, virtual_slot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Adds this version below ``path``; a version is never overwritten."""
@@ -60,13 +60,12 @@ class SlotMap:
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """The newest version, or the one asked for."""
-        rows = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+        rows = spark.read.schema("n_shards int, virtual_slot int, shard int, version int").parquet(path)
         version = rows.agg(F.max("version")).first()[0] if version is None else version
         got = rows.filter(F.col("version") == version).orderBy("virtual_slot").collect()
         if not got:
             raise ValueError(f"no slot map version {version} in {path}")
-        shards = tuple(r["shard"] for r in got)
-        return SlotMap(version, max(shards) + 1, shards)
+        return SlotMap(version, got[0]["n_shards"], tuple(r["shard"] for r in got))
 
 
 def build_map(stats: dict[int, int], n_shards: int, slots: int = SLOTS, version: int = 1) -> SlotMap:
@@ -106,9 +105,11 @@ def rebalance(old: SlotMap, stats: dict[int, int], n_shards: int | None = None,
 
     moved = []
     for k in range(n):
-        for s in sorted(slots[k], key=lambda s: (stats.get(s, 0), s)):
-            if load[k] - stats.get(s, 0) < mean or load[k] <= mean * (1 + tolerance):
-                break
+        if load[k] <= mean * (1 + tolerance):
+            continue
+        for s in sorted(slots[k], key=lambda s: (-stats.get(s, 0), s)):
+            if load[k] - stats.get(s, 0) < mean or not stats.get(s, 0):
+                continue
             load[k] -= stats.get(s, 0)
             moved.append((k, s))
     gone = {s for _, s in moved}
@@ -121,7 +122,7 @@ def rebalance(old: SlotMap, stats: dict[int, int], n_shards: int | None = None,
 
 def assign(recs: DataFrame, slot_map: SlotMap) -> DataFrame:
     """Adds ``shard``. The map is broadcast: it has as many rows as there are slots, whatever the data."""
-    return recs.join(F.broadcast(slot_map.frame(recs.sparkSession).drop("version")), "virtual_slot")
+    return recs.join(F.broadcast(slot_map.frame(recs.sparkSession).select("virtual_slot", "shard")), "virtual_slot")
 
 
 def fit_map(recs: DataFrame, n_shards: int, slots: int = SLOTS) -> SlotMap:
