@@ -103,7 +103,7 @@ def test_minhash(spark, docs, wide):
     got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(wide).collect())
     words = LONG.split()
     long = len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
-    assert got == [(-1, 0, None, True), (-1, 9, None, True), (1, 9, 1, True), (1, 9, 1, True), (2, 9, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 1, 6, True), (7, long, 7, True), (8, long, 7, False), (9, 2, 9, True)]
+    assert got == [(-1, 0, None, True), (-1, 10, None, True), (1, 10, 1, True), (1, 10, 1, True), (2, 10, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 1, 6, True), (7, long, 7, True), (8, long, 7, False), (9, 5, 9, True)]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
