@@ -15,8 +15,8 @@ FIVE = ["event_ts_ns", "key", "item_id", "category_id", "behavior"]
 
 def with_reason(raw: DataFrame, campaign: tuple[int, int] = CAMPAIGN) -> DataFrame:
     """Adds ``reason``, null for events inside the campaign and the domain; bounds are inclusive."""
-    s = F.col("event_ts_ns") / NS
-    reason = F.when(F.col("behavior").isNull(), "domain").when(F.col("event_ts_ns") < 0, "negative").when(s < campaign[0], "before").when(F.col("event_ts_ns") > campaign[1] * NS, "after")
+    t = F.col("event_ts_ns")  # compared as whole nanoseconds: doubles cannot tell neighbours apart
+    reason = F.when(F.col("behavior").isNull(), "domain").when(t < 0, "negative").when(t < campaign[0] * NS, "before").when(t > campaign[1] * NS, "after")
     return raw.withColumn("reason", reason)
 
 
