@@ -51,7 +51,7 @@ LOOK_ALIKES = str.maketrans(
     "aeopcyxijsdhlqwbkmhtzabeikvoptuxynwagil",
 )
 # Digits and signs and the letters they stand for inside a word.
-STAND_INS = str.maketrans("0134578@$", "oieastba" + "s")
+STAND_INS = str.maketrans("0134578@$", "oieastbas")
 # A small lexicon for use without labels.
 BUILT_IN = dict.fromkeys((" idiot ", " stupid ", " moron ", " scum ", " worthless ", " pathetic ", " disgusting ", " loser "), 3.0)
 # Phrases in which a word of the lexicon is harmless.
