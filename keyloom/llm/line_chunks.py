@@ -1,20 +1,24 @@
-"""Line deduplication by content-defined chunks.
-
-A rolling hash over the hashes of two successive lines is taken at every line, and a chunk of
-lines ends where it has a local minimum, so boundaries depend on the lines around them alone
-and a shift elsewhere moves none. Chunks
-of at least two lines that occur anywhere else in the corpus are repeats: the first place
-(by id, then place in the text) keeps it, all others lose it. Before that the bytes of all
-chunks of one hash are compared, and where they differ none of them is touched.
-
-Hashes are counted with partial sums, so a passage that a third of the corpus shares meets
-as counts, never as rows in one task. Blank lines belong to the chunk around them. Rows
-that are equal in id and text are alike and keep and lose the same chunks. Null and empty
-texts have no lines; null stays null.
+"""Line deduplication by repeated passages of lines.
+
+The smallest passage is two successive lines. A rolling hash over them is taken at every line, so
+every passage of two lines or more that occurs twice is found whole, wherever it stands and
+whatever is around it: all of its windows of two lines repeat, those over its first and last
+lines too. The first place of a window (by id, then place in the text) keeps it; at all others
+its lines go, so a longer passage goes line by line up to where the texts differ. Before that
+the bytes of all windows of one hash are compared (by their SHA-256), and where they differ none
+of them is touched. A window that overlaps its own first place, as in three equal lines, is no
+repeat. A single line that repeats between different lines stays.
+
+Windows are counted with partial aggregates, so a passage that a third of the corpus shares meets
+as counts, and the join back to its places is one that adaptive execution may split. Blank lines
+between the lines of a window belong to it. Rows that are equal in id and text are one place and
+keep and lose the same lines. Null and empty texts have no lines; null stays null.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +36,8 @@ LEAST_LINES = 2
 def chunk_ends(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Whether each line is the last of its chunk: where the rolling hash of it and the line before is less than those at
     the lines around it, or the text ends. Two such lines never touch, so a chunk has two lines at least, about three on
-    average, and hardly ever many."""
+    average, and hardly ever many. For chunks that do not overlap; a repeat of a few lines may hold no whole chunk, so repeats
+    are not told by them."""
     n = len(hashes)
     ends = np.zeros(n, bool)
     same = text[1:] == text[:-1]
@@ -44,60 +49,62 @@ def chunk_ends(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _chunks(column: pa.Array):
-    """(text, first line, lines, first byte, end, hi, lo) of the chunks of a column, as arrays; bytes count from the column's start."""
+def _lines(column: pa.Array):
+    """(start, end, bounds, hi, lo) of the lines of a column, offsets and data. Lines of text i are bounds[i] .. bounds[i+1]-1, bytes count
+    from the column's start, and hi and lo are the hash of each line and the next, where the text has a next."""
     offsets, data = text_buffers(column)
-    parts = []
+    starts, ends, counts, his, los = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     for a, b in slices(offsets):
         w = split(data, offsets[a : b + 1], LINES)
-        if not len(w.starts):
-            continue
-        last = np.flatnonzero(chunk_ends(w.hashes, w.text))
-        first = np.append(0, last[:-1] + 1)
         base = int(offsets[a])
         piece = data[base : int(offsets[b])]
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[piece] * _power(_BASE, len(piece), "up"), out=total[1:])
-        start, end = w.starts[first], w.ends[last]
         back = _power(pow(_BASE, -1, 2**64), len(piece) + 1, "down")
-        hi = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-        lo = mix(np.add.reduceat(w.hashes * (np.arange(len(w.hashes)) - np.repeat(first, last - first + 1) + 1).astype(np.uint64), first))
-        parts.append((w.text[first] + a, first - w.bounds[w.text[first]], last - first + 1, start + base, end + base, hi.view(np.int64), lo.view(np.int64)))
-    if not parts:
-        return [np.zeros(0, np.int64)] * 7, offsets, data
-    return [np.concatenate(x) for x in zip(*parts, strict=True)], offsets, data
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """One row for each chunk of LEAST_LINES lines or more of ``docs`` (rid, doc_id, text): rid, doc_id, first line, first byte within the text, hash."""
+        hi, lo = np.zeros(len(w.starts), np.uint64), np.zeros(len(w.starts), np.uint64)
+        start, end = w.starts[:-1], w.ends[1:]
+        hi[:-1] = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+        lo[:-1] = mix(w.hashes[:-1] * _U(0xD6E8FEB86659FD93) + w.hashes[1:])
+        for to, x in zip((starts, ends, counts, his, los), (w.starts + base, w.ends + base, np.diff(w.bounds), hi, lo), strict=True):
+            to.append(x)
+    bounds = np.append(0, np.cumsum(np.concatenate(counts)))
+    return np.concatenate(starts), np.concatenate(ends), bounds, np.concatenate(his).view(np.int64), np.concatenate(los).view(np.int64), offsets, data
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """One row for each LEAST_LINES successive lines of ``docs`` (rid, doc_id, text): rid, doc_id, first line, hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            (text, line, lines, start, _, hi, lo), offsets, _ = _chunks(b.column(2))
-            many = lines >= LEAST_LINES
-            text, line, lines, start, hi, lo = (x[many] for x in (text, line, lines, start, hi, lo))
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line), pa.array(start - offsets[text]), pa.array(hi), pa.array(lo)], ["rid", "doc_id", "line", "start", "hi", "lo"])
+            _, _, bounds, hi, lo, _, _ = _lines(b.column(2))
+            n = np.diff(bounds)
+            text, line = np.repeat(np.arange(len(n)), n), np.arange(bounds[-1]) - np.repeat(bounds[:-1], n)
+            many = line + LEAST_LINES <= n[text]
+            at = pa.array(text[many])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line[many]), pa.array(hi[many]), pa.array(lo[many])], ["rid", "doc_id", "line", "hi", "lo"])
 
-    return docs.mapInArrow(run, f"rid long, doc_id {kind}, line long, start long, hi long, lo long")
+    return docs.mapInArrow(run, f"rid long, doc_id {kind}, line long, hi long, lo long")
 
 
 def _held_bytes(marked: DataFrame) -> DataFrame:
-    """hi, lo, bytes of the marked chunks of each text (rid, text, marks)."""
+    """hi, lo and the SHA-256 of the bytes of the marked windows of each text (rid, text, marks), those of a batch once."""
 
     def run(batches):
         for b in batches:
-            (text, _, lines, start, end, hi, lo), offsets, data = _chunks(b.column(1))
-            marks = [set(m) for m in b.column(2).to_pylist()]
-            keep = [i for i, (t, s) in enumerate(zip(text.tolist(), (start - offsets[text]).tolist(), strict=True)) if s in marks[t]]
-            yield pa.RecordBatch.from_arrays([pa.array(hi[keep]), pa.array(lo[keep]), pa.array([data[start[i] : end[i]].tobytes() for i in keep], pa.binary())], ["hi", "lo", "held"])
+            start, end, bounds, hi, lo, _, data = _lines(b.column(1))
+            found = set()
+            for i, lines in enumerate(b.column(2).to_pylist()):
+                for k in (int(bounds[i]) + x for x in lines):
+                    found.add((int(hi[k]), int(lo[k]), hashlib.sha256(data[start[k] : end[k + 1]]).digest()))
+            his, los, held = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(held, pa.binary())], ["hi", "lo", "held"])
 
     return marked.select("rid", "text", "marks").mapInArrow(run, "hi long, lo long, held binary")
 
 
 def _without(found: DataFrame) -> DataFrame:
-    """Drops each text's chunks that begin at the bytes in ``cuts``; adds n_lines, n_removed and the new text as ``clean``."""
+    """Drops the lines of each text's windows that begin at the lines in ``cuts``; adds n_lines, n_removed and the new text as ``clean``."""
 
     names = found.columns
 
@@ -105,22 +112,21 @@ def _without(found: DataFrame) -> DataFrame:
         at = {c: k for k, c in enumerate(names)}
         for b in batches:
             texts, cuts = b.column(at["text"]), b.column(at["cuts"])
-            (text, _, lines, start, end, _, _), offsets, data = _chunks(texts)
-            n, removed = np.bincount(text, lines, len(texts)).astype(np.int64), np.zeros(len(texts), np.int64)
+            start, _, bounds, _, _, offsets, data = _lines(texts)
+            n, removed = np.diff(bounds), np.zeros(len(texts), np.int64)
             clean = texts.to_pylist()
-            bounds = np.searchsorted(text, np.arange(len(texts) + 1))
             for i, c in enumerate(cuts.to_pylist()):
                 if not c:
                     continue
-                c, out, last = set(c), [], int(offsets[i])
-                for k in range(bounds[i], bounds[i + 1]):
-                    if int(start[k] - offsets[i]) in c:
-                        out.append(data[last : start[k]].tobytes())
-                        last = int(end[k])
-                        removed[i] += lines[k]
-                        while last < offsets[i + 1] and data[last] in (10, 13):  # with the ends of its last line
-                            last += 1
+                # A line ends where the next one begins: with the line feeds and blank lines after it.
+                begins = np.append(start[bounds[i] : bounds[i + 1]], offsets[i + 1])
+                gone = sorted({x + k for x in c for k in range(LEAST_LINES)})
+                out, last = [], int(offsets[i])
+                for k in gone:
+                    out.append(data[last : begins[k]].tobytes())
+                    last = int(begins[k + 1])
                 out.append(data[last : offsets[i + 1]].tobytes())
+                removed[i] = len(gone)
                 clean[i] = b"".join(out).decode("utf-8").rstrip("\r\n")
             columns = [b.column(at[c]) for c in names if c != "cuts"] + [pa.array(n), pa.array(removed), pa.array(clean, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [c for c in names if c != "cuts"] + ["n_lines", "n_removed", "clean"])
@@ -130,18 +136,20 @@ def _without(found: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, text, n_lines, n_removed and ``clean`` (the text without repeated chunks) of every row."""
+    """rid, doc_id, text, n_lines, n_removed and ``clean`` (the text without repeated passages) of every row."""
     rid = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # Rows alike in id and text count once, so that a repeated row does not lose what it holds once.
-    all_ = cut(chunks(rows).distinct(), "chunks")
-    first = F.min(F.struct("doc_id", "rid", "line", "start")).alias("first")
-    repeats = all_.groupBy("hi", "lo").agg(F.count("*").alias("n"), first).filter("n > 1")
-    seen = cut(all_.join(repeats.hint("merge"), ["hi", "lo"]).select("hi", "lo", "rid", "start", ((F.col("first.rid") == F.col("rid")) & (F.col("first.start") == F.col("start"))).alias("keeps")), "repeats")
+    all_ = cut(windows(rows), "windows")
+    # Rows alike in id and text are one place, so that a repeated row does not lose what it holds once.
+    place = F.struct("doc_id", "rid", "line")
+    repeats = all_.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first.rid != last.rid or first.line != last.line")
+    repeats = repeats.select("hi", "lo", F.col("first.rid").alias("in_rid"), F.col("first.line").alias("at"))
+    keeps = (F.col("rid") == F.col("in_rid")) & F.col("line").between(F.col("at"), F.col("at") + LEAST_LINES - 1)
+    seen = cut(all_.join(repeats.hint("merge"), ["hi", "lo"]).select("hi", "lo", "rid", "line", keeps.alias("keeps")), "repeats")
 
     def marked(where: DataFrame, name: str) -> DataFrame:
         # Merged, not broadcast: the lists grow with the input.
-        return where.groupBy("rid").agg(F.collect_list("start").alias(name)).hint("merge")
+        return where.groupBy("rid").agg(F.collect_set("line").alias(name)).hint("merge")
 
     held = _held_bytes(rows.join(marked(seen, "marks"), "rid"))
     differ = held.groupBy("hi", "lo").agg(F.min("held").alias("a"), F.max("held").alias("b")).filter("a != b").select("hi", "lo")
@@ -150,6 +158,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines taken out of all documents; the cleaned text as its SHA-256."""
+    """Repeated passages of lines taken out of all documents; the cleaned text as its SHA-256."""
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.char_length("clean").cast("long").alias("n_chars_left"), F.sha2(F.col("clean"), 256).alias("clean_sha256"))

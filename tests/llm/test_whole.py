@@ -1,0 +1,51 @@
+"""Operators beside plain versions of the whole job, on inputs where a part of it is easily left out."""
+
+import random
+
+import pytest
+
+from keyloom.llm import line_chunks
+
+
+def plain_dedup(docs):
+    """Every window of two lines but its first place (and what overlaps that) goes; texts in order of id."""
+    first, clean = {}, {}
+    for i, t in sorted(docs):
+        lines = t.split("\n")
+        gone = set()
+        for k in range(len(lines) - 1):
+            at = first.setdefault((lines[k], lines[k + 1]), (i, k))
+            if at not in ((i, k), (i, k - 1)):
+                gone |= {k, k + 1}
+        clean[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return clean
+
+
+def test_line_passages_go_whole(spark):
+    """Passages of 2 to 8 lines between other lines: all of their lines go, but at the first place."""
+    r = random.Random(21)
+    own = lambda: [f"own line {r.random()}" for _ in range(r.randint(1, 4))]
+    passages = [[f"passage {p} line {k}" for k in range(n)] for p, n in enumerate([2, 3, 4, 5, 6, 7, 8] * 6)]
+    docs, kept, first = [], {}, set()
+    for i in range(150):
+        lines, kept[i] = own(), []
+        kept[i] += lines
+        for p in r.sample(range(len(passages)), 2):
+            more = own()
+            lines, kept[i] = lines + passages[p] + more, kept[i] + (passages[p] if p not in first else []) + more
+            first.add(p)
+        docs.append((i, "\n".join(lines)))
+    got = {x["doc_id"]: x for x in line_chunks.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        assert got[i]["clean"].split("\n") == kept[i]
+        assert got[i]["n_removed"] == t.count("\n") + 1 - len(kept[i])
+
+
+@pytest.mark.parametrize("letters", [2, 6, 30])
+def test_line_passages_beside_plain_version(spark, letters):
+    """Lines of few kinds, where repeats overlap each other and themselves."""
+    r = random.Random(letters)
+    docs = [(i, "\n".join(f"line {r.randrange(letters)}" for _ in range(r.randint(1, 12)))) for i in range(60)]
+    expected = plain_dedup(docs)
+    for x in line_chunks.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect():
+        assert [y for y in x["clean"].split("\n") if y] == expected[x["doc_id"]]
