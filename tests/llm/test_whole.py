@@ -1,10 +1,11 @@
 """Operators beside plain versions of the whole job, on inputs where a part of it is easily left out."""
 
 import random
+from collections import Counter
 
 import pytest
 
-from keyloom.llm import line_chunks
+from keyloom.llm import line_chunks, mixing
 
 
 def plain_dedup(docs):
@@ -49,3 +50,22 @@ def test_line_passages_beside_plain_version(spark, letters):
     expected = plain_dedup(docs)
     for x in line_chunks.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect():
         assert [y for y in x["clean"].split("\n") if y] == expected[x["doc_id"]]
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_mixing_without_ids(spark, equal):
+    """Rows without an id are cut among themselves: each source gets its budget to half a row, whole epochs for all."""
+    r = random.Random(23)
+    docs = [(None if k % 3 else k, ("x " * 7 if equal else "x " * r.randint(1, 20) + str(k)).strip(), "abc"[k % 2 + (k % 5 == 0)]) for k in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    mixed = mixing.mix(df).collect()
+    assert Counter((x["doc_id"], x["source"], x["size"]) for x in mixed) == Counter((i, s, len(t.split())) for i, t, s in docs)
+    budget = {x["source"]: int(x["target"] + 0.5) for x in mixed}
+    got = [tuple(x) for x in mixing.repeated(df).collect()]
+    for s in "abc":
+        assert sum(x["taken"] for x in mixed if x["source"] == s) == budget[s]
+        assert abs(sum(len(t.split()) for _, t, q in got if q == s) - budget[s]) <= 10
+        epochs = budget[s] // sum(len(t.split()) for _, t, q in docs if q == s)
+        had, now = Counter(d for d in docs if d[2] == s), Counter(d for d in got if d[2] == s)
+        assert all(epochs * n <= now[d] <= (epochs + 1) * n for d, n in had.items())
+    assert sorted(map(str, got)) == sorted(map(str, map(tuple, mixing.repeated(df.repartition(7)).collect())))
