@@ -60,10 +60,21 @@ def scored(features: DataFrame, model: LogisticModel) -> DataFrame:
 
 def kernel_weights(alphas: str = "alphas") -> Column:
     """Weight of each input in a varying exponential average: alpha_i times the product of the later (1 - alpha_j);
-    the last element is what is left of the initial state."""
+    the last element is what is left of the initial state. For short arrays; ``kernel_rows`` does the same over rows."""
     tail = F.struct(F.lit(1.0).alias("left"), F.array().cast("array<double>").alias("ws"))
     return F.aggregate(F.reverse(alphas), tail, lambda acc, a: F.struct((acc["left"] * (1 - a)).alias("left"), F.concat(F.array(a * acc["left"]), acc["ws"]).alias("ws")), lambda acc: F.array_append(acc["ws"], acc["left"]))
 
 
+def kernel_rows(rows: DataFrame) -> DataFrame:
+    """key, i, weight: ``kernel_weights`` of each key's ``alpha`` in order of seq, one row each and one for what is left of the
+    initial state. Logarithms are summed backwards, and alphas of 1 counted, so that no key's rows meet in an array."""
+    one = F.col("alpha") >= 1
+    logs, ones = F.sum(F.when(~one, F.log1p(-F.col("alpha")))), F.count_if(one)
+    later = Window.partitionBy("key").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    left = lambda logs, ones: F.when(ones > 0, 0.0).otherwise(F.exp(F.coalesce(logs, F.lit(0.0))))
+    each = rows.select("key", (F.row_number().over(w_key()) - 1).alias("i"), (F.col("alpha") * left(logs.over(later), ones.over(later))).alias("weight"))
+    return each.unionByName(rows.groupBy("key").agg(F.count("*").cast("int").alias("i"), left(logs, ones).alias("weight")))
+
+
 def weighted(code: Column) -> Column:
     return weight(code)

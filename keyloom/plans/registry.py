@@ -133,9 +133,7 @@ def holm(s, d):
 
 def ema_kernel_weights(s, d):
     alpha = F.lit(0.02) + F.lit(0.28) * ((F.col("item_id") % 10).cast("double") / 10.0)
-    g = src.events(s, d).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", alpha.alias("a")))).alias("x"))
-    g = g.select("key", F.transform("x", lambda x: x["a"]).alias("alphas"))
-    return g.select("key", F.posexplode(feat.kernel_weights()).alias("i", "weight")).select("key", "i", *r9("weight"))
+    return feat.kernel_rows(src.events(s, d).select("key", "seq", alpha.alias("alpha"))).select("key", "i", *r9("weight"))
 
 
 def ema_response(s, d):
