@@ -76,6 +76,10 @@ def parse(html: str | None, gold: bool = False) -> Page:
         return page
     pieces, chars, linked, marks = page.pieces, page.chars, page.linked, page.marks
     open_: list[tuple[str, int, bool]] = [("#page", 0, True)]  # name, node, breaks a line
+    # Where in open_ the elements of each name stand, and the last scopes (of any kind, and other than rows): so that an end tag
+    # or an element that ends others looks nothing up by walking through what is open.
+    where: dict[str, list[int]] = {}
+    scopes, no_rows = [0], [0]
     links, at, n = 0, 0, len(html)
 
     def text(a: int, b: int) -> None:
@@ -93,9 +97,16 @@ def parse(html: str | None, gold: bool = False) -> Page:
         nonlocal links
         for name, _, breaks in open_[to:]:
             links -= name == "a"
+            where[name].pop()
             if breaks:
                 pieces.append((-1, ""))
         del open_[to:]
+        for stack in (scopes, no_rows):
+            while stack[-1] >= to:
+                stack.pop()
+
+    def last(names: tuple[str, ...]) -> int:
+        return max((where[x][-1] for x in names if where.get(x)), default=0)
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -110,10 +121,8 @@ def parse(html: str | None, gold: bool = False) -> Page:
             continue
         name = name.lower()
         if m[1] or m[4]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == name:
-                    close(k)
-                    break
+            if k := last((name,)):
+                close(k)
             continue
         attributes = (m[3] if m[2] else m[6]) or ""
         if name in RAW:
@@ -125,20 +134,13 @@ def parse(html: str | None, gold: bool = False) -> Page:
             pieces.append((open_[-1][1], " "))
             continue
         if name in ENDS_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == "p":
-                    close(k)
-                    break
-                if open_[k][0] in SCOPE:
-                    break
-        elif name in NEXT:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] in NEXT[name]:
-                    close(k)
-                    if name != "tr":
-                        break
-                elif open_[k][0] in SCOPE:
-                    break
+            if (k := last(("p",))) > scopes[-1]:
+                close(k)
+        elif name == "tr":
+            while (k := last(NEXT["tr"])) > no_rows[-1]:
+                close(k)
+        elif name in NEXT and (k := last(NEXT[name])) > scopes[-1]:
+            close(k)
         if name in VOID:
             if name not in INLINE:
                 pieces.append((-1, ""))
@@ -158,6 +160,11 @@ def parse(html: str | None, gold: bool = False) -> Page:
             if gold:
                 page.gold.append(m[1] if (m := _GOLD.search(attributes)) else "")
         links += name == "a"
+        where.setdefault(name, []).append(len(open_))
+        if name in SCOPE:
+            scopes.append(len(open_))
+            if name != "tr":
+                no_rows.append(len(open_))
         open_.append((name, node, breaks))
     return page
 

@@ -9,7 +9,9 @@ frames may hold main text below unkept parents, so ancestors and descendants nev
 
 The model is trained here on generated pages of many layouts (see ``training_pages``), from a
 fixed seed and of bounded number; it sees no row of the table. Null or empty html gives an
-empty text; broken markup is read as far as it goes.
+empty text; broken markup is read as far as it goes. A page of any length or depth is one row, read in time
+that grows with its length. Rows that repeat are extracted each; an empty table gives an empty result; a column named ``text``
+is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ PAGES, TREES, DEPTH, BINS, RATE, SEED = 700, 40, 4, 32, 0.2, 23
 STATES = "KDM"
 
 
+def by_level(depth: np.ndarray) -> list[np.ndarray]:
+    """Nodes of each depth, by one sort."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(depth) else []
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features, parent, depth, first node of each page) of all nodes of the pages, parents before children."""
     sizes = np.array([len(p.tag) for p in pages])
@@ -48,11 +56,10 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     before = np.cumsum(own) - own
     total = np.add.reduceat(own, first)[page] if n else own
 
-    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    levels = by_level(depth)[1:]
     sub = np.c_[own, linked, marks, np.ones(n), (tag == _TAG["p"]).astype(float), (tag == _TAG["li"]).astype(float)]
     for rows in reversed(levels):
-        for k in range(sub.shape[1]):
-            sub[:, k] += np.bincount(parent[rows], sub[rows, k], n)
+        np.add.at(sub, parent[rows], sub[rows])
     above = np.zeros(n, np.int64)  # purposes of ancestors, and in what they stand
     kinds = [_TAG[t] for t in ("nav", "aside", "header", "footer", "article", "main", "form", "head")]
     inside = sum((tag == t).astype(np.int64) << (20 + k) for k, t in enumerate(kinds))
@@ -140,11 +147,10 @@ def decode(log_p: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarr
     """State of each node (0 K, 1 D, 2 M) with the greatest sum: below K stand K or D, below D only D, below M any."""
     n = len(log_p)
     best = log_p.astype(float).copy()
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    levels = by_level(depth)
     for rows in reversed(levels[1:]):
         k, d, m = best[rows].T
-        for state, value in enumerate((np.maximum(k, d), d, np.maximum(np.maximum(k, d), m))):
-            best[:, state] += np.bincount(parent[rows], value, n)
+        np.add.at(best, parent[rows], np.stack([np.maximum(k, d), d, np.maximum(np.maximum(k, d), m)], axis=1))
     out = np.zeros(n, np.int64)
     for level, rows in enumerate(levels):
         b = best[rows]
