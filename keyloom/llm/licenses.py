@@ -4,16 +4,18 @@ A text is compared with each template that it shares enough different words with
 window of the text holds enough words of the template, the two are aligned: words that occur
 once in both are anchors, the longest increasing subsequence of them is kept, and the gaps
 between anchors are aligned the same way. Aligned words over the template's words is the
-coverage, and a window with enough coverage is a match.
+coverage, and a window with enough coverage is a match. Of matches that overlap, the one with more aligned
+words stays (then with more coverage), so a notice is named once though others are worded much like it.
 
 Everything happens within a row; only the templates (a parameter of fixed size) go to all
 tasks. Null, empty and wordless texts match nothing; every place where a template occurs is
-reported, however long the text.
+reported, however long the text. Rows that repeat are scanned each; an empty table gives an empty
+result; a column named ``licenses`` is replaced, others stay.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +37,17 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
 }
 COVERAGE = 0.8
 #: A window is so many times as long as its template, which leaves room for inserted words.
@@ -84,6 +97,18 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def apart(matches: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int]]:
+    """Of (name, coverage, first word, end, aligned words) those that no better one overlaps, in text order."""
+    ends: list[int] = []
+    kept: list[tuple[str, float, int, int]] = []
+    for name, share, first, end, _ in sorted(matches, key=lambda m: (-m[4], -m[1], m[2], m[0])):
+        k = bisect_right(ends, first)  # the first kept match that ends after this one begins
+        if k == len(ends) or kept[k][2] >= end:
+            ends.insert(k, end)
+            kept.insert(k, (name, share, first, end))
+    return kept
+
+
 @dataclass
 class Library:
     """Templates as word hashes, and a bitmap of all their words."""
@@ -128,10 +153,10 @@ class Library:
                 places, ids = at[bounds[r] : bounds[r + 1]] - w.bounds[i], which[bounds[r] : bounds[r + 1]]
                 for t in np.flatnonzero(enough[r]):
                     out[a + i] += self._match(int(t), words, places[member[t, ids]])
-                out[a + i].sort(key=lambda m: (m[2], m[3], m[0]))
+                out[a + i] = apart(out[a + i])
         return out
 
-    def _match(self, t: int, words: np.ndarray, places: np.ndarray) -> list[tuple[str, float, int, int]]:
+    def _match(self, t: int, words: np.ndarray, places: np.ndarray) -> list[tuple[str, float, int, int, int]]:
         template = self.words[t]
         reach = int(np.ceil(ROOM * len(template)))
         inside = np.searchsorted(places, places + reach) - np.arange(len(places))
@@ -143,7 +168,7 @@ class Library:
             pairs = align(words[p : p + reach].tolist(), template)
             share = len(pairs) / len(template)
             if share >= self.coverage and pairs[0][0] == 0:
-                found.append((self.names[t], share, p, p + pairs[-1][0] + 1))
+                found.append((self.names[t], share, p, p + pairs[-1][0] + 1, len(pairs)))
                 after = found[-1][3]
         return found
 
