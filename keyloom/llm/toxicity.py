@@ -9,12 +9,15 @@ normalised by length in two ways, as its excess over what clean text of that len
 standard deviations) and as its density; a logistic calibration makes a probability of both.
 
 ``fit`` learns the weights from labelled texts: how much oftener a word or beginning occurs
-in toxic texts, kept where a likelihood-ratio test is beyond chance. It uses at most about
-SAMPLE labelled rows, chosen by a hash of the id. Without toxic or without clean labels the
-built-in lexicon and calibration are used.
-
-Null and empty texts have no hits and get the score of a text without hits. Labels that are
-null or not 0/1 are passed over; repeated rows count as often as they come.
+in toxic texts, kept where a likelihood-ratio test is beyond chance. It learns exception phrases from
+the same texts: two neighbouring words, one of them in the lexicon, that clean texts hold at least as often as toxic ones. It
+uses at most about SAMPLE labelled rows, chosen by a hash of the id. Without toxic or without
+clean labels the built-in lexicon and calibration are used.
+
+Null and empty texts have no hits and get the score of a text without hits. A text of any length is
+read once, in time that grows with its length. Labels that are null or not 0/1 are passed over, repeated labels
+count once, repeated documents as often as they come. An empty table gives an empty result; a column named ``score``
+is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.store import table
+from keyloom.llm.store import cut, table
 
 #: Labelled rows that a model is fitted on, at most (in expectation, by a hash threshold).
 SAMPLE = 16_000
@@ -43,6 +48,8 @@ SHORTEST, LONGEST = 2, 8
 SUPPORT, SIGNIFICANT = 4, 18.0
 #: Least weight: an entry occurs in toxic texts at least about 20 times as often as in clean ones.
 LEAST_WEIGHT = 3.0
+#: Exception phrases learned at most, those of most clean texts first.
+PHRASES = 500
 CUTOFF = 0.7
 
 # Letters of other scripts and the Latin letters they look like.
@@ -113,8 +120,11 @@ class Model:
                 excused.append((end + 1 - n, end + 1, w))
             elif folded[end] == " " or folded[end + 1 : end + 2] != " ":
                 found.append((end + 1 - n, end + 1, w))
-        if excused:
-            found = [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in excused)]
+        if excused:  # of the phrases that begin at or before a hit, does the one that goes furthest hold it?
+            excused.sort()
+            begins, reach = [a for a, _, _ in excused], list(accumulate((b for _, b, _ in excused), max))
+            held = lambda h: (k := bisect_right(begins, h[0])) and h[1] <= reach[k - 1]
+            found = [h for h in found if not held(h)]
         best: dict[int, tuple[int, int, float]] = {}
         for h in found:  # of the entries that begin a word, the heaviest counts
             if h[0] not in best or best[h[0]][2] < h[2]:
@@ -147,7 +157,7 @@ def entries_of(text: str | None) -> set[str]:
 
 def sample_of(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """text and toxic of about ``bound`` labelled rows at most that are not held out."""
-    usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = usable.count()
     if n > bound:
         usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n))
@@ -168,6 +178,30 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _phrases(sample: DataFrame, weights: dict[str, float], toxic: int, clean: int) -> tuple[str, ...]:
+    """Neighbouring words, one of them in the lexicon, that SUPPORT clean texts hold at least, and toxic ones no oftener."""
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        known: dict[str, bool] = {}
+        for b in batches:
+            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = fold(text).split()
+                for w in set(words) - known.keys():
+                    known[w] = f" {w} " in shared.value or any(f" {w[:k]}" in shared.value for k in range(SHORTEST, min(LONGEST + 1, len(w))))
+                at = [i for i, w in enumerate(words) if known[w]]
+                seen[y].update({f" {words[k]} {words[k + 1]} " for i in at for k in (i - 1, i) if 0 <= k < len(words) - 1})
+                if len(known) > 200_000:
+                    known.clear()
+            terms = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([seen[y][t] for t in terms], pa.int64()) for y in (1, 0))], ["term", "toxic", "clean"])
+
+    found = sample.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    harmless = (F.col("clean") >= SUPPORT) & (F.col("toxic") * F.lit(clean) <= F.col("clean") * F.lit(toxic))
+    return tuple(r["term"] for r in found.filter(harmless).orderBy(F.desc("clean"), "term").limit(PHRASES).collect())
+
+
 def _choose(rows: list, toxic: int, clean: int) -> dict[str, float]:
     """Weights of the entries that say more than the shorter beginnings they extend."""
     out: dict[str, float] = {}
@@ -182,7 +216,7 @@ def _choose(rows: list, toxic: int, clean: int) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """A model from the labelled rows of ``docs`` that are not held out."""
     spark = docs.sparkSession
-    sample = sample_of(docs, labels, bound)
+    sample = cut(sample_of(docs, labels, bound), "toxicity-sample")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -192,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     ratio = 2 * (part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate))
     kept = _counts(sample).filter(F.col("toxic") >= SUPPORT).filter(F.col("toxic") > n * rate).withColumn("ratio", ratio).filter(F.col("ratio") >= SIGNIFICANT)
     rows = kept.orderBy(F.desc("ratio"), "term").limit(ENTRIES).collect()
-    model = Model(_choose(rows, toxic, clean) or dict(BUILT_IN))
+    weights = _choose(rows, toxic, clean) or dict(BUILT_IN)
+    model = Model(weights, (*EXCEPTIONS, *sorted(set(_phrases(sample, weights, toxic, clean)) - set(EXCEPTIONS))))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
