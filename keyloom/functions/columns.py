@@ -93,11 +93,9 @@ def first_hash_word(id_col: Column) -> Column:
     return F.conv(F.substring(F.sha2(id_col.cast("string"), 256), 1, 8), 16, 10).cast("long")
 
 
-def sanitised(path: Column) -> Column:
-    """Home folders, temporary folders and user names out of a path."""
-    out = F.regexp_replace(path, r"/(?:home|Users)/[^/\s]+", "<HOME>")
-    out = F.regexp_replace(out, r"/(?:private/)?(?:var/folders|tmp)/[^\s\"']*", "<TMP>")
-    return F.regexp_replace(out, r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "<USER>")
+def without_folders(text: Column) -> Column:
+    """Absolute paths cut to their last name: no folder of a machine or of a person is left."""
+    return F.regexp_replace(text, r"(?:/[^/\s]+)+/([^/\s]+)", "$1")
 
 
 def ema_response(alpha: Column, omega: Column) -> dict[str, Column]:

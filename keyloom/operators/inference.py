@@ -1,16 +1,36 @@
-"""Paired inference by permutation and bootstrap. Draws are distributed; what each draw reads is per-group sums."""
+"""Paired inference by permutation and bootstrap, between and within clusters.
+
+Draws are distributed. For metrics that are sums over rows (Brier score, log loss, accuracy) or follow from sums (F1), a draw reads
+the clusters' sums; for ranking metrics the rows themselves are ranked once for each draw, as Spark rows. Clusters are few by
+design (hours, days): their sums are gathered, MOST_CLUSTERS at most, and more than that is an error.
+"""
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many clusters all sign patterns are enumerated.
-EXACT = 16
+from keyloom.functions.columns import log_loss
+from keyloom.operators.metrics import ranking
+
+#: Up to so many clusters all sign patterns or swaps are enumerated.
+EXACT, EXACT_SWAPS = 16, 12
+MOST_CLUSTERS = 100_000
+LOSSES = ("brier", "log_loss")
+METRICS = ("auroc", "average_precision", "accuracy", "f1", *LOSSES)
+
+
+def gathered(clusters: DataFrame, order: str = "group_id") -> list:
+    """The rows of a table of clusters, in order; too many are an error and not a slow driver."""
+    rows = clusters.orderBy(order).take(MOST_CLUSTERS + 1)
+    if len(rows) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    return rows
 
 
 def group_sums(pairs: DataFrame, group: str = "group_id", difference: str = "d") -> DataFrame:
@@ -18,38 +38,83 @@ def group_sums(pairs: DataFrame, group: str = "group_id", difference: str = "d")
     return pairs.groupBy(F.col(group).alias("group_id")).agg(F.sum(difference).alias("d_sum"), F.count("*").alias("n"))
 
 
+def least_extreme(observed: float) -> float:
+    """What counts as being as far out as ``observed``, but for rounding."""
+    return abs(observed) - max(8 * math.ulp(abs(observed)), 1e-12 * abs(observed))
+
+
+def signs(ids: np.ndarray, n: int, exact: bool, seed: int) -> np.ndarray:
+    """A row of n zeros and ones for each id: the bits of the id, or seeded ones."""
+    if exact:
+        return (ids[:, None] >> np.arange(n)) & 1
+    return np.array([np.random.default_rng([seed, int(i)]).integers(0, 2, n) for i in ids]).reshape(-1, n)
+
+
 def sign_flip(sums: DataFrame, draws: int = 4096, seed: int = 7) -> DataFrame:
     """One row: n clusters, mean of the cluster means, two-sided p-value of sign flips, and whether it is exact.
 
     Exact: all 2^n patterns as a range of numbers; each pattern's mean is a sum over bits. Otherwise ``draws`` seeded ones,
-    counted with one added. Clusters are few by design (hours); their means are the only thing gathered."""
+    counted with one added."""
     spark = sums.sparkSession
-    d = np.array([r[0] for r in sums.filter("n > 0").orderBy("group_id").select(F.col("d_sum") / F.col("n")).collect()])
+    d = np.array([r["d_sum"] / r["n"] for r in gathered(sums.filter("n > 0"))])
     n = len(d)
     if n < 2:
         raise ValueError("at least two clusters")
-    exact, observed = n <= EXACT, abs(d.mean())
-    edge = observed - 8 * np.spacing(max(observed, np.abs(d).max()))
+    exact, edge = n <= EXACT, least_extreme(float(d.mean()))
     total = 2**n if exact else draws
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            if exact:
-                signs = 1 - 2 * ((ids[:, None] >> np.arange(n)) & 1)
-            else:
-                signs = np.array([np.random.default_rng([seed, int(i)]).integers(0, 2, n) * 2 - 1 for i in ids]).reshape(-1, n)
-            yield pa.RecordBatch.from_arrays([pa.array((np.abs(signs @ d / n) >= edge).astype(np.int64))], ["hit"])
+            flips = 1 - 2 * signs(b.column(0).to_numpy(), n, exact, seed)
+            yield pa.RecordBatch.from_arrays([pa.array((np.abs(flips @ d / n) >= edge).astype(np.int64))], ["hit"])
 
     hits = spark.range(total).mapInArrow(run, "hit long").agg(F.sum("hit").alias("hits"))
     p = F.col("hits") / F.lit(float(total)) if exact else (F.col("hits") + 1) / F.lit(float(total + 1))
     return hits.select(F.lit(n).alias("n_clusters"), F.lit(float(d.mean())).alias("mean_difference"), p.alias("p_value"), F.lit(exact).alias("exact"))
 
 
+def row_sign_flip(rows: DataFrame, d: str, order: str, draws: int = 2000, seed: int = 7) -> float:
+    """The same p-value where every row is a unit, however many rows: a row's signs in all draws follow from its ``order`` number,
+    partitions add up their flipped sums, and one row of ``draws`` sums for each is added."""
+    words = -(-draws // 64)
+    salt = np.random.default_rng(seed).integers(1, 2**63, words, dtype=np.uint64) | np.uint64(1)
+
+    def run(batches):
+        total, observed, n = np.zeros(words * 64), 0.0, 0
+        for b in batches:
+            x, ids = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64)
+            for k in range(0, len(x), 2048):
+                z = (ids[k : k + 2048, None] + np.uint64(1)) * salt
+                for shift, by in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, 0xD6E8FEB86659FD93)):
+                    z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+                flips = np.unpackbits((z ^ (z >> np.uint64(30))).view(np.uint8), axis=1).astype(np.float64) * 2 - 1
+                total += x[k : k + 2048] @ flips
+            observed, n = observed + float(x.sum()), n + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([observed]), pa.array([n])], ["sums", "observed", "n"])
+
+    found = rows.select(F.col(d).cast("double"), F.col(order).cast("long")).mapInArrow(run, "sums array<double>, observed double, n long")
+    added = found.select(F.posexplode("sums").alias("draw", "v"), "observed").groupBy("draw").agg(F.sum("v").alias("v"), F.sum("observed").alias("o"))
+    edge = "abs(o) - greatest(abs(o) * 1e-12, 1e-300)"
+    hits = added.filter(f"draw < {draws}").agg(F.count_if(F.expr(f"abs(v) >= {edge}"))).first()[0]
+    return (hits + 1) / (draws + 1)
+
+
+def student_interval(rows: DataFrame, d: str, level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, effect, low, high and dz (effect over deviation, null without any) of paired differences, Student's t."""
+    one = rows.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("effect"), F.stddev_samp(d).alias("sd"))
+    sizes = sorted({r["n"] for r in one.select("n").distinct().take(MOST_CLUSTERS)})
+    t = F.lit(None).cast("double")
+    for n in sizes:
+        if n >= 2:
+            t = F.when(F.col("n") == n, student_t_critical(1 - level, n - 1)).otherwise(t)
+    margin = F.coalesce(t * F.col("sd") / F.sqrt("n"), F.lit(0.0))
+    return one.select(*by, "n", "effect", (F.col("effect") - margin).alias("low"), (F.col("effect") + margin).alias("high"), F.when(F.col("sd") > 0, F.col("effect") / F.col("sd")).alias("dz"))
+
+
 def bootstrap(sums: DataFrame, draws: int = 2000, seed: int = 11, level: float = 0.95) -> DataFrame:
     """One row: mean difference over rows and its percentile and bias-corrected accelerated intervals, clusters resampled."""
     spark = sums.sparkSession
-    rows = sums.orderBy("group_id").collect()
+    rows = gathered(sums)
     s, k = np.array([r["d_sum"] for r in rows], float), np.array([r["n"] for r in rows], float)
     n, mean = len(rows), s.sum() / k.sum()
 
@@ -59,65 +124,174 @@ def bootstrap(sums: DataFrame, draws: int = 2000, seed: int = 11, level: float =
             yield pa.RecordBatch.from_arrays([pa.array(s[picks].sum(axis=1) / k[picks].sum(axis=1))], ["mean"])
 
     means = np.sort(np.array([r[0] for r in spark.range(draws).mapInArrow(run, "mean double").collect()]))
-    jack = (s.sum() - s) / (k.sum() - k)
-    low, high = bca(means, mean, jack, level)
+    found = accelerated(means, mean, [(s.sum() - s) / (k.sum() - k)], level) or (float(means.min()), float(means.max()))
     plain = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-    return spark.createDataFrame([(n, float(mean), float(plain[0]), float(plain[1]), float(low), float(high))], "n_clusters int, mean_difference double, low double, high double, bca_low double, bca_high double")
-
-
-def bca(draws: np.ndarray, value: float, jackknife: np.ndarray, level: float) -> tuple[float, float]:
-    """Bias-corrected accelerated interval; the range of the draws where it degenerates."""
-    from statistics import NormalDist
-
-    normal, share = NormalDist(), (np.sum(draws < value) + 0.5 * np.sum(draws == value)) / len(draws)
-    dev = jackknife.mean() - jackknife
-    spread = (dev**2).sum() ** 1.5
-    if not 0 < share < 1 or spread == 0:
-        return float(draws.min()), float(draws.max())
-    z0, a = normal.inv_cdf(share), (dev**3).sum() / (6 * spread)
-    ends = []
-    for q in ((1 - level) / 2, (1 + level) / 2):
-        z = z0 + normal.inv_cdf(q)
-        if 1 - a * z <= 0:
-            return float(draws.min()), float(draws.max())
-        ends.append(normal.cdf(z0 + z / (1 - a * z)))
-    return tuple(np.quantile(draws, ends))
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + num * d, 1 + num / c
-            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
+    return spark.createDataFrame([(n, float(mean), float(plain[0]), float(plain[1]), *found)], "n_clusters int, mean_difference double, low double, high double, bca_low double, bca_high double")
+
+
+def accelerated(draws: np.ndarray, value: float, left_out: list[np.ndarray], level: float = 0.95) -> tuple[float, float] | None:
+    """Efron's bias-corrected and accelerated interval of bootstrap ``draws`` around ``value``; none where it is not defined.
+
+    ``left_out`` has for each stratum the values without each of its clusters: how far these pull from their mean says how skewed
+    the statistic is (acceleration), and the draws' share below the value how biased."""
+    if len(draws) == 0 or draws.min() == draws.max():
+        return None
+    half = 0.5 / len(draws)
+    share = float(np.clip(np.mean((draws < value) + 0.5 * (draws == value)), half, 1 - half))
+    pull = np.concatenate([(x.mean() - x) * (len(x) - 1) / len(x) for x in left_out])
+    size = float(pull @ pull)
+    skew = float((pull**3).sum()) / (6 * size**1.5) if size > 0 else 0.0
+    phi = NormalDist()
+    shift = phi.inv_cdf(share)
+    z = shift + np.array([phi.inv_cdf((1 - level) / 2), phi.inv_cdf((1 + level) / 2)])
+    if (skew * z >= 1).any():
+        return None
+    low, high = (phi.cdf(float(x)) for x in shift + z / (1 - skew * z))
+    return tuple(float(x) for x in np.quantile(draws, [low, high])) if low < high else None
+
+
+def student_t_within(angle: float, df: int) -> float:
+    """Probability that |t| stays below sqrt(df) tan(angle), for a whole number of degrees of freedom: the finite series in powers of the
+    angle's cosine."""
+    s, c = math.sin(angle), math.cos(angle)
+    k = np.arange(2 + df % 2, df, 2, dtype=float)  # each term of the series is the last one times (k - 1) / k cos^2
+    series = 1 + float(np.cumprod((k - 1) / k * c * c).sum())
+    if df % 2 == 0:
+        return s * series
+    return 2 / math.pi * (angle + (s * c * series if df > 1 else 0.0))
+
+
+def student_t_critical(alpha: float, df: int) -> float:
+    """The t that leaves ``alpha`` in both tails. Beyond 100,000 degrees of freedom by its expansion around the normal quantile."""
+    if df > 100_000:
+        z = NormalDist().inv_cdf(1 - alpha / 2)
+        return z + (z**3 + z) / (4 * df)
+    low, high = 0.0, math.pi / 2
+    while high - low > 1e-15:
+        angle = (low + high) / 2
+        if angle in (low, high):
             break
-    return h
-
-
-def student_t_tail(t: float, df: float) -> float:
-    """Two-sided tail probability of Student's t."""
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x >= 1:
-        return 1.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def student_t_critical(alpha: float, df: float) -> float:
-    """The t that leaves ``alpha`` in both tails."""
-    low, high = 0.0, 1.0
-    while student_t_tail(high, df) > alpha:
-        high *= 2
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if student_t_tail(mid, df) > alpha else (low, mid)
-    return (low + high) / 2
+        low, high = (angle, high) if student_t_within(angle, df) < 1 - alpha else (low, angle)
+    return math.sqrt(df) * math.tan(low)
+
+
+def _value(metric: str, y: Column, p: Column, threshold: float) -> Column:
+    if metric == "accuracy":
+        return ((p >= threshold).cast("int") == y).cast("double")
+    return (p - y) * (p - y) if metric == "brier" else log_loss(y, p)
+
+
+class _Sums:
+    """Sums of each cluster, and the difference of a metric between two models over weighted or swapped clusters."""
+
+    def __init__(self, rows: DataFrame, metric: str, threshold: float):
+        y, a, b = F.col("label"), F.col("a"), F.col("b")
+        self.metric, self.sign = metric, -1.0 if metric in LOSSES else 1.0
+        if metric == "f1":
+            call = lambda p: (p >= threshold).cast("int")
+            parts = [F.sum(call(a) * y), F.sum(call(a)), F.sum(call(b) * y), F.sum(call(b))]
+        else:
+            parts = [F.sum(_value(metric, y, a, threshold)), F.sum(_value(metric, y, b, threshold))]
+        got = gathered(rows.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), *[x.cast("double").alias(f"m{i}") for i, x in enumerate(parts)]))
+        self.n, self.pos = (np.array([r[c] for r in got], float) for c in ("n", "pos"))
+        self.m = np.array([[r[f"m{i}"] for i in range(len(parts))] for r in got], float)
+
+    def difference(self, weight: np.ndarray, swap: np.ndarray | None = None) -> np.ndarray:
+        """One value for each row of ``weight`` (draws x clusters); null (nan) where a class is missing."""
+        half = self.m.shape[1] // 2
+        mine, other = self.m[:, :half], self.m[:, half:]
+        s = np.zeros_like(weight) if swap is None else swap
+        a, b = (weight * (1 - s)) @ mine + (weight * s) @ other, (weight * s) @ mine + (weight * (1 - s)) @ other
+        n, pos = weight @ self.n, weight @ self.pos
+        if self.metric == "f1":
+            f1 = lambda x: np.where((d := x[:, 1] + pos) > 0, 2 * x[:, 0] / np.maximum(d, 1), 0.0)
+            out = f1(a) - f1(b)
+        else:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out = (a - b)[:, 0] / n
+        return np.where((pos > 0) & (pos < n), self.sign * out, np.nan)
+
+
+def _by_draw(spark, plan: DataFrame, sums: _Sums, n: int, weights, swaps) -> np.ndarray:
+    """The difference for each id of ``plan``, in order of ids."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            w = weights(ids) if weights else np.ones((len(ids), n))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums.difference(w, swaps(ids) if swaps else None))], ["id", "v"])
+
+    return np.array([r["v"] for r in plan.mapInArrow(run, "id long, v double").orderBy("id").collect()], float)
+
+
+def _ranked_by_draw(rows: DataFrame, plan: DataFrame, names: list, metric: str, weights, swaps) -> np.ndarray:
+    """The same for ranking metrics: every draw's clusters meet the clusters' rows, which are ranked by draw and model."""
+    n = len(names)
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            w = weights(ids) if weights else np.ones((len(ids), n))
+            s = swaps(ids) if swaps else np.zeros((len(ids), n))
+            columns = [pa.array(np.repeat(ids, n)), pa.array(names * len(ids)), pa.array(w.ravel().astype(np.int64)), pa.array(s.ravel() > 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["draw", "group_id", "w", "s"])
+
+    dealt = plan.mapInArrow(run, "draw long, group_id string, w long, s boolean").filter("w > 0")
+    met = rows.join(dealt, "group_id")
+    both = met.select("draw", "label", "w", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.when(F.col("s"), F.col("b")).otherwise(F.col("a")).alias("score")), F.struct(F.lit("b").alias("model"), F.when(F.col("s"), F.col("a")).otherwise(F.col("b")).alias("score")))).alias("x"))
+    found = ranking(both.select("draw", "label", "w", "x.*"), by=("draw", "model"), weight="w")
+    value = F.col("auroc" if metric == "auroc" else "ap")
+    per = found.groupBy("draw").agg((F.max(F.when(F.col("model") == "a", value)) - F.max(F.when(F.col("model") == "b", value))).alias("v"))
+    return np.array([math.nan if r["v"] is None else r["v"] for r in plan.join(per, plan["id"] == per["draw"], "left").orderBy("id").collect()], float)
+
+
+def paired_groups(rows: DataFrame, metric: str, draws: int = 2000, seed: int = 13, level: float = 0.95, threshold: float = 0.5) -> DataFrame:
+    """One row that compares two models by ``metric`` over rows (group_id, label, a, b): effect (positive if a is better), interval by
+    stratified bootstrap of clusters, and the two-sided p-value of swapping the models within clusters (exact for few). Clusters with
+    one class each are resampled within their class. Where the interval is not defined it is the metric's whole range."""
+    if metric not in METRICS or not 0 < level < 1 or draws < 1:
+        raise ValueError("unknown metric, or a level or number of draws out of range")
+    spark, ranks = rows.sparkSession, metric in ("auroc", "average_precision")
+    rows = rows.filter(F.col("label").isNotNull()).select(F.col("group_id").cast("string").alias("group_id"), F.col("label").cast("int").alias("label"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    bad = rows.filter(F.col("group_id").isNull() | (F.trim("group_id") == "") | ~F.col("label").isin(0, 1) | ~F.coalesce(F.col("a").between(0, 1) & F.col("b").between(0, 1), F.lit(False)))
+    if not bad.isEmpty():
+        raise ValueError("labels must be 0 or 1, scores between 0 and 1, and groups named")
+    if ranks:
+        got = gathered(rows.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("label").alias("pos")))
+        names, count, pos = [r["group_id"] for r in got], np.array([r["n"] for r in got], float), np.array([r["pos"] for r in got], float)
+        value = lambda plan, weights=None, swaps=None: _ranked_by_draw(rows, plan, names, metric, weights, swaps)
+    else:
+        sums = _Sums(rows, metric, threshold)
+        count, pos = sums.n, sums.pos
+        value = lambda plan, weights=None, swaps=None: _by_draw(spark, plan, sums, len(count), weights, swaps)
+    n = len(count)
+    if n < 2 or not 0 < pos.sum() < count.sum():
+        raise ValueError("at least two clusters and both classes")
+    effect = float(value(spark.range(1))[0])
+    exact = n <= EXACT_SWAPS
+    swapped = value(spark.range(2**n if exact else draws), None, lambda ids: signs(ids, n, exact, seed))
+    hits = int((np.abs(swapped) >= least_extreme(effect)).sum())
+    p = hits / 2**n if exact else (hits + 1) / (draws + 1)
+    pure = bool(((pos == 0) | (pos == count)).all())
+    strata = [np.flatnonzero(pos == 0), np.flatnonzero(pos > 0)] if pure else [np.arange(n)]
+
+    def resampled(ids: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(ids), n))
+        for row, i in zip(out, ids, strict=True):
+            r = np.random.default_rng([seed, 1, int(i)])
+            for s in strata:
+                np.add.at(row, r.choice(s, len(s)), 1)
+        return out
+
+    drawn = value(spark.range(draws), resampled)
+    alone = value(spark.range(n), lambda ids: 1 - np.eye(n)[ids])
+    found = None
+    if np.isfinite(drawn).all() and all(len(s) >= 2 and np.isfinite(alone[s]).all() for s in strata):
+        found = accelerated(np.sort(drawn), effect, [alone[s] for s in strata], level)
+    bound = -math.log(1e-15) if metric == "log_loss" else 1.0
+    low, high = found or (-bound, bound)
+    table = [(metric, effect, low, high, p, n, exact, pure, int((~np.isfinite(drawn)).sum()), found is None)]
+    return spark.createDataFrame(table, "metric string, effect double, low double, high double, p_value double, n_clusters int, exact boolean, stratified boolean, invalid_draws int, degenerate boolean")
 
 
 def factorial_effects(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
