@@ -1,7 +1,7 @@
 """Metrics of scores against labels. With one class only, AUROC and AP are null.
 
-Ranking metrics first group by score: what is then ordered has one row per distinct score, which
-rounding the scores bounds (six digits: about a million rows, whatever the number of events).
+Ranking metrics and quantiles first count rows of equal scores or values; running sums over these
+are taken in ranges (functions/running.py), so no task orders them all.
 """
 
 from __future__ import annotations
@@ -10,31 +10,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.columns import log_loss
+from keyloom.functions.running import before
 
 
-def ranking(df: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
-    """auroc (ties count half) and ap (at change points of the score), by the columns ``by``."""
-    g = df.filter(F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label)).cast("long").alias("pos"), F.count("*").alias("n"))
-    up = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(up), F.lit(0))).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
-    one = g.groupBy(*by).agg(
-        F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("pos") * (2 * F.col("below") + F.col("n") - F.col("pos"))).alias("u2"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("a"), F.sum("n").alias("n"))
+def _with_totals(g: DataFrame, by: tuple[str, ...], **totals) -> DataFrame:
+    """``g`` with sums over each of the groups ``by``, or over all rows."""
+    sums = g.groupBy(*by).agg(*[F.sum(v).alias(k) for k, v in totals.items()])
+    return g.join(sums, list(by)) if by else g.crossJoin(F.broadcast(sums))  # one row
+
+
+def ranking(df: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """auroc (ties count half) and ap (at change points of the score), by the columns ``by``; with ``weight`` a row counts so often."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    rows = df.filter(F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("s"))
+    g = before(rows.agg(F.sum(F.col(label) * w).cast("long").alias("pos"), F.sum(w).cast("long").alias("n")), ["s"], ["pos", "n"], by)
+    g = _with_totals(g, by, p="pos", all="n")
+    below, tp, seen = F.col("n_before") - F.col("pos_before"), F.col("p") - F.col("pos_before"), F.col("all") - F.col("n_before")
+    g = g.withColumns({"u2": F.col("pos") * (2 * below + F.col("n") - F.col("pos")), "a": F.col("pos") * tp / seen})
+    one = g.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum("u2").alias("u2"), F.sum("a").alias("a"), F.sum("n").alias("n"))
     two = (F.col("p") > 0) & (F.col("q") > 0)
-    return one.select(*by, "n", F.when(two, F.col("u2") / (2.0 * F.col("p") * F.col("q"))).alias("auroc"), F.when(two, F.col("a") / F.col("p")).alias("ap"))
+    auroc = F.when(two, F.col("u2") / (2.0 * F.col("p") * F.col("q")))
+    return one.select(*by, "n", auroc.alias("auroc"), F.when(two, F.col("a") / F.col("p")).alias("ap"))
 
 
 def ap_untied(df: DataFrame, order: str, label: str = "label", score: str = "score") -> DataFrame:
-    """Average precision row by row; equal scores stand in the order of ``order``, which must be unique.
-
-    Rows are numbered in ranges of the score: positives and rows before a range come from sums over rounded scores."""
-    rows = df.filter(F.col(label).isNotNull()).select(F.col(score).alias("s"), F.col(label).alias("y"), F.col(order).alias("o"))
-    g = rows.groupBy("s").agg(F.sum("y").cast("long").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    before = g.select("s", F.coalesce(F.sum("pos").over(down), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("s").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("tp", F.sum("y").over(inside)).withColumn("k", F.count("*").over(inside)).join(before, "s")
-    return placed.agg((F.sum(F.when(F.col("y") == 1, (F.col("tp0") + F.col("tp")) / (F.col("n0") + F.col("k")))) / F.sum("y")).alias("ap"))
+    """Average precision row by row; equal scores stand in the order of ``order``, which must be unique."""
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(score).alias("s"), F.col(label).alias("y"), F.col(order).alias("o"), F.lit(1).alias("k"))
+    placed = before(rows, [F.col("s").desc(), F.col("o")], ["y", "k"])
+    precision = (F.col("y_before") + F.col("y")) / (F.col("k_before") + 1)
+    return placed.agg((F.sum(F.when(F.col("y") == 1, precision)) / F.sum("y")).alias("ap"))
 
 
 def proper_scores(df: DataFrame, threshold: float = 0.5, label: str = "label", score: str = "score") -> DataFrame:
@@ -53,24 +57,47 @@ def reliability(df: DataFrame, label: str = "label", score: str = "score") -> Da
     return bins.join(b, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_score", (F.col("bin") + 0.5) / 10).alias("mean_score"), F.coalesce("observed", F.lit(0.0)).alias("observed"))
 
 
+def _counted(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+    """Different values ``v`` with their number ``c``, how many stand before (``c_before``) and are in the group (``all``)."""
+    g = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    return _with_totals(before(g, ["v"], ["c"], by), by, all="c")
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Interpolated quantiles, named as in ``shares``: between the elements that stand around share x (n - 1) in order. The element
+    at a place is the greatest value with no more than so many before it, so no group is sorted in one task."""
+    g = _counted(df, value, by)
+    columns = []
+    for name, q in shares.items():
+        place = F.lit(float(q)) * (F.col("all") - 1)
+        at = lambda i: F.max(F.when(F.col("c_before") <= i, F.col("v")))  # noqa: B023, E731
+        columns += [at(F.floor(place)).alias(f"__low_{name}"), at(F.ceil(place)).alias(f"__high_{name}"), F.first(place - F.floor(place)).alias(f"__part_{name}")]
+    one = g.groupBy(*by).agg(*columns)
+    between = lambda n: F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * F.col(f"__part_{n}")
+    return one.select(*by, *[between(n).alias(n) for n in shares])
+
+
 def summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, mean, sample deviation (0 for one row), min, max, interpolated p50, p95 and p99, and cv (0 unless the mean is positive)."""
-    one = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(value, q / 100).alias(f"p{q}") for q in (50, 95, 99)])
+    sums = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+    one = df.groupBy(*by).agg(*sums)
+    found = quantiles(df, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by)
+    one = one.join(found, list(by), "left") if by else one.join(F.broadcast(found), how="left")
     return one.withColumn("cv", F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(F.lit(0.0)))
 
 
 def upper_median(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The element n div 2 (from 0) of the sorted values; nulls do not count. Counts of values are kept, not the values."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    g = g.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    return g.filter(F.col("upto") > F.expr("n div 2")).groupBy(*by).agg(F.min("v").alias("upper_median"))
+    """The element n div 2 (from 0) of the sorted values; nulls do not count."""
+    return _counted(df, value, by).groupBy(*by).agg(F.max(F.when(F.col("c_before") <= F.expr("all div 2"), F.col("v"))).alias("upper_median"))
 
 
-def loss_gap(df: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
+def loss_gap(df: DataFrame, a: str, b: str, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """Mean, p95 and max of the signed difference of log losses."""
-    gap = log_loss(F.col(label), F.col(a)) - log_loss(F.col(label), F.col(b))
-    return df.filter(F.col(label).isNotNull()).select(gap.alias("g")).agg(F.count("*").alias("n"), F.avg("g").alias("mean_gap"), F.percentile("g", 0.95).alias("p95_gap"), F.max("g").alias("max_gap"))
+    gaps = df.filter(F.col(label).isNotNull()).select(*by, (log_loss(F.col(label), F.col(a)) - log_loss(F.col(label), F.col(b))).alias("g"))
+    one = gaps.groupBy(*by).agg(F.count("*").alias("n"), F.avg("g").alias("mean_gap"), F.max("g").alias("max_gap"))
+    found = quantiles(gaps, "g", {"p95_gap": 0.95}, by)
+    one = one.join(found, list(by), "left") if by else one.join(F.broadcast(found), how="left")
+    return one.select(*by, "n", "mean_gap", "p95_gap", "max_gap")
 
 
 def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
