@@ -78,6 +78,14 @@ def key_budget(events: DataFrame, max_keys: int) -> DataFrame:
     return events.agg(F.count_distinct("key").alias("n_keys")).withColumn("within_budget", F.col("n_keys") <= max_keys)
 
 
+def within_budget(events: DataFrame, max_keys: int) -> DataFrame:
+    """``events``, or an error if they have more keys than the budget."""
+    n = key_budget(events, max_keys).first()["n_keys"]
+    if n > max_keys:
+        raise ValueError(f"{n} keys, {max_keys} at most")
+    return events
+
+
 def behaviour_profile(events: DataFrame) -> DataFrame:
     return events.groupBy("behavior_code").agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"), F.min("event_ts_ns").alias("first_ns"), F.max("event_ts_ns").alias("last_ns"), F.max("category_id").alias("max_category"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from keyloom.functions.columns import FEATURES, NS, WEIGHTS, dot, logistic, weight
+from keyloom.functions.columns import FEATURES, NS, WEIGHTS, dot, logistic
 from keyloom.functions.fold import ordered_fold
 from keyloom.sources.events import LogisticModel
 
@@ -74,7 +74,3 @@ def kernel_rows(rows: DataFrame) -> DataFrame:
     left = lambda logs, ones: F.when(ones > 0, 0.0).otherwise(F.exp(F.coalesce(logs, F.lit(0.0))))
     each = rows.select("key", (F.row_number().over(w_key()) - 1).alias("i"), (F.col("alpha") * left(logs.over(later), ones.over(later))).alias("weight"))
     return each.unionByName(rows.groupBy("key").agg(F.count("*").cast("int").alias("i"), left(logs, ones).alias("weight")))
-
-
-def weighted(code: Column) -> Column:
-    return weight(code)

@@ -32,7 +32,7 @@ def manifest(labels: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SplitSpec:
-    """Last seconds of the five parts, first second of the whole, and one key in ``ood_modulus`` held out."""
+    """First second of the whole, last seconds of the five parts and of the whole, and one key in ``ood_modulus`` held out."""
 
     start: int
     train_end: int
@@ -40,10 +40,11 @@ class SplitSpec:
     validation_end: int
     embargo2_end: int
     test_end: int
+    campaign_end: int
     ood_modulus: int = 10
 
     def __post_init__(self) -> None:
-        ends = (self.start, self.train_end, self.embargo1_end, self.validation_end, self.embargo2_end, self.test_end)
+        ends = (self.start, self.train_end, self.embargo1_end, self.validation_end, self.embargo2_end, self.test_end, self.campaign_end)
         if list(ends) != sorted(ends) or self.ood_modulus < 1:
             raise ValueError("splits out of order")
 
@@ -53,7 +54,7 @@ class SplitSpec:
 
 
 # Splits of the events table's thirty days, with two days of embargo.
-MONTH = SplitSpec(1_704_067_200, 1_705_276_799, 1_705_449_599, 1_705_881_599, 1_706_054_399, 1_706_572_799)
+MONTH = SplitSpec(1_704_067_200, 1_705_276_799, 1_705_449_599, 1_705_881_599, 1_706_054_399, 1_706_572_799, 1_706_659_199)
 
 
 def _hour(ts_s: Column, start: int, end: int) -> Column:
@@ -65,27 +66,33 @@ def _padded(hour: Column, width: int) -> Column:
     return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
+# Names of the parts in time, the beginnings of their groups' names, and the digits of the hour.
+PARTS = (("train", "train_hour_", 3), ("train_embargo", "embargo_1_hour_", 2), ("validation", "val_hour_", 2), ("val_embargo", "embargo_2_hour_", 2), ("test", "test_hour_", 2), ("tail_censored", "tail_hour_", 2))
+
+
 def assign_splits(labels: DataFrame, spec: SplitSpec = MONTH) -> DataFrame:
-    """seq, user_id, event_ts_ns, split, group_id, label, censored. Held-out keys come first; then by time; what is after
-    the test is tail. The label is blank in the tail."""
+    """seq, user_id, event_ts_ns, split, group_id, label, censored. Held-out keys come first; then by time. Groups are hours of their
+    part; what is after the test is tail, whose label is blank."""
     s = F.expr(f"event_ts_ns div {NS}")
     ood = first_hash_word(F.col("user_id")) % spec.ood_modulus == 0
-    parts = (("train", spec.start, spec.train_end, 3), ("embargo1", spec.train_end + 1, spec.embargo1_end, 2), ("validation", spec.embargo1_end + 1, spec.validation_end, 2), ("embargo2", spec.validation_end + 1, spec.embargo2_end, 2), ("test", spec.embargo2_end + 1, spec.test_end, 2))
-    short = {"validation": "val"}
-    name = lambda part, a, b, width: F.concat(F.lit(f"{short.get(part, part)}_hour_"), _padded(_hour(s, a, b), width))
-    split, group = F.lit("tail"), F.lit("tail")
-    for part, a, b, width in reversed(parts):
-        split = F.when(s <= b, part).otherwise(split)
-        group = F.when(s <= b, name(part, a, b, width)).otherwise(group)
+    ends = (spec.train_end, spec.embargo1_end, spec.validation_end, spec.embargo2_end, spec.test_end, spec.campaign_end)
+    starts = (spec.start, *(e + 1 for e in ends[:-1]))
+    hour = lambda prefix, a, b, width: F.concat(F.lit(prefix), _padded(_hour(s, a, b), width))
+    split = group = None
+    for (part, prefix, width), a, b in reversed(list(zip(PARTS, starts, ends, strict=True))):
+        name = hour(prefix, a, b, width)
+        split = F.lit(part) if split is None else F.when(s <= b, part).otherwise(split)
+        group = name if group is None else F.when(s <= b, name).otherwise(group)
     tail = s > spec.test_end
     return labels.select(
-        "seq", "user_id", "event_ts_ns", F.when(ood, "ood").otherwise(split).alias("split"), F.when(ood, name("ood", spec.start, spec.test_end, 3)).otherwise(group).alias("group_id"),
+        "seq", "user_id", "event_ts_ns", F.when(ood, "ood").otherwise(split).alias("split"),
+        F.when(ood, hour("ood_hour_", spec.start, spec.campaign_end, 3)).otherwise(group).alias("group_id"),
         F.when(~tail, F.col("label")).alias("label"), F.when(tail, 1).otherwise(F.col("censored")).alias("censored"),
     )
 
 
 def evaluated_only(cohort: DataFrame) -> DataFrame:
-    return cohort.filter(~F.col("split").isin("embargo1", "embargo2", "tail"))
+    return cohort.filter(~F.col("split").isin("train_embargo", "val_embargo", "tail_censored"))
 
 
 def split_summary(cohort: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.functions.columns import log_loss
 from keyloom.functions.fold import ordered_fold
 from keyloom.operators.features import running, w_key
 
@@ -22,12 +23,15 @@ class Policy:
     quota: int = 0
 
     # Other names of the kinds.
-    NAMES = {"exact": "exact_fresh", "fresh": "exact_fresh", "static": "fixed_cadence", "cadence": "fixed_cadence", "fixed": "fixed_cadence", "elapsed_threshold": "elapsed", "time": "elapsed", "pressure": "adaptive", "adaptive_pressure": "adaptive", "budget": "quota", "quota_matched": "quota"}
+    NAMES = {
+        "exactfresh": "exact_fresh", "fresh": "exact_fresh", "u1": "exact_fresh", "fixedcadence": "fixed_cadence", "cadence": "fixed_cadence",
+        "elapsedthreshold": "elapsed", "elapsed_threshold": "elapsed", "adaptivepressure": "adaptive", "adaptive_pressure": "adaptive",
+    }
 
     @staticmethod
     def of(name: str, cadence: int = 1, elapsed_ns: int = 0, quota: int = 0) -> Policy:
         """By name, whatever its case."""
-        kind = name.strip().lower().replace("-", "_")
+        kind = name.lower()
         return Policy(Policy.NAMES.get(kind, kind), cadence, elapsed_ns, max(16, cadence), quota)
 
     def __post_init__(self) -> None:
@@ -83,17 +87,28 @@ def accounting(published: DataFrame, queries: DataFrame | None = None) -> DataFr
 
 
 CANDIDATES = (2, 3, 5, 8, 10, 15, 20)
-
-
-def cadence_costs(events: DataFrame, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
-    """For each cadence: publications, work ratio and mean staleness (pending after each event). One pass: every event
-    is counted for each of the few candidates, as sums."""
-    rn = events.select(F.row_number().over(w_key()).alias("rn"))
-    per = rn.select(F.explode(F.array(*[F.struct(F.lit(k).alias("cadence"), F.lit(i).alias("rank")) for i, k in enumerate(candidates)])).alias("c"), "rn").select("c.*", "rn")
-    return per.groupBy("cadence", "rank").agg(F.count_if(F.col("rn") % F.col("cadence") == 0).alias("publications"), (F.count_if(F.col("rn") % F.col("cadence") == 0) / F.count("*")).alias("work_ratio"), (F.sum(F.col("rn") % F.col("cadence")) / F.count("*")).alias("mean_staleness"))
-
-
-def tune_cadence(events: DataFrame, work_price: float = 50.0, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
-    """The costs with ``objective`` = mean staleness + price x work ratio, and which is chosen: the least, the first of equals."""
-    costs = cadence_costs(events, candidates).withColumn("objective", F.col("mean_staleness") + F.lit(work_price) * F.col("work_ratio"))
-    return costs.withColumn("chosen", F.row_number().over(Window.orderBy("objective", "rank")) == 1).drop("rank")  # as many rows as candidates
+WORK_PRICE = 0.05
+
+
+def cached_scores(scored: DataFrame, cadences: dict[str, int], cold: float) -> DataFrame:
+    """Adds for each name the score that is public at each event under its cadence: that of the key's last published event, or
+    ``cold`` before the first. ``scored`` has key, seq and ``score``, the fresh one."""
+    at = scored.withColumn("__rn", F.row_number().over(w_key()))
+    public = lambda k: F.last(F.when(F.col("__rn") % k == 0, F.col("score")), True).over(running())
+    return at.withColumns({name: F.coalesce(public(k), F.lit(cold)) for name, k in cadences.items()}).drop("__rn")
+
+
+def tune_cadence(scored: DataFrame, rows: DataFrame, cold: float, work_price: float = WORK_PRICE, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
+    """For each cadence: publications and work ratio over all events, mean gap (how much more log loss the public score has than the
+    fresh one, where it has more) over the labelled ``rows`` (seq, label), objective = gap + price x work ratio, and which is chosen:
+    the least, the first of equals. Labels are the rows' own; all candidates are taken in one pass."""
+    names = {f"__c{k}": k for k in candidates}
+    public = cached_scores(scored, names, cold).withColumn("__n", F.row_number().over(w_key()))
+    loss = lambda p: log_loss(F.col("label"), F.col(p))
+    work = public.agg(F.count("*").alias("all"), *[F.count_if(F.col("__n") % k == 0).alias(n) for n, k in names.items()])
+    gaps = public.join(rows, "seq").agg(*[F.avg(F.greatest(F.lit(0.0), loss(n) - loss("score"))).alias(n) for n in names])
+    long = lambda df, value, *more: df.select(*more, F.explode(F.array(*[F.struct(F.lit(k).alias("cadence"), F.lit(i).alias("rank"), F.col(n).alias(value)) for i, (n, k) in enumerate(names.items())])).alias("x")).select(*more, "x.*")
+    costs = long(work, "publications", "all").join(long(gaps, "mean_gap").drop("rank"), "cadence").withColumn("work_ratio", F.col("publications") / F.col("all"))
+    costs = costs.withColumn("objective", F.col("mean_gap") + F.lit(work_price) * F.col("work_ratio"))
+    chosen = F.row_number().over(Window.orderBy("objective", "rank")) == 1  # as many rows as candidates
+    return costs.withColumn("chosen", chosen).select("cadence", "publications", "work_ratio", "mean_gap", "objective", "chosen")

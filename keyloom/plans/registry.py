@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import columns as C
-from keyloom.operators import cache, canonical, controllers, inference, labels, metrics, policies, reconcile, taxonomy, training, workload
+from keyloom.operators import cache, canonical, comparison, controllers, inference, labels, metrics, policies, reconcile, taxonomy, training, workload
 from keyloom.operators import features as feat
 from keyloom.plans.sql import SQL
 from keyloom.sources import events as src
 from keyloom.sources.store import shared_dir, written
 from keyloom.streaming import engine
 
-# The model of the demonstration queries, their horizon and end, and the threshold their failures are told by.
-MODEL = src.LogisticModel(0.2, (0.4, -0.1, 0.3, 0.2, -0.4, 0.1, 0.01))
+# The model of the demonstration queries (its scores spread over the events table, whose gaps are hours), their horizon and end.
+MODEL = src.LogisticModel(0.2, (0.4, -0.1, 0.3, 0.2, -0.4, 0.1, 0.000001))
 HORIZON_NS, END_NS = 86_400 * C.NS, canonical.CAMPAIGN[1] * C.NS
-THRESHOLD = 0.95
 CADENCE = policies.Policy("fixed_cadence", cadence=4)
+# Configurations that are compared, by cadence.
+CONFIGS = {"exact_fresh": 1, "tuned_static": 4, "slow_static": 9}
+DAY_NS = 86_400 * C.NS
 
 
 def r6(*names: str) -> list:
@@ -57,6 +59,21 @@ def _examined(s: SparkSession, d: str) -> DataFrame:
     return _scored(s, d).select("seq", "event_ts_ns", F.col("key").alias("user_id"), "score").join(kept, "seq")
 
 
+def _cold_score(s: SparkSession) -> float:
+    """The rounded score of a key without a published version: all of its features are zero."""
+    zero = s.range(1).select(*[F.lit(0.0).alias(x) for x in C.FEATURES])
+    return feat.scored(zero, MODEL).select(C.rounded(F.col("score"))).first()[0]
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    """seq, user_id, config, group_id (the day), label, score: the labelled test rows with what each configuration has public then."""
+    public = policies.cached_scores(_scored(s, d), CONFIGS, _cold_score(s))
+    kept = _cohort(s, d).filter("split = 'test' and label is not null").select("seq", "label")
+    rows = public.join(kept, "seq").withColumn("group_id", F.expr(f"cast(event_ts_ns div {DAY_NS} as string)"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.col(c).alias("score")) for c in CONFIGS]))
+    return rows.select("seq", F.col("key").alias("user_id"), "group_id", "label", each.alias("x")).select("seq", "user_id", "group_id", "label", "x.*")
+
+
 def _published(s: SparkSession, d: str) -> DataFrame:
     return policies.publish(_features(s, d), CADENCE)
 
@@ -144,13 +161,14 @@ def ema_response(s, d):
 
 
 def stream_features(s, d):
-    """The stream in four files, one a micro-batch, features and publications as in batch."""
+    """The stream in two parts, each written by ranges of seq and then read as one micro-batch; features and publications as in batch."""
     base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     rows = src.events(s, d)
     last = rows.agg(F.max("seq")).first()[0] or 0
-    for k in range(4):  # files are read in the order in which they appear
-        rows.filter(F.expr(f"seq * 4 div {last + 1} = {k}")).coalesce(1).write.mode("append").parquet(f"{base}/events")
-    out = engine.replay(engine.feature_stream(engine.event_stream(s, f"{base}/events"), MODEL, feat.ALPHA, 4), f"{base}/out", f"{base}/checkpoint")
+    for k in range(2):
+        rows.filter(F.expr(f"seq * 2 div {last + 1} = {k}")).repartitionByRange("seq").write.mode("append").parquet(f"{base}/events")
+        stream = engine.feature_stream(engine.event_stream(s, f"{base}/events"), MODEL, feat.ALPHA, CADENCE)
+        out = engine.replay(stream, f"{base}/out", f"{base}/checkpoint")
     return out.select("seq", "key", *r6(*C.FEATURES), "published", "version_id", "pending")
 
 
@@ -221,10 +239,56 @@ def diagnostic_replay(s, d):
 
 
 def paired_sign_flip(s, d):
-    pairs = _labelled(s, d).filter("label is not null").select((F.col("seq") % 7).alias("group_id"), ((F.col("score") - F.col("label")) * (F.col("score") - F.col("label")) - (F.lit(0.8) - F.col("label")) * (F.lit(0.8) - F.col("label"))).alias("d"))
+    """Losses of a slow cadence less those of fresh features, by day of the test."""
+    pairs = comparison.paired(_compared(s, d), "slow_static", "exact_fresh")
     return inference.sign_flip(inference.group_sums(pairs)).select("n_clusters", *r9("mean_difference"), "p_value", "exact")
 
 
+def paired_groups(s, d):
+    """The same by swapping the two within the days, by three metrics."""
+    pairs = written(comparison.paired(_compared(s, d), "slow_static", "exact_fresh"), "pairs")
+    found = [inference.paired_groups(pairs, m, draws=200) for m in ("log_loss", "brier", "f1")]
+    out = found[0].unionByName(found[1]).unionByName(found[2])
+    return out.select("metric", *r9("effect"), "p_value", "n_clusters", "exact", "stratified")
+
+
+def student_intervals(s, d):
+    scores = written(_compared(s, d), "compared")
+    found = [inference.student_interval(comparison.paired(scores, c, "exact_fresh"), "d").withColumn("config", F.lit(c)) for c in CONFIGS if c != "exact_fresh"]
+    return found[0].unionByName(found[1]).select("config", "n", *r9("effect", "low", "high", "dz"))
+
+
+def config_metrics(s, d):
+    """Ranking and proper scores of each configuration, and its loss gaps against fresh features."""
+    scores = written(_compared(s, d), "compared")
+    ranked = metrics.ranking(scores, by=("config",))
+    gaps = comparison.loss_gaps(scores, "exact_fresh").drop("n")
+    return ranked.join(gaps, "config").select("config", "n", *r9("auroc", "ap", "mean_gap", "p95_gap", "max_gap"))
+
+
+def comparative_suite(s, d):
+    found = comparison.suite(written(_compared(s, d), "compared"), list(CONFIGS), "exact_fresh", "tuned_static", draws=200, rows=False)
+    return found.select("candidate", "base", "n", *r9("effect"), "n_clusters", *r9("p_clusters", "adjusted_clusters"), "significant_clusters")
+
+
+def evaluated_with_default(s, d):
+    """The test cohort with the scores of an engine that answered only even numbers: the rest get the default."""
+    cohort = _cohort(s, d).filter("split = 'test'").select("seq", "user_id", "label")
+    return src.with_default_score(cohort, _scored(s, d).filter("seq % 2 = 0"))
+
+
+def validation_events(s, d):
+    """The first thousand events of the validation split inside its window."""
+    spec = labels.MONTH
+    return src.window_events(src.events(s, d), spec.embargo1_end + 1, spec.validation_end, spec.embargo2_end + 1, 1000, _cohort(s, d)).select("seq", "key", "event_ts_ns")
+
+
+def tune_static_cadence(s, d):
+    """Cadences by what they cost on the labelled validation rows."""
+    rows = _cohort(s, d).filter("split = 'validation' and label is not null").select("seq", "label")
+    return policies.tune_cadence(_scored(s, d).select("seq", "key", "score"), rows, _cold_score(s)).select("cadence", "publications", *r9("work_ratio", "mean_gap", "objective"), "chosen")
+
+
 def cluster_bootstrap(s, d):
     pairs = _labelled(s, d).filter("label is not null").select((F.col("seq") % 29).alias("group_id"), ((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))).alias("d"))
     return inference.bootstrap(inference.group_sums(pairs))
@@ -251,9 +315,15 @@ def cyclic_padding(s, d):
     return workload.cyclic(rows, rows.count() * 5 // 2).select("place", "seq", "key")
 
 
-def holdout_taxonomy(s, d):
-    return taxonomy.prevalence(taxonomy.classify(taxonomy.recency(_examined(s, d)), THRESHOLD))
+def failure_taxonomy(s, d):
+    """Failures of the test split; what happened before is told from the rows of all splits."""
+    recent = taxonomy.recency(_cohort(s, d)).filter("label is not null")
+    rows = recent.join(_scored(s, d).select("seq", "score"), "seq")
+    return taxonomy.prevalence(taxonomy.classify(rows)).select("category", "severity", "n", *r6("share"))
+
 
+def activity_terciles(s, d):
+    return taxonomy.by_tier(_compared(s, d), ("config",)).select("tier", "config", "n", *r9("auroc", "ap"))
 
 
 QUERIES = {
@@ -306,16 +376,22 @@ QUERIES = {
     "streaming_metrics": streaming_metrics,
     "temporal_leaks": temporal_leaks,
     "mean_scores": mean_scores,
-    "burst_count": lambda s, d: taxonomy.recency(_cohort(s, d).filter("split = 'test'")).select("seq", "user_id", "burst", "prior", "gap_s"),
-    "failure_taxonomy": holdout_taxonomy,
-    "activity_terciles": lambda s, d: taxonomy.by_tier(_examined(s, d)).select("tier", "n", *r9("auroc", "ap")),
+    "burst_count": lambda s, d: taxonomy.recency(_cohort(s, d)).select("seq", "user_id", "burst", "prior", "gap_s"),
+    "failure_taxonomy": failure_taxonomy,
+    "activity_terciles": activity_terciles,
+    "config_metrics": config_metrics,
+    "paired_groups": paired_groups,
+    "student_intervals": student_intervals,
+    "comparative_suite": comparative_suite,
+    "evaluated_with_default": evaluated_with_default,
+    "validation_events": validation_events,
     "fixed_batches": lambda s, d: controllers.fixed_batches(_ranked(s, d), 100),
     "occupancy_ema": lambda s, d: _batches(s, d).select("generation", "occupancy", "occupancy_ema"),
     "alpha_slew": lambda s, d: controllers.alpha_slew(_batches(s, d), pressure="occupancy_ema").select("generation", *r9("alpha")),
     "mimd_batches": lambda s, d: controllers.batch_sizes(_batches(s, d), pressure="occupancy_ema").select("generation", "batch_target"),
     "controller_actions": lambda s, d: controllers.controller_actions(src.events(s, d), "behavior_code", "seq", ("key",)),
     "pressure_maps": pressure_maps,
-    "tune_static_cadence": lambda s, d: policies.tune_cadence(src.events(s, d)),
+    "tune_static_cadence": tune_static_cadence,
     "actuator_grid": lambda s, d: workload.grid(src.events(s, d)),
     "workload_trace": lambda s, d: _trace(s, d)[0].select("place", "seq", "key", "phase", "phase_idx", "t_sched_ns"),
     "workload_queries": workload_queries,

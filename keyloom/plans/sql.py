@@ -23,7 +23,7 @@ r AS (
 f AS (
   SELECT c.seq, c.event_ts_ns, c.key, c.code, c.item_id, c.rn, r.s AS x0, ln(1e0 + pv) AS x1, ln(1e0 + cart_fav) AS x2, least(gap_s, 3600e0) / 3600e0 AS x3, CAST(buy AS DOUBLE) / n AS x4, ln(1e0 + buy) AS x5, r.g AS x6
   FROM c JOIN r ON r.key = c.key AND r.rn = c.rn),
-z AS (SELECT *, 2e-1 + 4e-1 * x0 + -1e-1 * x1 + 3e-1 * x2 + 2e-1 * x3 + -4e-1 * x4 + 1e-1 * x5 + 1e-2 * x6 AS zz FROM f),
+z AS (SELECT *, 2e-1 + 4e-1 * x0 + -1e-1 * x1 + 3e-1 * x2 + 2e-1 * x3 + -4e-1 * x4 + 1e-1 * x5 + 1e-6 * x6 AS zz FROM f),
 sc AS (SELECT *, floor(CASE WHEN zz >= 0 THEN 1 / (1 + exp(-zz)) ELSE exp(zz) / (1 + exp(zz)) END * 1e6 + 0.5e0) / 1e6 AS score FROM z)"""
 
 LABELS = RAW + r""",
@@ -35,23 +35,53 @@ labels_ AS (
          CASE WHEN NOT cut AND b_ts <= event_ts_ns + 86400000000000 THEN b_seq END AS positive_witness_seq FROM lb)"""
 
 SPLITS_ONLY = r""",
-sp0 AS (SELECT *, event_ts_ns // 1000000000 AS s, CAST('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0 AS ood FROM labels_),
+sp0 AS (
+  SELECT *, event_ts_ns // 1000000000 AS s, CAST('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0 AS ood
+  FROM labels_),
+parts AS (
+  SELECT * FROM (VALUES ('train', 'train_hour_', 3, 1704067200, 1705276799), ('train_embargo', 'embargo_1_hour_', 2, 1705276800, 1705449599),
+    ('validation', 'val_hour_', 2, 1705449600, 1705881599), ('val_embargo', 'embargo_2_hour_', 2, 1705881600, 1706054399),
+    ('test', 'test_hour_', 2, 1706054400, 1706572799), ('tail_censored', 'tail_hour_', 2, 1706572800, 1706659199)) t(part, prefix, width, a, b)),
 sp1 AS (
-  SELECT *, CASE WHEN ood THEN 'ood' WHEN s <= 1705276799 THEN 'train' WHEN s <= 1705449599 THEN 'embargo1' WHEN s <= 1705881599 THEN 'validation' WHEN s <= 1706054399 THEN 'embargo2' WHEN s <= 1706572799 THEN 'test' ELSE 'tail' END AS split FROM sp0),
-sp2 AS (
-  SELECT *, CASE split WHEN 'ood' THEN least(greatest((s - 1704067200) // 3600, 0), (1706572799 - 1704067200) // 3600) WHEN 'train' THEN greatest((s - 1704067200) // 3600, 0) WHEN 'embargo1' THEN (s - 1705276800) // 3600
-            WHEN 'validation' THEN (s - 1705449600) // 3600 WHEN 'embargo2' THEN (s - 1705881600) // 3600 WHEN 'test' THEN (s - 1706054400) // 3600 END AS h FROM sp1),
+  SELECT sp0.*, part, CASE WHEN ood THEN 'ood_hour_' ELSE prefix END AS prefix, CASE WHEN ood THEN 3 ELSE width END AS width,
+         CASE WHEN ood THEN least(greatest((s - 1704067200) // 3600, 0), 719) ELSE least(greatest((s - a) // 3600, 0), (b - a) // 3600) END AS h
+  FROM sp0 JOIN parts ON (s >= a OR part = 'train') AND (s <= b OR part = 'tail_censored')),
 cohort AS (
-  SELECT seq, user_id, event_ts_ns, split, CASE WHEN split = 'tail' THEN 'tail' ELSE CASE split WHEN 'validation' THEN 'val' ELSE split END || '_hour_' ||
-           CASE WHEN split IN ('ood', 'train') AND h < 10 THEN '00' WHEN split IN ('ood', 'train') AND h < 100 THEN '0' WHEN split NOT IN ('ood', 'train') AND h < 10 THEN '0' ELSE '' END || h END AS group_id,
+  SELECT seq, user_id, event_ts_ns, CASE WHEN ood THEN 'ood' ELSE part END AS split,
+         prefix || CASE WHEN length(CAST(h AS VARCHAR)) < width THEN lpad(CAST(h AS VARCHAR), width, '0') ELSE CAST(h AS VARCHAR) END AS group_id,
          CASE WHEN s <= 1706572799 THEN label END AS label, CASE WHEN s > 1706572799 THEN 1 ELSE censored END AS censored
-  FROM sp2)"""
+  FROM sp1)"""
 
 SPLITS = LABELS + SPLITS_ONLY
 SCORED = FEATURES + LABELS.removeprefix(RAW) + r""",
 sl AS (SELECT sc.seq, sc.event_ts_ns, sc.key AS user_id, sc.score, l.label FROM sc JOIN labels_ l ON l.seq = sc.seq)"""
-EXAMINED = SCORED + SPLITS_ONLY + r""",
-te AS (SELECT sc.seq, sc.event_ts_ns, sc.key AS user_id, sc.score, k.label FROM sc JOIN cohort k ON k.seq = sc.seq WHERE k.split = 'test' AND k.label IS NOT NULL)"""
+# What each configuration has public at each labelled test row: the score of the key's last published event.
+CADENCED = SCORED + SPLITS_ONLY + r""",
+pub AS (
+  SELECT a.seq, a.event_ts_ns, a.key AS user_id, a.rn, k.config, k.cadence, a.score AS fresh,
+         coalesce(b.score, floor(1 / (1 + exp(-2e-1)) * 1e6 + 0.5e0) / 1e6) AS score
+  FROM sc a CROSS JOIN (VALUES {configs}) k(config, cadence) LEFT JOIN sc b ON b.key = a.key AND b.rn = a.rn // k.cadence * k.cadence),
+cmp AS (
+  SELECT p.*, c.label, c.split, CAST(p.event_ts_ns // 86400000000000 AS VARCHAR) AS group_id,
+         -(c.label * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + (1 - c.label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15))) AS loss,
+         -(c.label * ln(least(greatest(fresh, 1e-15), 1 - 1e-15)) + (1 - c.label) * ln(1 - least(greatest(fresh, 1e-15), 1 - 1e-15))) AS fresh_loss
+  FROM pub p JOIN cohort c ON c.seq = p.seq WHERE c.label IS NOT NULL)"""
+COMPARED = CADENCED.replace("{configs}", "('exact_fresh', 1), ('tuned_static', 4), ('slow_static', 9)") + r""",
+te AS (SELECT * FROM cmp WHERE split = 'test'),
+pairs AS (
+  SELECT a.seq, a.config AS candidate, b.config AS base, a.group_id, a.label, a.score AS a, b.score AS b, a.loss - b.loss AS d
+  FROM te a JOIN te b ON a.seq = b.seq AND a.config <> b.config)"""
+# Swaps of two models within clusters: all patterns of six clusters or fewer, as bits of a number.
+SWAPPED = r""",
+cl AS (SELECT row_number() OVER (PARTITION BY candidate, base ORDER BY group_id) - 1 AS i, * FROM clusters),
+tot AS (SELECT candidate, base, count(*) AS k, sum(d) AS d, sum(n) AS n FROM cl GROUP BY 1, 2),
+sw AS (
+  SELECT t.candidate, t.base, p, sum(CASE WHEN (p >> i) % 2 = 1 THEN -cl.d ELSE cl.d END) / any_value(t.n) AS v
+  FROM tot t CROSS JOIN range(4096) r(p) JOIN cl ON cl.candidate = t.candidate AND cl.base = t.base WHERE p < 1 << t.k GROUP BY 1, 2, 3),
+pv AS (
+  SELECT t.candidate, t.base, any_value(t.k) AS k, any_value(t.d / t.n) AS effect,
+         CAST(count(*) FILTER (WHERE abs(v) >= abs(t.d / t.n) * (1 - 1e-12)) AS DOUBLE) / (1 << any_value(t.k)) AS p
+  FROM tot t JOIN sw ON sw.candidate = t.candidate AND sw.base = t.base GROUP BY 1, 2)"""
 
 QUERIED = FEATURES + r""",
 q AS (SELECT seq AS query_id, CASE WHEN seq % 10 = 0 THEN key + 1000000000 ELSE key END AS key, event_ts_ns AS query_ts_ns, seq * 4 // (SELECT count(*) FROM raw) AS ph FROM raw WHERE behavior IS NULL),
@@ -121,7 +151,7 @@ SELECT (SELECT count(*) - count(DISTINCT seq) FROM ev) AS duplicate_seq, count(*
     "causal_labels": sql(LABELS, " SELECT * FROM labels_"),
     "label_manifest": sql(LABELS, " SELECT count(*) AS total, count(label) AS evaluated, CAST(sum(censored) AS BIGINT) AS censored, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative, count(positive_witness_seq) AS witnesses, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) / count(label) AS positive_rate FROM labels_"),
     "cohort_splits": sql(SPLITS, " SELECT * FROM cohort"),
-    "evaluated_cohort": sql(SPLITS, " SELECT seq, split, group_id, label FROM cohort WHERE split NOT IN ('embargo1', 'embargo2', 'tail')"),
+    "evaluated_cohort": sql(SPLITS, " SELECT seq, split, group_id, label FROM cohort WHERE split NOT IN ('train_embargo', 'val_embargo', 'tail_censored')"),
     "split_summary": sql(SPLITS, " SELECT split, count(*) AS n, count(DISTINCT user_id) AS n_users, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative, CAST(sum(censored) AS BIGINT) AS censored FROM cohort GROUP BY split"),
     "test_groups": sql(SPLITS, " SELECT group_id, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative, count(*) FILTER (WHERE label IS NOT NULL) >= 30 AS enough FROM cohort WHERE split = 'test' GROUP BY group_id"),
     "ood_users": sql(SPLITS, " SELECT user_id, count(*) AS n FROM cohort WHERE split = 'ood' GROUP BY user_id"),
@@ -153,7 +183,11 @@ SELECT seq, key, published, version_id, pending FROM e"""),
 SELECT (SELECT count(*) FROM f) AS processed, (SELECT count(*) FROM f WHERE rn % 4 = 0) AS published, (SELECT count(*) FROM f WHERE rn % 4 <> 0) AS coalesced, count(*) AS queries,
        count(*) FILTER (WHERE coalesce(rn, 0) < 4) AS cold, count(*) FILTER (WHERE rn >= 4) AS warm, true AS conserved FROM a"""),
     "auroc_ap": sql(SCORED, RANKED.format(by="", rows="sl", part="", group="")),
-    "activity_terciles": sql(EXAMINED, ", ac AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY user_id) <= 3 THEN 'low' WHEN count(*) OVER (PARTITION BY user_id) <= 15 THEN 'med' ELSE 'high' END AS tier FROM te)", RANKED.format(by="tier,", rows="ac", part="PARTITION BY tier", group="GROUP BY tier")),
+    "activity_terciles": sql(COMPARED, r""",
+ac AS (
+  SELECT *, CASE WHEN count(*) OVER w <= 3 THEN 'low' WHEN count(*) OVER w <= 15 THEN 'med' ELSE 'high' END AS tier
+  FROM te WINDOW w AS (PARTITION BY user_id, config))""",
+        RANKED.format(by="tier, config,", rows="ac", part="PARTITION BY tier, config", group="GROUP BY tier, config")),
     "ap_untied": sql(SCORED, r""",
 o AS (SELECT label, sum(label) OVER (ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING) AS tp, row_number() OVER (ORDER BY score DESC, seq) AS k FROM sl WHERE label IS NOT NULL)
 SELECT """, R9.format("sum(CASE WHEN label = 1 THEN CAST(tp AS DOUBLE) / CAST(k AS DOUBLE) END) / sum(label)"), " AS ap FROM o"),
@@ -184,15 +218,34 @@ cc AS (SELECT * FROM cohort WHERE split = 'test')
 SELECT coalesce(cc.seq, pp.seq) AS seq, CASE WHEN cc.seq IS NULL THEN 'phantom' WHEN pp.seq IS NULL THEN 'missing' WHEN k > 1 THEN 'duplicate' WHEN u IS DISTINCT FROM cc.user_id THEN 'key_mismatch'
   WHEN pp.label IS NOT NULL AND pp.label IS DISTINCT FROM cc.label THEN 'label_tampered' WHEN pp.score IS NULL OR pp.score > 1 OR pp.score < 0 THEN 'bad_score' ELSE 'ok' END AS status FROM cc FULL JOIN pp ON cc.seq = pp.seq"""),
     "burst_count": sql(SPLITS, r""",
-t AS (SELECT seq, user_id, event_ts_ns FROM cohort WHERE split = 'test')
-SELECT seq, user_id, (SELECT count(*) FROM t b WHERE b.user_id = a.user_id AND (b.event_ts_ns < a.event_ts_ns OR b.event_ts_ns = a.event_ts_ns AND b.seq < a.seq) AND b.event_ts_ns >= a.event_ts_ns - 3600000000000) AS burst,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_ts_ns, seq) - 1 AS prior, CAST(event_ts_ns - lag(event_ts_ns) OVER (PARTITION BY user_id ORDER BY event_ts_ns, seq) AS DOUBLE) / 1e9 AS gap_s FROM t a"""),
-    "failure_taxonomy": sql(EXAMINED, r""",
-t AS (SELECT a.*, (SELECT count(*) FROM te b WHERE b.user_id = a.user_id AND (b.event_ts_ns < a.event_ts_ns OR b.event_ts_ns = a.event_ts_ns AND b.seq < a.seq) AND b.event_ts_ns >= a.event_ts_ns - 3600000000000) AS burst,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_ts_ns, seq) - 1 AS prior, CAST(event_ts_ns - lag(event_ts_ns) OVER (PARTITION BY user_id ORDER BY event_ts_ns, seq) AS DOUBLE) / 1e9 AS gap_s FROM te a),
-k AS (SELECT CASE WHEN label = 1 AND score < 0.95e0 AND burst >= 2 THEN 'burst' WHEN label = 1 AND score < 0.95e0 AND coalesce(gap_s > 3600, true) THEN 'dormant' WHEN label = 0 AND score >= 0.95e0 AND prior <= 2 THEN 'cold'
-  WHEN (label = 1 AND score < 0.95e0 OR label = 0 AND score >= 0.95e0) AND abs(score - 0.95e0) < 0.002e0 THEN 'margin' WHEN label = 1 AND score < 0.95e0 OR label = 0 AND score >= 0.95e0 THEN 'other' ELSE 'none' END AS category FROM t)
-SELECT category, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM k) AS share FROM k GROUP BY category"""),
+o AS (
+  SELECT *, count(*) FILTER (WHERE split = 'test') OVER w AS prior, CAST(event_ts_ns - max(event_ts_ns) OVER w AS DOUBLE) / 1e9 AS gap_s
+  FROM cohort WINDOW w AS (PARTITION BY user_id ORDER BY event_ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT seq, user_id, prior, gap_s,
+  (SELECT count(*) FROM cohort b WHERE b.user_id = o.user_id AND (b.event_ts_ns < o.event_ts_ns OR b.event_ts_ns = o.event_ts_ns AND b.seq < o.seq)
+   AND o.event_ts_ns - b.event_ts_ns <= 3600000000000) AS burst
+FROM o WHERE split = 'test'"""),
+    "failure_taxonomy": sql(SCORED, SPLITS_ONLY, r""",
+o AS (
+  SELECT *, count(*) FILTER (WHERE split = 'test') OVER w AS prior, CAST(event_ts_ns - max(event_ts_ns) OVER w AS DOUBLE) / 1e9 AS gap_s
+  FROM cohort WINDOW w AS (PARTITION BY user_id ORDER BY event_ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT o.label AS y, sc.score AS p, prior, gap_s,
+    (SELECT count(*) FROM cohort b WHERE b.user_id = o.user_id AND (b.event_ts_ns < o.event_ts_ns OR b.event_ts_ns = o.event_ts_ns AND b.seq < o.seq)
+     AND o.event_ts_ns - b.event_ts_ns <= 3600000000000) AS burst
+  FROM o JOIN sc ON sc.seq = o.seq WHERE split = 'test' AND o.label IS NOT NULL),
+tau AS (SELECT list_sort(list(p))[count(*) // 2 + 1] AS tau FROM t),
+k AS (
+  SELECT CASE WHEN y = 1 AND p < tau AND burst >= 2 THEN 'stale_feature_lag_fn'
+    WHEN y = 1 AND p < tau AND (gap_s IS NULL OR gap_s > 3600) THEN 'inter_arrival_decay_obsolescence'
+    WHEN y = 0 AND p >= tau AND prior <= 2 THEN 'cold_start_miscalibration_fp'
+    WHEN abs(p - tau) < 0.002e0 AND y <> CAST(p >= tau AS INTEGER) THEN 'marginal_decision_ambiguity'
+    WHEN y <> CAST(p >= tau AS INTEGER) THEN 'other' ELSE 'none' END AS category FROM t, tau),
+names AS (SELECT * FROM (VALUES ('stale_feature_lag_fn', 'SEV-2'), ('inter_arrival_decay_obsolescence', 'SEV-2'),
+  ('cold_start_miscalibration_fp', 'SEV-3'), ('marginal_decision_ambiguity', 'SEV-4')) v(category, severity))
+SELECT coalesce(names.category, g.category) AS category, severity, coalesce(n, 0) AS n,
+  """, R6.format("CAST(coalesce(n, 0) AS DOUBLE) / (SELECT count(*) FROM k)"), r""" AS share
+FROM names FULL JOIN (SELECT category, count(*) AS n FROM k GROUP BY category) g ON names.category = g.category"""),
     "fixed_batches": sql(RAW, DEALT, " SELECT generation, first_seq, last_seq, actual_count, actual_count < 100 AS is_tail FROM b0"),
     "occupancy_ema": sql(RAW, DEALT, " SELECT generation, occupancy, v AS occupancy_ema FROM oc"),
     "alpha_slew": sql(RAW, DEALT, r""",
@@ -203,10 +256,14 @@ SELECT generation, """, R9.format("alpha"), " AS alpha FROM al"),
 mb AS (SELECT generation, CAST(CASE WHEN v > 0.7e0 AND 8 > 8 THEN 8 WHEN v < 0.3e0 THEN least(256, greatest(9, CAST(floor(8 * 1.25e0) AS BIGINT))) ELSE 8 END AS BIGINT) AS n FROM oc WHERE generation = 0
        UNION ALL SELECT oc.generation, CASE WHEN v > 0.7e0 AND n > 8 THEN greatest(8, CAST(floor(n * 0.7e0) AS BIGINT)) WHEN v < 0.3e0 AND n < 256 THEN least(256, greatest(n + 1, CAST(floor(n * 1.25e0) AS BIGINT))) ELSE n END FROM mb JOIN oc ON oc.generation = mb.generation + 1)
 SELECT generation, CAST(n AS INTEGER) AS batch_target FROM mb"""),
-    "tune_static_cadence": sql(COUNTED, r""",
-k AS (SELECT * FROM (VALUES (0, 2), (1, 3), (2, 5), (3, 8), (4, 10), (5, 15), (6, 20)) t(rank, cadence)),
-o AS (SELECT cadence, rank, count(*) FILTER (WHERE rn % cadence = 0) AS publications, CAST(count(*) FILTER (WHERE rn % cadence = 0) AS DOUBLE) / count(*) AS work_ratio, CAST(sum(rn % cadence) AS DOUBLE) / count(*) AS mean_staleness FROM c, k GROUP BY ALL)
-SELECT cadence, publications, work_ratio, mean_staleness, mean_staleness + 5e1 * work_ratio AS objective, row_number() OVER (ORDER BY mean_staleness + 5e1 * work_ratio, rank) = 1 AS chosen FROM o"""),
+    "tune_static_cadence": sql(CADENCED.replace("{configs}", "('2', 2), ('3', 3), ('5', 5), ('8', 8), ('10', 10), ('15', 15), ('20', 20)"), r""",
+w AS (
+  SELECT cadence, count(*) FILTER (WHERE rn % cadence = 0) AS publications, CAST(count(*) FILTER (WHERE rn % cadence = 0) AS DOUBLE) / count(*) AS work_ratio
+  FROM pub GROUP BY cadence),
+g AS (SELECT cadence, avg(greatest(0, loss - fresh_loss)) AS mean_gap FROM cmp WHERE split = 'validation' GROUP BY cadence),
+o AS (SELECT *, mean_gap + 0.05e0 * work_ratio AS objective FROM w JOIN g USING (cadence))
+SELECT CAST(cadence AS INTEGER) AS cadence, publications, """, R9.format("work_ratio"), " AS work_ratio, ", R9.format("mean_gap"), " AS mean_gap, ",
+        R9.format("objective"), " AS objective, row_number() OVER (ORDER BY objective, cadence) = 1 AS chosen FROM o"),
     "actuator_grid": sql(COUNTED, r""",
 k AS (SELECT * FROM (VALUES (1), (5), (20)) t(cadence)), b AS (SELECT * FROM (VALUES (8), (32), (128)) t(batch_size)),
 o AS (SELECT cadence, count(*) FILTER (WHERE rn % cadence = 0) AS publications, count(*) AS n FROM c, k GROUP BY cadence)
@@ -238,9 +295,61 @@ SELECT (SELECT count(*) FROM q) / CAST((SELECT count(*) FROM q) AS DOUBLE) AS co
     "budget_match": sql(COUNTED, ", t AS (SELECT count(*) FILTER (WHERE rn % 5 = 0) AS a, count(*) AS n FROM c), u AS (SELECT a, a AS b FROM t) SELECT a, b, abs(a - b) AS difference, CAST(abs(a - b) AS DOUBLE) / greatest(1, a) AS relative, CAST(abs(a - b) AS DOUBLE) / greatest(1, a) <= 0.01 AS matched FROM u"),
     "dispositions": sql(RAW, " SELECT coalesce(behavior, 'served') AS disposition, count(*) AS n FROM raw GROUP BY 1"),
     "diagnostic_replay": sql(FEATURES, " SELECT seq, 'x0' AS \"column\", " + R6.format("x0") + " AS a, " + R6.format("x0 + 1e-3") + " AS b FROM f WHERE seq % 211 = 0"),
-    "paired_sign_flip": sql(SCORED, r""",
-p AS (SELECT seq % 7 AS g, (score - label) * (score - label) - (0.8e0 - label) * (0.8e0 - label) AS d FROM sl WHERE label IS NOT NULL),
-m AS (SELECT row_number() OVER (ORDER BY g) - 1 AS i, sum(d) / count(*) AS d FROM p GROUP BY g),
-k AS (SELECT s, abs(sum(CASE WHEN (s >> i) % 2 = 1 THEN -d ELSE d END) / 7) AS v FROM m, range(128) t(s) GROUP BY s)
-SELECT 7 AS n_clusters, """, R9.format("(SELECT avg(d) FROM m)"), " AS mean_difference, CAST(count(*) FILTER (WHERE v >= (SELECT abs(avg(d)) FROM m) - 1e-12) AS DOUBLE) / 128e0 AS p_value, true AS exact FROM k"),
+    "paired_sign_flip": sql(COMPARED, r""",
+m AS (
+  SELECT row_number() OVER (ORDER BY group_id) - 1 AS i, sum(d) / count(*) AS d
+  FROM pairs WHERE candidate = 'slow_static' AND base = 'exact_fresh' GROUP BY group_id),
+zc AS (SELECT count(*) AS c FROM m),
+k AS (SELECT s, abs(sum(CASE WHEN (s >> i) % 2 = 1 THEN -d ELSE d END) / any_value(c)) AS v FROM m, zc, range(65536) t(s) WHERE s < 1 << c GROUP BY s)
+SELECT CAST((SELECT c FROM zc) AS INTEGER) AS n_clusters, """, R9.format("(SELECT avg(d) FROM m)"), r""" AS mean_difference,
+  CAST(count(*) FILTER (WHERE v >= (SELECT abs(avg(d)) FROM m) * (1 - 1e-12)) AS DOUBLE) / (SELECT 1 << c FROM zc) AS p_value, true AS exact FROM k"""),
+    "paired_groups": sql(COMPARED, r""",
+x AS (
+  SELECT *, (a - label) * (a - label) - (b - label) * (b - label) AS sq, CAST(a >= 0.5e0 AS INTEGER) AS ca, CAST(b >= 0.5e0 AS INTEGER) AS cb
+  FROM pairs WHERE candidate = 'slow_static' AND base = 'exact_fresh'),
+clusters AS (
+  SELECT 'log_loss' AS candidate, 'x' AS base, group_id, -sum(d) AS d, count(*) AS n FROM x GROUP BY group_id
+  UNION ALL SELECT 'brier', 'x', group_id, -sum(sq), count(*) FROM x GROUP BY group_id)""", SWAPPED, r""",
+fc AS (
+  SELECT row_number() OVER (ORDER BY group_id) - 1 AS i, sum(ca * label) AS ta, sum(ca) AS na, sum(cb * label) AS tb, sum(cb) AS nb, sum(label) AS pos
+  FROM x GROUP BY group_id),
+fs AS (
+  SELECT p, sum(CASE WHEN (p >> i) % 2 = 1 THEN tb ELSE ta END) AS ta, sum(CASE WHEN (p >> i) % 2 = 1 THEN nb ELSE na END) AS na,
+         sum(CASE WHEN (p >> i) % 2 = 1 THEN ta ELSE tb END) AS tb, sum(CASE WHEN (p >> i) % 2 = 1 THEN na ELSE nb END) AS nb, sum(pos) AS pos
+  FROM fc, range(4096) r(p) WHERE p < 1 << (SELECT count(*) FROM fc) GROUP BY p),
+fv AS (SELECT p, 2e0 * ta / greatest(1, na + pos) - 2e0 * tb / greatest(1, nb + pos) AS v FROM fs),
+fo AS (SELECT v AS effect FROM fv WHERE p = 0),
+u AS (
+  SELECT candidate AS metric, effect, p AS p_value, k AS n_clusters FROM pv
+  UNION ALL SELECT 'f1', any_value(effect), CAST(count(*) FILTER (WHERE abs(v) >= abs(effect) * (1 - 1e-12) - 5e-324) AS DOUBLE) / count(*), (SELECT count(*) FROM fc) FROM fv, fo)
+SELECT metric, """, R9.format("effect"), " AS effect, p_value, CAST(n_clusters AS INTEGER) AS n_clusters, true AS exact, false AS stratified FROM u"),
+    "config_metrics": sql(COMPARED, r""",
+g AS (SELECT config, score AS s, CAST(sum(label) AS BIGINT) AS pos, count(*) AS n FROM te GROUP BY config, score),
+g2 AS (
+  SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY config ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+         sum(pos) OVER (PARTITION BY config ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(n) OVER (PARTITION BY config ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS seen FROM g),
+g3 AS (
+  SELECT config, sum(pos) AS p, sum(n - pos) AS q, sum(pos * (2 * below + n - pos)) AS u2, sum(pos * CAST(tp AS DOUBLE) / CAST(seen AS DOUBLE)) AS a,
+         CAST(sum(n) AS BIGINT) AS n FROM g2 GROUP BY config),
+l AS (
+  SELECT config, avg(loss - fresh_loss) AS mean_gap, quantile_cont(loss - fresh_loss, 0.95) AS p95_gap, max(loss - fresh_loss) AS max_gap FROM te GROUP BY config)
+SELECT config, n, """, R9.format("CAST(u2 AS DOUBLE) / (2e0 * CAST(p AS DOUBLE) * CAST(q AS DOUBLE))"), " AS auroc, ", R9.format("a / CAST(p AS DOUBLE)"), " AS ap, ",
+        ", ".join(f"{R9.format(x)} AS {x}" for x in ("mean_gap", "p95_gap", "max_gap")), " FROM g3 JOIN l USING (config)"),
+    "comparative_suite": sql(COMPARED, r""",
+clusters AS (
+  SELECT candidate, base, group_id, -sum(d) AS d, count(*) AS n FROM pairs
+  WHERE base = 'exact_fresh' OR candidate = 'slow_static' AND base = 'tuned_static' GROUP BY ALL)""", SWAPPED, r""",
+e AS (SELECT candidate, base, count(*) AS n, avg(d) AS effect FROM pairs GROUP BY 1, 2),
+h AS (
+  SELECT e.candidate, e.base, e.n, e.effect, pv.k, pv.p,
+         CASE WHEN e.base = 'tuned_static' THEN 2 WHEN e.candidate = 'tuned_static' THEN 0 ELSE 1 END AS id
+  FROM pv JOIN e ON e.candidate = pv.candidate AND e.base = pv.base),
+hr AS (SELECT *, least(1e0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, id) + 1)) AS w FROM h),
+j AS (SELECT *, max(w) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING) AS adjusted FROM hr)
+SELECT candidate, base, n, """, R9.format("effect"), " AS effect, CAST(k AS INTEGER) AS n_clusters, ", R9.format("p"), " AS p_clusters, ", R9.format("adjusted"),
+        " AS adjusted_clusters, adjusted <= 1e0 - 0.95e0 AS significant_clusters FROM j"),
+    "evaluated_with_default": sql(FEATURES, LABELS.removeprefix(RAW), SPLITS_ONLY, r"""
+SELECT c.seq, c.user_id, c.label, CASE WHEN c.seq % 2 = 0 THEN sc.score ELSE 0.1225e0 END AS score FROM cohort c JOIN sc ON sc.seq = c.seq WHERE split = 'test'"""),
+    "validation_events": sql(SPLITS, r"""
+SELECT c.seq, c.user_id AS key, c.event_ts_ns FROM cohort c WHERE split = 'validation' AND event_ts_ns // 1000000000 BETWEEN 1705449600 AND 1705881599 ORDER BY c.seq LIMIT 1000"""),
 }

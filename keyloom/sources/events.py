@@ -71,12 +71,54 @@ def read_queries_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cohort_csv(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Cohort file by column name, optionally one split; blank labels are null."""
+    """Cohort file by column name, optionally one split; blank labels are null. For a cohort to evaluate on see ``evaluation_cohort``."""
     found = spark.read.option("header", True).csv(path)
     out = found.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(COHORT)])
     return out if split is None else out.filter(F.col("split") == split)
 
 
+class BadCohort(ValueError):
+    """What is wrong with a cohort, and how often."""
+
+
+def evaluation_cohort(spark: SparkSession, path: str, split: str | None = "validation") -> DataFrame:
+    """The uncensored rows of a cohort file's split. Raises on a missing column, a value that does not parse, a label other than 0 and 1,
+    a blank group, a number that is there twice, and a split without rows. One pass counts all of them."""
+    found = spark.read.option("header", True).csv(path)
+    schema = T._parse_datatype_string(COHORT)
+    if missing := [f.name for f in schema if f.name not in found.columns]:
+        raise BadCohort(f"missing columns: {missing}")
+    rows = found if split is None else found.filter(F.col("split") == split)
+    cast = {f.name: F.col(f.name).try_cast("double" if f.name == "label" else f.dataType) for f in schema}
+    rows = rows.select(*[c.alias(n) for n, c in cast.items()]).filter(F.col("censored").isNull() | (F.col("censored") != 1))
+    malformed = F.greatest(*[F.col(n).isNull().cast("int") for n in ("seq", "user_id", "event_ts_ns", "censored", "label")]) == 1
+    per = rows.groupBy("seq").agg(F.count("*").alias("n"), F.count_if(malformed).alias("malformed"), F.count_if(~F.col("label").isin(0.0, 1.0)).alias("labels"), F.count_if(F.trim(F.coalesce("group_id", F.lit(""))) == "").alias("groups"))
+    total = per.agg(F.sum("n").alias("rows"), F.sum("malformed").alias("malformed"), F.sum("labels").alias("bad labels"), F.sum("groups").alias("blank groups"), F.sum(F.when(F.col("seq").isNotNull(), F.col("n") - 1)).alias("duplicates")).first().asDict()
+    if not total.pop("rows"):
+        raise BadCohort(f"no rows of split {split!r}")
+    if wrong := {k: v for k, v in total.items() if v}:
+        raise BadCohort(str(wrong))
+    return rows.withColumn("label", F.col("label").cast("int"))
+
+
+def window_events(rows: DataFrame, first_s: int, last_s: int, test_start_s: int, n: int, cohort: DataFrame | None = None, split: str = "validation") -> DataFrame:
+    """The first n events (by seq) of a window of time, none of them at or after the start of the test; with ``cohort`` only those of its
+    split. Raises where there are none. What is short of n is for ``workload.cyclic`` to repeat."""
+    t = F.expr(f"event_ts_ns div {NS}")
+    found = rows.filter(t.between(first_s, last_s) & (t < test_start_s))
+    if cohort is not None:
+        found = found.join(cohort.filter(F.col("split") == split).select("seq"), "seq", "left_semi")
+    found = found.orderBy("seq").limit(n)
+    if found.isEmpty():
+        raise ValueError("no events in the window")
+    return found
+
+
+def with_default_score(cohort: DataFrame, scores: DataFrame, default: float = 0.1225) -> DataFrame:
+    """Every row of the cohort with its score (by seq), or the default where the engine gave none."""
+    return cohort.join(scores.select("seq", "score"), "seq", "left").withColumn("score", F.coalesce("score", F.lit(default)))
+
+
 def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """sample_id and score of several prediction files, one row each; see ``mean_scores``."""
     return spark.read.option("header", True).schema("sample_id string, score double, label int").csv(paths).select("sample_id", "score")
@@ -141,7 +183,3 @@ def unique_json(text: str) -> dict:
         raise ValueError(f"not finite: {name}")
 
     return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
-
-
-def ns(seconds):
-    return seconds * NS

@@ -6,12 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder.
-LOCAL = "/tmp/checkpoints/keyloom"
+#: Used only where the session names no checkpoint folder and runs on one machine.
+LOCAL = "file:///tmp/checkpoints/keyloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local one on a local master; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or LOCAL).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -11,28 +11,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from keyloom.functions.columns import FEATURES, WEIGHTS
+from keyloom.operators.cache import latest, versions
+from keyloom.operators.policies import Policy
 from keyloom.sources.events import EVENT, LogisticModel
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "seq long, event_ts_ns long, key long, behavior_code int, " + ", ".join(f"{x} double" for x in FEATURES) + ", score double, published boolean, version_id long, pending long"
-STATE = "engagement double, gap double, pv long, cart_fav long, buy long, n long, last_seq long, last_ns long, version long, pending long"
+STATE = "engagement double, gap double, pv long, cart_fav long, buy long, n long, last_seq long, last_ns long, version long, pending long, public_ns long"
+EMPTY = (0.0, 0.0, 0, 0, 0, 0, -1, 0, 0, 0, 0)
+
+
+def decide(policy: Policy, version: int, pending: int, since_ns: int, pressure: float | None) -> bool:
+    """Whether an event of a key is published, from what has been so far; a quota needs all events' order and is for batches."""
+    if policy.kind == "exact_fresh":
+        return True
+    if policy.kind == "fixed_cadence":
+        return pending + 1 >= policy.cadence
+    if policy.kind == "elapsed":
+        return version == 0 or since_ns >= policy.elapsed_ns
+    p = min(max(pressure, 0.0), 1.0)
+    return pending + 1 >= min(max(policy.cadence + int(p * (policy.cadence_max - policy.cadence)), policy.cadence), policy.cadence_max)
 
 
 class KeyedFeatures(StatefulProcessor):
-    """State of one key. Rows of a micro-batch are put in order of seq first; a row that is not after the last one seen
-    fails the query: there is no late data, only disorder."""
+    """State of one key. Rows of a micro-batch are put in order of seq first (a key's share of one micro-batch is in memory, which
+    the number of files a micro-batch takes bounds); a row that is not after the last one seen fails the query: there is no late
+    data, only disorder."""
 
-    def __init__(self, alpha: float, model: LogisticModel, cadence: int):
-        self.alpha, self.model, self.cadence = alpha, model, cadence
+    def __init__(self, alpha: float, model: LogisticModel, policy: Policy):
+        self.alpha, self.model, self.policy = alpha, model, policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("seq")
-        s, g, pv, cf, buy, n, seq0, ns0, version, pending = self.state.get() if self.state.exists() else (0.0, 0.0, 0, 0, 0, 0, -1, 0, 0, 0)
+        s, g, pv, cf, buy, n, seq0, ns0, version, pending, public = self.state.get() if self.state.exists() else EMPTY
         out = []
-        for seq, ns, code in zip(new["seq"].tolist(), new["event_ts_ns"].tolist(), new["behavior_code"].tolist(), strict=True):
+        pressures = new["pressure"].tolist() if "pressure" in new else [None] * len(new)
+        for seq, ns, code, pressure in zip(new["seq"].tolist(), new["event_ts_ns"].tolist(), new["behavior_code"].tolist(), pressures, strict=True):
             if n and (seq <= seq0 or ns < ns0):
                 raise ValueError(f"event {seq} of key {key[0]} is out of order")
             gap = (ns - ns0) / 1e9 if n else 0.0
@@ -44,33 +61,55 @@ class KeyedFeatures(StatefulProcessor):
             for w, v in zip(self.model.weights, x, strict=True):
                 z += w * v
             score = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
-            hit = pending + 1 >= self.cadence
-            version, pending = (version + 1, 0) if hit else (version, pending + 1)
+            hit = decide(self.policy, version, pending, ns - public, pressure)
+            version, pending, public = (version + 1, 0, ns) if hit else (version, pending + 1, public)
             out.append((seq, ns, int(key[0]), code, *x, score, hit, version, pending))
             seq0, ns0 = seq, ns
-        self.state.update((s, g, pv, cf, buy, n, seq0, ns0, version, pending))
+        self.state.update((s, g, pv, cf, buy, n, seq0, ns0, version, pending, public))
         yield pd.DataFrame(out, columns=["seq", "event_ts_ns", "key", "behavior_code", *FEATURES, "score", "published", "version_id", "pending"])
 
     def close(self) -> None:
         pass
 
 
-def feature_stream(events: DataFrame, model: LogisticModel, alpha: float = 0.1, cadence: int = 1) -> DataFrame:
-    """A stream of canonical events to a stream of features, scores and publications."""
-    return events.groupBy("key").transformWithStateInPandas(KeyedFeatures(alpha, model, cadence), OUT, "Append", "None")
+def feature_stream(events: DataFrame, model: LogisticModel, alpha: float = 0.1, policy: Policy | None = None) -> DataFrame:
+    """A stream of canonical events (for the adaptive policy with ``pressure``) to a stream of features, scores and publications."""
+    policy = policy or Policy("exact_fresh")
+    if policy.kind == "quota" or policy.kind == "adaptive" and "pressure" not in events.columns:
+        raise ValueError("a stream has no quota, and an adaptive one needs a pressure")
+    return events.groupBy("key").transformWithStateInPandas(KeyedFeatures(alpha, model, policy), OUT, "Append", "None")
+
+
+def cache_stream(stream: DataFrame, path: str, checkpoint: str):
+    """Starts writing the published versions of a feature stream below ``path``, one folder for each micro-batch, so that one that is
+    run again replaces its own. ``latest_versions`` reads what is public."""
+    def put(batch: DataFrame, number: int) -> None:
+        versions(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+
+
+def latest_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each key that ``cache_stream`` has written: an upsert by reading, as versions are only ever added."""
+    return latest(spark.read.parquet(path).drop("batch"))
 
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Canonical events from Parquet files as they come, so many files a micro-batch (that is the backpressure)."""
-    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Canonical events from Parquet files as they come; all new files are a micro-batch, or at most so many (the oldest first)."""
+    reader = spark.readStream.schema(EVENT)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
-def replay(stream: DataFrame, path: str, checkpoint: str, timeout_s: float = 600) -> DataFrame:
-    """Runs a bounded stream to its end into Parquet at ``path`` and reads it back. A query that fails or takes longer raises."""
+def replay(stream: DataFrame, path: str, checkpoint: str, timeout_s: float | None = None) -> DataFrame:
+    """Runs a bounded stream to its end into Parquet at ``path`` and reads it back. A query that fails raises, and so does one that takes
+    longer than ``timeout_s``, if that is given."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
-    if not query.awaitTermination(timeout_s):
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"the stream took more than {timeout_s} s")
     return spark.read.parquet(path)
