@@ -6,13 +6,20 @@ into a 64-byte signature. Texts that share a band key are candidates; within a b
 share of equal nibbles, corrected for chance, estimates the similarity. Candidates within
 reach of the threshold are confirmed on the full shingle sets of the whole texts.
 
-Equal sets are collapsed first, so copies cost one row. A bucket is worked on in blocks of
-bounded size: the texts in reach of another meet there, and of the links a block confirms it
-passes on a spanning forest. So a group of copies of any size yields few rows, and no link
-between different texts is lost to a cap.
-
-A row without an id is compared with nothing, has no component and is kept. Null, empty
-and wordless texts have no shingles and link with nothing. Ids name one text each.
+Equal sets are one class, so copies cost one row. A large bucket is dealt into parts of bounded
+size, and a few members of it, chosen by hash, stand in all of its parts: near copies of one text
+find each other through these leaders, each member in one part of its bucket, and of the links a
+part confirms it passes on a spanning forest. Then connected components are taken. Only where a
+dealt bucket holds members of more than one component is anything left to compare: each member
+outside the bucket's largest component with all others of other components, in bounded blocks.
+So no link between different texts is lost to a cap, and a bucket of any number of near copies
+costs its members once.
+
+Rows are known by 128 bits of hash of their id and text, so ids may be null or repeat.
+``near_duplicates`` compares a row without an id with nothing; it has no component and is kept. Rows
+that share an id but not their text are compared each by its own text. ``one_of_each`` is for whole rows,
+those without ids included. Null, empty and wordless texts have no shingles and link with nothing. Texts of
+any length are taken whole; a part holds fewer members where they are long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
-from keyloom.llm.groups import SIDE, in_blocks, map_groups
+from keyloom.llm.groups import map_groups
+from keyloom.llm.shares import maybe_among, with_facts
 from keyloom.llm.store import cut, table
 from keyloom.llm.words import SPACED, mix, shingles, slices, split, text_buffers
 
@@ -32,9 +40,13 @@ ROWS, BANDS, BITS = 4, 32, 4
 MINIMA = ROWS * BANDS
 #: Standard deviations below the threshold at which an estimate is still confirmed.
 REACH = 4.5
-#: Shingles of the texts on one side of a block, about.
-SIDE_SHINGLES = 2_000_000
-BLOCK = ["key", "low", "high"]
+#: Members of a part, and shingles of their texts, about.
+SIDE, SIDE_SHINGLES = 512, 1_000_000
+#: Members of a part at least, however long their texts.
+LEAST_MEMBERS = 8
+#: Members that stand in all parts of their bucket, in expectation.
+LEADERS = 32
+BLOCK = ["key", "part", "other"]
 
 _ODD = np.random.default_rng(5).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.uint64(32)
@@ -80,17 +92,29 @@ def _features(column, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set (hi, lo), band keys and the packed signature of every row."""
+    """doc_id, the row's name (r1, r2), n_shingles, a 128-bit name of the set (hi, lo), band keys and the packed signature of every row."""
 
     def run(batches):
         for b in batches:
-            count, hi, lo, bands, packed = _features(b.column(1), words)
+            count, hi, lo, bands, packed = _features(b.column(3), words)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(count) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
             size = packed.shape[1]
             packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(np.arange(0, len(count) * size + 1, size, dtype=np.int32)), pa.py_buffer(packed.tobytes())])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), bands, packed], ["doc_id", "n_shingles", "hi", "lo", "bands", "packed"])
+            columns = [*b.columns[:3], pa.array(count), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), bands, packed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "r1", "r2", "n_shingles", "hi", "lo", "bands", "packed"])
+
+    rows = named(docs, id_col, text_col)
+    return rows.mapInArrow(run, "doc_id long, r1 long, r2 long, n_shingles long, hi long, lo long, bands array<long>, packed binary")
+
+
+def row_names(id_col: str, text_col: str) -> list:
+    """r1 and r2: 128 bits of hash of a row's id and text."""
+    i, t = F.col(id_col).cast("long"), F.col(text_col)
+    return [F.xxhash64(i.isNull(), i, t).alias("r1"), F.xxhash64(t, i.isNull(), i).alias("r2")]
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, packed binary")
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_names(id_col, text_col), F.col(text_col).alias("text"))
 
 
 def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -118,20 +142,21 @@ def _in_reach(blocks: DataFrame, percent: int) -> DataFrame:
         keep = np.array([(near(i) >= least).any() for i in range(t.num_rows)])
         return {c: t.column(c).combine_chunks().filter(pa.array(keep)) for c in t.column_names} if keep.any() else None
 
-    return map_groups(blocks, BLOCK, work, "key long, low int, high int, part int, rep long, packed binary")
+    return map_groups(blocks, BLOCK, work, "key long, part int, other int, rep long, side int, comp long, packed binary")
 
 
 def _nearness(t: pa.Table):
-    """A function of i: the estimated similarity of member i of a block to all, -1 to itself and, in a block of two parts, to its own part."""
-    part = t.column("part").to_numpy()
-    sig = np.frombuffer(b"".join(t.column("packed").to_pylist()), np.uint64).reshape(len(part), -1)
-    two = t.column("low")[0].as_py() != t.column("high")[0].as_py()
+    """A function of i: the estimated similarity of member i of a block to all; -1 to itself, and if the block has two sides (0 and 1,
+    not -1) also to its own side and component."""
+    side, comp = t.column("side").to_numpy(), t.column("comp").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("packed").to_pylist()), np.uint64).reshape(len(side), -1)
+    two = side[0] >= 0
 
     def near(i: int) -> np.ndarray:
         s = estimate(sig[i], sig)
         s[i] = -1
         if two:
-            s[part == part[i]] = -1
+            s[(side == side[i]) | (comp == comp[i])] = -1
         return s
 
     return near
@@ -169,30 +194,113 @@ def _links(rows: DataFrame, percent: int, words: int) -> DataFrame:
     return map_groups(rows, BLOCK, work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    rows = cut(signatures(docs, id_col, text_col, words), "signatures")
-    sets = rows.filter("n_shingles > 0 and doc_id is not null")
-    first = sets.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "bands", "packed")).alias("x"), F.min("n_shingles").alias("n"))
-    classes = cut(first.select("hi", "lo", F.col("x.doc_id").alias("rep"), "n", "x.bands", "x.packed"), "classes")
+def _confirmed(near: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links among the members in reach. Blocks with the same members count once, and only their texts are shuffled."""
+    held = near.groupBy(*BLOCK).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep", "side")).alias("who"))
+    held = held.groupBy("n", "who").agg(F.min(F.struct(*BLOCK)).alias("block")).select("block.*")
+    near = near.join(held.hint("merge"), BLOCK, "left_semi")
+    wanted = cut(near.select("rep").distinct().join(classes.select("rep", "r1", "r2").hint("merge"), "rep"), "wanted")
+    some = maybe_among(texts, wanted, ["r1", "r2"], wanted.count()).filter("__maybe")
+    # Equal rows meet as one: partial aggregates, before they are shuffled.
+    some = some.groupBy("r1", "r2").agg(F.min("text").alias("text")).join(wanted.hint("merge"), ["r1", "r2"]).select("rep", "text")
+    return _links(near.join(some.hint("merge"), "rep"), percent, words)
+
 
+def _members(dealt: DataFrame, buckets: DataFrame, total: int, classes: DataFrame) -> DataFrame:
+    """key, parts, few, rep and packed of the members of ``buckets``."""
+    met = with_facts(dealt, buckets, ["key"], "members", total)
+    return met.select("key", "parts", "few", "rep").join(classes.select("rep", "packed").hint("merge"), "rep")
+
+
+def _part(parts: str, salt: str):
+    return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(parts)).cast("int")
+
+
+def linked(classes: DataFrame, texts: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, component) of the classes (rep, n, bands, packed, and r1, r2 of a row of each in ``texts``) that have links."""
     dealt = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = dealt.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("members > 1")
-    # Buckets of the same texts count once. A side of a block has at most SIDE texts and about SIDE_SHINGLES shingles.
-    buckets = buckets.groupBy("members", "total", "who").agg(F.min("key").alias("key")).withColumn("load", F.greatest("members", F.ceil(F.col("total") * SIDE / SIDE_SHINGLES)))
-    members = dealt.join(buckets.select("key", "load"), "key").join(classes.select("rep", "packed"), "rep")
-    blocks = in_blocks(members, "key", "load", F.col("rep")).select(*BLOCK, "part", "rep", "packed")
+    grouped = dealt.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("members > 1")
+    # Buckets of the same members count once.
+    grouped = grouped.groupBy("members", "total", "who").agg(F.min("key").alias("key"))
+    load = F.greatest(F.col("members"), F.ceil(F.col("total") * F.lit(SIDE / SIDE_SHINGLES)))
+    parts = F.least(F.ceil(F.col("members") / LEAST_MEMBERS), F.ceil(load / SIDE)).cast("int")
+    few = F.greatest(F.lit(1), F.least(F.lit(LEADERS), F.expr("members div (4 * parts)"))).cast("int")
+    buckets = cut(grouped.withColumn("parts", parts).withColumn("few", few).select("key", "members", "parts", "few"), "buckets")
+    total = classes.count() * BANDS
+    dealt = dealt.select("rep", "key")
+    members = _members(dealt, buckets.select("key", "members", "parts", F.when(F.col("parts") > 1, F.col("few") / F.col("members")).otherwise(0.0).alias("few")), total, classes)
+    leads = F.pmod(F.xxhash64("rep", F.lit("leader")), F.lit(1 << 30)) < F.col("few") * F.lit(float(1 << 30))
+    dealt_to = F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_part("parts", "part")))
+    blocks = members.withColumn("part", F.explode(dealt_to)).select("key", "part", F.lit(0).alias("other"), "rep", F.lit(-1).alias("side"), F.lit(0).cast("long").alias("comp"), "packed")
+    near = cut(_in_reach(blocks, percent), "in-reach")
+    found = components(_confirmed(near, classes, texts, percent, words))
+    many = buckets.filter("parts > 1")
+    if many.isEmpty():
+        return found
+    # What leaders did not bring together: members outside their bucket's largest component against all of other components.
+    met = _members(dealt, many, total, classes).join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+    met = cut(met.select("key", "parts", "rep", "packed", F.coalesce("component", "rep").alias("comp")), "dealt-members")
+    by_comp = met.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    mixed = by_comp.groupBy("key").agg(F.max_by("comp", "k").alias("most"), (F.sum("k") - F.max("k")).alias("rest"), F.sum("k").alias("members")).filter("rest > 0")
+    mixed = cut(mixed.join(many.select("key", "parts").hint("merge"), "key").withColumn("lots", F.least(F.col("rest"), F.ceil(F.col("rest") * F.col("parts") / F.col("members"))).cast("int")), "mixed-buckets")
+    if mixed.isEmpty():
+        return found
+    met = with_facts(met.drop("parts"), mixed, ["key"], "members", total)
+    row = ["key", "rep", "comp", "packed"]
+    all_ = met.select(*row, F.lit(0).alias("side"), _part("parts", "part").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("other"))
+    rest = met.filter("comp != most").select(*row, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), _part("lots", "lot").alias("other"))
+    blocks = all_.unionByName(rest).select(*BLOCK, "rep", "side", "comp", "packed")
     near = cut(_in_reach(blocks, percent), "in-reach")
+    if near.isEmpty():
+        return found
+    more = _confirmed(near, classes, texts, percent, words)
+    return components(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+
+def _labelled(rows: DataFrame, texts: DataFrame, percent: int, words: int) -> tuple[DataFrame, int]:
+    """(for each set, by hi and lo, its ``copies`` and ``best``, the first row of its component: the smallest id, null last; rows in all)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    first = rows.groupBy("hi", "lo").agg(F.min(order).alias("x"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("packed").alias("packed"))
+    classes = cut(first.select(F.monotonically_increasing_id().alias("rep"), "hi", "lo", "n", "copies", "x", "x.r1", "x.r2", "bands", "packed"), "classes")
+    found = linked(classes, texts, percent, words)
+    named_ = cut(classes.select("rep", "hi", "lo", "copies", "x").join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left"), "class-components")
+    # Every vertex with a link has a component; classes without one are their own.
+    bests = cut(named_.filter("component is not null").groupBy("component").agg(F.min("x").alias("best"), F.count("*").alias("k")), "component-firsts")
+    total = bests.agg(F.sum("k")).first()[0] or 0
+    linked_ = with_facts(named_.filter("component is not null"), bests, ["component"], "k", total).select("hi", "lo", "copies", "best")
+    return cut(linked_.unionByName(named_.filter("component is null").select("hi", "lo", "copies", F.col("x").alias("best"))), "set-firsts"), rows.count()
 
-    # Only texts in reach of another go on. Merged, not broadcast: the ids grow with the input.
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    held = texts.join(near.select("rep").distinct().hint("merge"), "rep").groupBy("rep").agg(F.min("text").alias("text"))
-    found = components(_links(near.join(held.hint("merge"), "rep"), percent, words))
-    named = classes.select("hi", "lo", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    rows = cut(signatures(docs, id_col, text_col, words), "signatures")
+    able = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    firsts, total = _labelled(rows.filter(able), named(docs, id_col, text_col), percent, words)
     one = rows.select("doc_id", "n_shingles", "hi", "lo")
-    alone = one.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = one.filter("n_shingles > 0 and doc_id is not null").join(named, ["hi", "lo"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    alone = one.filter(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    met = with_facts(one.filter(able), firsts, ["hi", "lo"], "copies", total).select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"))
+    return met.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one of the smallest id (rows without ids last, then by the hash
+    of id and text), columns as they were. Of rows alike in id and text one stays, whichever is met first. Rows
+    without shingles all stay. Only rows that may go, or that repeat, are shuffled."""
+    rows = cut(signatures(docs, id_col, text_col, words), "signatures").filter("n_shingles > 0")
+    firsts, total = _labelled(rows, named(docs, id_col, text_col), percent, words)
+    judged = with_facts(rows.select("hi", "lo", "r1", "r2"), firsts, ["hi", "lo"], "copies", total)
+    stays = (F.col("r1") == F.col("best.r1")) & (F.col("r2") == F.col("best.r2"))
+    judged = judged.select("r1", "r2", stays.alias("stays")).groupBy("r1", "r2").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n"))
+    touched = cut(judged.filter("not stays or n > 1"), "touched-rows")
+    n = touched.agg(F.count("*"), F.sum("n")).first()
+    r1, r2 = (c.alias(f"__{k}") for c, k in zip(row_names(id_col, text_col), ("r1", "r2"), strict=True))
+    key = ["__r1", "__r2"]
+    asked = maybe_among(docs.select("*", r1, r2), touched.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")), key, n[0])
+    some = asked.filter("__maybe").drop("__maybe")
+    facts = touched.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("stays").alias("__stays"), F.col("n").alias("__n"))
+    met = with_facts(some, facts, key, "__n", n[1] or 0, "left")
+    once = met.filter("__stays").dropDuplicates(key)  # the first of its equals: partial aggregates
+    return asked.filter("not __maybe").select(*docs.columns).unionByName(met.filter("__stays is null").select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/keyloom"
+#: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
+LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/keyloom"
+#: Below the shared folder: what this session has written, until it is dropped.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; sets a local one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local one on a local master; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = LOCAL_CHECKPOINTS
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(found)
@@ -31,9 +35,34 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _written.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is; what is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes what ``cut`` has written since it had written ``since`` tables (all but the last one, if asked). For callers that
+    are done with the results, which are read from these tables."""
+    end = len(_written) - keep_last
+    for path in _written[since:end]:
+        drop(spark, path)
+    del _written[since:end]
+
+
+def n_written() -> int:
+    return len(_written)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
