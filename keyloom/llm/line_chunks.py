@@ -1,18 +1,23 @@
 """Line deduplication by repeated passages of lines.
 
-The smallest passage is two successive lines. A rolling hash over them is taken at every line, so
-every passage of two lines or more that occurs twice is found whole, wherever it stands and
+The smallest passage is two successive lines. A rolling hash over the lines' hashes is taken at every
+line, so every passage of two lines or more that occurs twice is found whole, wherever it stands and
 whatever is around it: all of its windows of two lines repeat, those over its first and last
-lines too. The first place of a window (by id, then place in the text) keeps it; at all others
-its lines go, so a longer passage goes line by line up to where the texts differ. Before that
-the bytes of all windows of one hash are compared (by their SHA-256), and where they differ none
-of them is touched. A window that overlaps its own first place, as in three equal lines, is no
+lines too. So it is the content that says where a removed passage begins and ends, and lines put in
+before it shift nothing. Windows of one rolling hash are told apart by the SHA-256 of their bytes, so
+only windows of equal bytes are repeats of each other. The first place of a window (by id, then place
+in the text) keeps it; at all others its lines go, so a longer passage goes line by line up to where
+the texts differ. A window that overlaps its own first place, as in three equal lines, is no
 repeat. A single line that repeats between different lines stays.
 
-Windows are counted with partial aggregates, so a passage that a third of the corpus shares meets
-as counts, and the join back to its places is one that adaptive execution may split. Blank lines
-between the lines of a window belong to it. Rows that are equal in id and text are one place and
-keep and lose the same lines. Null and empty texts have no lines; null stays null.
+Windows are counted with partial aggregates. Those that are common beyond a bound are few, so they are
+broadcast to their places, which stay where they are (see shares.py). Texts that lose nothing are not
+shuffled.
+
+Blank lines between the lines of a window belong to it. A row is known by 128 bits of hash of its id and
+text; rows that are equal in both are one place and keep and lose the same lines. Null and empty
+texts have no lines; null stays null. A text of any length is read line by line in one task. An empty table
+gives an empty result; other columns of the table are not looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.llm.shares import maybe_among, with_facts
 from keyloom.llm.store import cut, table
 from keyloom.llm.words import _BASE, _BYTE_VALUE, _class, _power, mix, slices, split, text_buffers
 
@@ -33,22 +39,6 @@ LINES = _class([(0x0A, 0x0A), (0x0D, 0x0D)], False)
 LEAST_LINES = 2
 
 
-def chunk_ends(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Whether each line is the last of its chunk: where the rolling hash of it and the line before is less than those at
-    the lines around it, or the text ends. Two such lines never touch, so a chunk has two lines at least, about three on
-    average, and hardly ever many. For chunks that do not overlap; a repeat of a few lines may hold no whole chunk, so repeats
-    are not told by them."""
-    n = len(hashes)
-    ends = np.zeros(n, bool)
-    same = text[1:] == text[:-1]
-    roll = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    roll[1:][same] = mix(hashes[:-1] * _U(0xD6E8FEB86659FD93) + hashes[1:])[same]
-    ends[1:-1] = (roll[1:-1] < roll[:-2]) & (roll[1:-1] <= roll[2:]) & same[:-1] & same[1:]
-    ends[-1:] = True
-    ends[:-1] |= ~same
-    return ends
-
-
 def _lines(column: pa.Array):
     """(start, end, bounds, hi, lo) of the lines of a column, offsets and data. Lines of text i are bounds[i] .. bounds[i+1]-1, bytes count
     from the column's start, and hi and lo are the hash of each line and the next, where the text has a next."""
@@ -72,35 +62,22 @@ def _lines(column: pa.Array):
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """One row for each LEAST_LINES successive lines of ``docs`` (rid, doc_id, text): rid, doc_id, first line, hash."""
+    """One row for each LEAST_LINES successive lines of ``docs`` (r1, r2, doc_id, text): the row's name, doc_id, first line, rolling
+    hash and SHA-256 of the bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            _, _, bounds, hi, lo, _, _ = _lines(b.column(2))
+            start, end, bounds, hi, lo, _, data = _lines(b.column(3))
             n = np.diff(bounds)
             text, line = np.repeat(np.arange(len(n)), n), np.arange(bounds[-1]) - np.repeat(bounds[:-1], n)
-            many = line + LEAST_LINES <= n[text]
-            at = pa.array(text[many])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line[many]), pa.array(hi[many]), pa.array(lo[many])], ["rid", "doc_id", "line", "hi", "lo"])
-
-    return docs.mapInArrow(run, f"rid long, doc_id {kind}, line long, hi long, lo long")
-
-
-def _held_bytes(marked: DataFrame) -> DataFrame:
-    """hi, lo and the SHA-256 of the bytes of the marked windows of each text (rid, text, marks), those of a batch once."""
-
-    def run(batches):
-        for b in batches:
-            start, end, bounds, hi, lo, _, data = _lines(b.column(1))
-            found = set()
-            for i, lines in enumerate(b.column(2).to_pylist()):
-                for k in (int(bounds[i]) + x for x in lines):
-                    found.add((int(hi[k]), int(lo[k]), hashlib.sha256(data[start[k] : end[k + 1]]).digest()))
-            his, los, held = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(held, pa.binary())], ["hi", "lo", "held"])
+            many = np.flatnonzero(line + LEAST_LINES <= n[text])
+            at, whole = pa.array(text[many]), memoryview(data)
+            held = [hashlib.sha256(whole[x:y]).digest() for x, y in zip(start[many].tolist(), end[many + LEAST_LINES - 1].tolist(), strict=True)]
+            columns = [*(b.column(k).take(at) for k in range(3)), pa.array(line[many]), pa.array(hi[many]), pa.array(lo[many]), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["r1", "r2", "doc_id", "line", "hi", "lo", "held"])
 
-    return marked.select("rid", "text", "marks").mapInArrow(run, "hi long, lo long, held binary")
+    return docs.mapInArrow(run, f"r1 long, r2 long, doc_id {kind}, line long, hi long, lo long, held binary")
 
 
 def _without(found: DataFrame) -> DataFrame:
@@ -136,25 +113,26 @@ def _without(found: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, text, n_lines, n_removed and ``clean`` (the text without repeated passages) of every row."""
-    rid = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, text, n_lines, n_removed and ``clean`` (the text without repeated passages) of every row."""
+    i, t = F.col(id_col), F.col(text_col)
+    rows = docs.select(F.xxhash64(i.isNull(), i, t).alias("r1"), F.xxhash64(t, i.isNull(), i).alias("r2"), i.alias("doc_id"), t.alias("text"))
     all_ = cut(windows(rows), "windows")
+    window, row = ["hi", "lo", "held"], ["r1", "r2"]
+    place = F.struct("doc_id", "r1", "r2", "line")
+    counted = all_.groupBy(*window).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first != last")
+    repeats = cut(counted.select(*window, "n", F.col("first.r1").alias("in_r1"), F.col("first.r2").alias("in_r2"), F.col("first.line").alias("at")), "repeats")
     # Rows alike in id and text are one place, so that a repeated row does not lose what it holds once.
-    place = F.struct("doc_id", "rid", "line")
-    repeats = all_.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first.rid != last.rid or first.line != last.line")
-    repeats = repeats.select("hi", "lo", F.col("first.rid").alias("in_rid"), F.col("first.line").alias("at"))
-    keeps = (F.col("rid") == F.col("in_rid")) & F.col("line").between(F.col("at"), F.col("at") + LEAST_LINES - 1)
-    seen = cut(all_.join(repeats.hint("merge"), ["hi", "lo"]).select("hi", "lo", "rid", "line", keeps.alias("keeps")), "repeats")
-
-    def marked(where: DataFrame, name: str) -> DataFrame:
-        # Merged, not broadcast: the lists grow with the input.
-        return where.groupBy("rid").agg(F.collect_set("line").alias(name)).hint("merge")
-
-    held = _held_bytes(rows.join(marked(seen, "marks"), "rid"))
-    differ = held.groupBy("hi", "lo").agg(F.min("held").alias("a"), F.max("held").alias("b")).filter("a != b").select("hi", "lo")
-    cuts = seen.filter("not keeps").join(differ, ["hi", "lo"], "left_anti")
-    return _without(rows.join(marked(cuts, "cuts"), "rid", "left"))
+    keeps = (F.col("r1") == F.col("in_r1")) & (F.col("r2") == F.col("in_r2")) & F.col("line").between(F.col("at"), F.col("at") + LEAST_LINES - 1)
+    gone = with_facts(all_.select(*window, *row, "line"), repeats, window, "n", all_.count()).filter(~keeps)
+    lines = gone.groupBy(*row, "line").agg(F.count("*").alias("n"))
+    cuts = cut(lines.groupBy(*row).agg(F.collect_list("line").alias("cuts"), F.max("n").alias("n")), "cuts")
+    n_cuts, n_rows = cuts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # Only texts that may lose lines meet their cuts. Equal rows are alike in their cuts, so a hot one is joined by its share.
+    asked = maybe_among(rows, cuts, row, n_cuts)
+    some, rest = asked.filter("__maybe").drop("__maybe"), asked.filter("not __maybe")
+    met = with_facts(some, cuts, row, "n", n_rows, "left").select("doc_id", "text", "cuts")
+    rest = rest.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("cuts"))
+    return _without(met.unionByName(rest))
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
