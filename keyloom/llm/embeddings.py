@@ -4,12 +4,18 @@ in double precision, and distributed connected components.
 A table's key is the signs of a vector against ``bits`` hyperplanes. Bits and tables follow
 from the number of vectors: buckets of about BUCKET vectors, and as many tables as it takes
 to find a pair at the threshold itself with probability RECALL (pairs above it more surely).
-Equal vectors are collapsed first and counted. Buckets are worked on in blocks of bounded
-size; a pair is counted in the first table where it meets, so links are counted without
-being listed, and each block passes on only a spanning forest of its links.
+The signs of all tables, SIGNS at least, are a vector's signature. What is dealt to the
+buckets is signatures: in blocks of bounded size, pairs whose signs differ too much for the
+threshold (by REACH standard deviations) are passed over, and so are pairs that have met in
+an earlier table. Only vectors that have a partner left are sent after, and compared exactly.
+Equal vectors are collapsed first and counted. A pair counts in the first table where it
+meets, so links are counted without being listed, and each block passes on only a spanning
+forest of its links.
 
 Null, empty, zero and non-finite vectors (or with null components) link with nothing, and so
-do rows without an id; vectors of different lengths link with nothing of another length.
+do rows without an id; vectors of different lengths link with nothing of another length. Rows that repeat an id
+are vectors of their own, and each counts the others. An empty table gives an empty result. Vectors
+of single precision are sent as such; all arithmetic is in double precision.
 """
 
 from __future__ import annotations
@@ -24,11 +30,15 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
 from keyloom.llm.groups import in_blocks, map_groups
+from keyloom.llm.shares import with_facts
 from keyloom.llm.store import cut, table
 
 THRESHOLD, RECALL, BUCKET, SEED = 0.9, 0.995, 512, 17
+#: Signs that tell whether a pair can be close, and by how many standard deviations they may be off.
+SIGNS, REACH = 256, 4.5
 #: Vectors of a block's side.
-SIDE = 1024
+SIDE = 512
+BLOCK = ["bucket", "low", "high"]
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
@@ -38,23 +48,40 @@ def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL, bucket: i
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
+def signs_of(x: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
+    """Signs of each vector, those of the tables first; the planes depend on the vectors' length, bits, tables and seed alone."""
+    n = -(-max(SIGNS, bits * tables) // 8) * 8
+    planes = np.random.default_rng([seed, x.shape[1], bits]).standard_normal((x.shape[1], n))
+    return x @ planes > 0
+
+
+def keys_from(signs: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """Key of each vector in each table."""
+    return (signs[:, : bits * tables].reshape(len(signs), tables, bits) * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(axis=2)
+
+
 def keys_of(x: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """Key of each vector in each table; the planes depend on the vectors' length, bits and seed alone."""
-    planes = np.random.default_rng([seed, x.shape[1], bits]).standard_normal((x.shape[1], tables * bits))
-    signs = (x @ planes > 0).reshape(len(x), tables, bits)
-    return (signs * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(axis=2)
+    return keys_from(signs_of(x, bits, tables, seed), bits, tables)
+
+
+def most_differing(threshold: float) -> float:
+    """Signs of SIGNS in which a pair at the threshold differs, at most."""
+    p = math.acos(threshold) / math.pi
+    return SIGNS * p + REACH * math.sqrt(SIGNS * p * (1 - p))
 
 
 def named(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, vector as doubles, its length, and whether it can link at all."""
-    v = F.col(vector_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    """vec_id, the vector (floats as they are, other numbers as doubles), and whether it can link at all."""
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    sound = F.col(id_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(sound, F.lit(False)).alias("sound"), v.alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(np.float64)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -63,41 +90,71 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """rep, copies, v and the keys of all tables."""
+    """rep, copies, v, the packed signs, the keys of all tables and the length."""
 
     def run(batches):
         for b in batches:
             length = pc.list_value_length(b.column(2)).to_numpy()
-            keys = np.zeros((b.num_rows, tables), np.int64)
+            keys, packed = np.zeros((b.num_rows, tables), np.int64), np.zeros(b.num_rows, object)
             for n in np.unique(length):
                 rows = np.flatnonzero(length == n)
-                keys[rows] = keys_of(_units(_matrix(b.column(2).take(pa.array(rows)))), bits, tables)
+                signs = signs_of(_units(_matrix(b.column(2).take(pa.array(rows)))), bits, tables)
+                keys[rows] = keys_from(signs, bits, tables)
+                for i, p in zip(rows.tolist(), np.packbits(signs, axis=1), strict=True):
+                    packed[i] = p.tobytes()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists, pa.array(length.astype(np.int32))], ["rep", "copies", "v", "keys", "dim"])
+            columns = [*b.columns[:3], pa.array(packed.tolist(), pa.binary()), lists, pa.array(length.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "copies", "v", "signs", "keys", "dim"])
 
-    return classes.select("rep", "copies", "v").mapInArrow(run, "rep long, copies long, v array<double>, keys array<long>, dim int")
+    kind = classes.schema["v"].dataType.simpleString()
+    return classes.select("rep", "copies", "v").mapInArrow(run, f"rep long, copies long, v {kind}, signs binary, keys array<long>, dim int")
 
 
-def links(members: DataFrame, threshold: float) -> DataFrame:
-    """From blocks to (a, b, n): n links of a, and if b is not null an edge of the block's spanning forest."""
+def _signs(t: pa.Table) -> np.ndarray:
+    packed = t.column("signs").to_pylist()
+    return np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)
+
+
+def _new_pairs(close: np.ndarray, t: pa.Table, signs: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) marked in ``close`` that this block has to judge: of different sides, and not met in an earlier table."""
+    low, high, tab = (t.column(c)[0].as_py() for c in ("low", "high", "tab"))
+    if low != high:
+        part = t.column("part").to_numpy()
+        close &= part[:, None] != part[None, :]
+    i, j = np.nonzero(np.triu(close, 1))
+    if tab and len(i):
+        keys = keys_from(signs, bits, tables)
+        new = np.ones(len(i), bool)
+        for k in range(tab):
+            new &= keys[i, k] != keys[j, k]
+        i, j = i[new], j[new]
+    return i, j
+
+
+def in_reach(blocks: DataFrame, threshold: float, bits: int, tables: int) -> DataFrame:
+    """The members of each block that have a partner in it whose signs are in reach of the threshold, and which it is first to meet."""
+    most = most_differing(threshold)
+
+    def work(t: pa.Table):
+        signs = _signs(t)
+        s = signs[:, :SIGNS].astype(np.float32) * 2 - 1
+        i, j = _new_pairs((SIGNS - s @ s.T) / 2 <= most, t, signs, bits, tables)
+        keep = np.unique(np.concatenate([i, j]))
+        return {c: t.column(c).combine_chunks().take(pa.array(keep)) for c in t.column_names if c != "signs"} if len(keep) else None
+
+    return map_groups(blocks, BLOCK, work, "bucket long, low int, high int, part int, tab int, rep long")
+
+
+def links(blocks: DataFrame, threshold: float, bits: int, tables: int) -> DataFrame:
+    """From blocks with vectors to (a, b, n): n links of a, and if b is not null an edge of the block's spanning forest."""
 
     def work(t: pa.Table):
         t = t.combine_chunks()
-        col = lambda c: t.column(c).chunk(0)
-        ids, copies, part = (col(c).to_numpy() for c in ("rep", "copies", "part"))
-        low, high, tab = (t.column(c)[0].as_py() for c in ("low", "high", "tab"))
-        u, keys = _units(_matrix(col("v"))), _matrix(col("keys"))
-        n = len(ids)
+        ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        u, n = _units(_matrix(t.column("v").chunk(0))), t.num_rows
         close = (u @ u.T) >= threshold
         close &= close.T
-        np.fill_diagonal(close, False)
-        if low != high:
-            close &= part[:, None] != part[None, :]
-        i, j = np.nonzero(np.triu(close))
-        new = np.ones(len(i), bool)
-        for k in range(tab):  # met in an earlier table: counted there
-            new &= keys[i, k] != keys[j, k]
-        i, j = i[new], j[new]
+        i, j = _new_pairs(close, t, _signs(t), bits, tables)
         if not len(i):
             return None
         count = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
@@ -124,25 +181,33 @@ def links(members: DataFrame, threshold: float) -> DataFrame:
             "n": np.concatenate([count[some].astype(np.int64), np.zeros(len(a), np.int64)]),
         }
 
-    blocks = in_blocks(members, "bucket", "members", F.col("rep"), SIDE).select("bucket", "low", "high", "part", "rep", "copies", "v", "keys", "tab")
-    return map_groups(blocks, ["bucket", "low", "high"], work, "a long, b long, n long")
+    return map_groups(blocks, BLOCK, work, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = cut(named(vectors, id_col, vector_col), "vectors")
     sound = rows.filter("sound")
-    classes = cut(sound.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    bits, tables = plan(classes.count(), threshold, recall)
+    classes = cut(sound.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    bits, tables = plan(n, threshold, recall)
     keyed = cut(_keys(classes, bits, tables), "vector-keys")
-    dealt = keyed.select("rep", F.posexplode("keys").alias("tab", "key"), "dim").withColumn("bucket", F.xxhash64("tab", "key", "dim"))
-    buckets = dealt.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = dealt.select("rep", "tab", "bucket").join(buckets, "bucket").join(keyed.select("rep", "copies", "v", "keys"), "rep")
-    found = cut(links(members, threshold), "vector-links")
+    dealt = keyed.select("rep", F.posexplode("keys").alias("tab", "key"), "dim").select("rep", "tab", F.xxhash64("tab", "key", "dim").alias("bucket"))
+    buckets = cut(dealt.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "vector-buckets")
+    members = with_facts(dealt, buckets, ["bucket"], "members", n * tables).join(keyed.select("rep", "signs").hint("merge"), "rep")
+    blocks = in_blocks(members, "bucket", "members", F.col("rep"), SIDE).select(*BLOCK, "part", "tab", "rep", "signs")
+    near = cut(in_reach(blocks, threshold, bits, tables), "vectors-in-reach")
+    found = cut(links(near.join(keyed.select("rep", "copies", "v", "signs").hint("merge"), "rep"), threshold, bits, tables), "vector-links")
     per = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comp = components(found.filter("b is not null")).withColumnRenamed("id", "rep")
-    info = classes.join(per, "rep", "left").join(comp, "rep", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = sound.join(info, "v").select("vec_id", "n_links", "component_id")
+    info = classes.join(per.hint("merge"), "rep", "left").join(comp.hint("merge"), "rep", "left")
+    info = cut(info.select("v", "copies", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-components")
+    # A component is named by the least id in it.
+    linked_ = info.filter("component is not null")
+    firsts = cut(linked_.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), "vector-firsts")
+    met = with_facts(linked_, firsts, ["component"], "k", firsts.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]).select("v", "copies", "n_links", "component_id")
+    info = cut(met.unionByName(info.filter("component is null").select("v", "copies", "n_links", F.col("least").alias("component_id"))), "vector-info")
+    linked = with_facts(sound.select("vec_id", "v"), info, ["v"], "copies", total).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
