@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keyloom.llm import components, decontaminate, dom, embeddings, html_text, licenses, line_chunks, minhash, mixing, sharding, toxicity
@@ -58,7 +59,12 @@ def prose():
     return list(enumerate(out, 10))
 
 
-def test_minhash(spark, prose):
+@pytest.mark.parametrize("side", [512, 6, 2])
+def test_minhash(spark, prose, monkeypatch, side):
+    """With parts of a few members leaders alone do not find all, and the rest is compared."""
+    monkeypatch.setattr(minhash, "SIDE", side)
+    monkeypatch.setattr(minhash, "LEADERS", min(32, side // 2))
+    monkeypatch.setattr(minhash, "LEAST_MEMBERS", 1 if side < 512 else 8)
     sets = {}
     for i, t in prose:
         w = spaced(t)
@@ -87,6 +93,14 @@ def test_components(spark):
     assert got == {x: m for x, m in low.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_a_hub(spark):
+    """A star whose hub is the largest vertex, and one whose hub is the smallest: no task reads much of it."""
+    n = 100_000
+    stars = spark.range(1, n).selectExpr("id as a", f"{n}L as b").unionByName(spark.range(1, n).selectExpr(f"{2 * n}L as a", f"id + {2 * n} as b"))
+    got = components.components(stars).groupBy("component").count().collect()
+    assert sorted((r["component"], r["count"]) for r in got) == [(1, n), (2 * n, n)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((150, 24))
@@ -231,21 +245,23 @@ def test_line_chunks(spark):
             assert all(line in x["clean"] for line in t.split("\n") if line.startswith("own"))
 
 
-def test_chunk_bounds_do_not_shift():
-    rng = np.random.default_rng(12)
-    lines = rng.integers(1, 2**63, 500, dtype=np.uint64)
-    text = np.zeros(500, np.int64)
-    a = np.flatnonzero(line_chunks.chunk_ends(lines, text))
-    b = np.flatnonzero(line_chunks.chunk_ends(np.concatenate([rng.integers(1, 2**63, 7, dtype=np.uint64), lines]), np.zeros(507, np.int64))) - 7
-    assert set(a[a > 3]) == set(b[b > 3]) and max(np.diff(a)) < 12 and min(np.diff(a[:-1])) >= line_chunks.LEAST_LINES
+def test_passages_do_not_shift(spark):
+    """Lines put in before a passage change nothing of what is taken out of it."""
+    passage = [f"line {i} of the passage" for i in range(40)]
+    docs = [(1, "\n".join(passage)), *((k, "\n".join([*(f"own {k} {j}" for j in range(k)), *passage, f"end {k}"])) for k in range(2, 12))]
+    got = {x["doc_id"]: x["clean"] for x in line_chunks.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1]
+    assert all(got[k] == "\n".join([*(f"own {k} {j}" for j in range(k)), f"end {k}"]) for k in range(2, 12))
 
 
 def test_differing_bytes_are_kept(spark, monkeypatch):
+    """Windows of one rolling hash whose bytes differ are no repeats: with every hash the same, only equal bytes go."""
+    windows = line_chunks.windows
+    monkeypatch.setattr(line_chunks, "windows", lambda rows: windows(rows).withColumns({"hi": F.lit(0).cast("long"), "lo": F.lit(0).cast("long")}))
     text = "a b\nc d\ne f\ng h\ni j\nk l\nm n\no p"
-    docs = spark.createDataFrame([(1, text), (2, text + "\nend of it")], "doc_id long, text string")
-    assert sum(x["n_removed"] for x in line_chunks.dedup_lines(docs).collect()) > 0
-    monkeypatch.setattr(line_chunks, "_held_bytes", lambda marked: marked.selectExpr("explode(array(1L, 2L)) as k", "rid").selectExpr("0L as hi", "0L as lo", "cast(cast(k as string) as binary) as held"))
-    assert sum(x["n_removed"] for x in line_chunks.dedup_lines(docs).collect()) > 0  # another hash differs: these go
+    docs = spark.createDataFrame([(1, text), (2, text + "\nend of it"), (3, "q r\ns t\nu v"), (4, "x y\na b\nc d")], "doc_id long, text string")
+    found = {x["doc_id"]: (x["n_removed"], x["clean"]) for x in line_chunks.dedup_lines(docs).collect()}
+    assert found == {1: (0, text), 2: (8, "end of it"), 3: (0, "q r\ns t\nu v"), 4: (2, "x y")}
 
 
 def test_patience_alignment():
