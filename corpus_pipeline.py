@@ -8,7 +8,6 @@ and read again as the next stage's ``docs``. All but the last return the columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, minhash, mixing, sharding, toxicity
 from keyloom.llm.store import cut, table
@@ -22,13 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; rows that repeat an id count as one
-    document. Rows without an id stay."""
-    found = minhash.near_duplicates(docs)
-    one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    # Merged, not broadcast: the ids grow with the input, and both sides are dealt by doc_id anyway.
-    kept = one.join(found.filter("kept and doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near duplicates, the one of the smallest id. Rows are told apart by id and text, so an id that
+    stands on different texts loses none of them; rows without an id take part and are taken last. Rows without words all stay."""
+    return minhash.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ``virtual_slot``, ``shard`` and ``map_version``."""
-    return sharding.sharded(docs, N_SHARDS)
+    """The documents with ``virtual_slot``, ``shard`` and ``map_version``; the tables' stored slot map is kept and edited."""
+    return sharding.sharded(docs, N_SHARDS, map_path=sharding.map_path(spark, "pipeline", sf_dir))
 
 
 #: (name, function of (spark, docs, sf_dir)); each result is written and read again as the next one's docs.
