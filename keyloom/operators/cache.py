@@ -21,6 +21,11 @@ def latest(all_versions: DataFrame) -> DataFrame:
     return all_versions.groupBy("key").agg(F.max("version_id").alias("version_id"), F.max_by(row, "version_id").alias("v")).select("key", "version_id", "v.*")
 
 
+def size(all_versions: DataFrame) -> DataFrame:
+    """One row: keys that have a version, and publications in all."""
+    return all_versions.agg(F.count_distinct("key").alias("size"), F.count("*").alias("total_publications"))
+
+
 def fresh(features: DataFrame) -> DataFrame:
     """Each key's features after its last event, and its pending updates."""
     return features.groupBy("key").agg(F.max_by(F.struct("pending", *FEATURES), "seq").alias("f")).select("key", F.col("f.pending").alias("update_staleness"), *[F.col(f"f.{x}").alias(f"fresh_{x}") for x in FEATURES])

@@ -56,13 +56,15 @@ def canonical(raw: DataFrame, campaign: tuple[int, int] = CAMPAIGN) -> DataFrame
 def order_violations(events: DataFrame) -> DataFrame:
     """One row: repeated sequence numbers, and pairs of successive events whose time runs back, of a key and of all.
 
-    The global check compares each event with the latest earlier one by ranges of seq: maxima of ranges, then within a range."""
+    The global check deals events by ranges of seq: each is compared with the one before it in its range, the first of a range with the
+    last of the range before."""
     per_key = Window.partitionBy("key").orderBy("seq")
     back = events.select((F.lag("event_ts_ns").over(per_key) > F.col("event_ts_ns")).alias("back")).agg(F.count_if("back").alias("key_regressions"))
-    ranged = events.withColumn("block", F.expr("seq div 65536"))
-    tops = ranged.groupBy("block").agg(F.max_by("event_ts_ns", "seq").alias("last")).select("block", F.lag("last").over(Window.orderBy("block")).alias("carried"))
-    within = F.lag("event_ts_ns").over(Window.partitionBy("block").orderBy("seq"))
-    globally = ranged.withColumn("before", within).join(tops, "block").agg(F.count_if(F.coalesce("before", "carried") > F.col("event_ts_ns")).alias("global_regressions"))
+    ranged = written(events.select("seq", "event_ts_ns").repartitionByRange("seq").withColumn("range", F.spark_partition_id()), "seq-ranges")
+    tops = ranged.groupBy("range").agg(F.max_by("event_ts_ns", "seq").alias("last"))  # as many rows as ranges
+    tops = tops.select("range", F.lag("last").over(Window.orderBy("range")).alias("carried"))
+    within = F.lag("event_ts_ns").over(Window.partitionBy("range").orderBy("seq"))
+    globally = ranged.withColumn("before", within).join(F.broadcast(tops), "range").agg(F.count_if(F.coalesce("before", "carried") > F.col("event_ts_ns")).alias("global_regressions"))
     seqs = events.groupBy("seq").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_seq"))
     return seqs.crossJoin(back).crossJoin(globally)  # one row each
 

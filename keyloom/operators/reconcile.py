@@ -32,6 +32,26 @@ def checked(statuses: DataFrame) -> dict[str, int]:
     return found
 
 
+class SuppressedMisses(Mismatch):
+    """Rows of the evaluated split without a prediction."""
+
+
+class PhantomSamples(Mismatch):
+    """Predictions for rows that are in no split."""
+
+
+def checked_split(cohort: DataFrame, predictions: DataFrame, split: str = "test", key: str = "sample_id") -> DataFrame:
+    """Rows of ``split`` with their score; raises where a prediction is there twice, is for no row of the cohort, or is missing for a row of
+    the split. Rows of other splits may go without."""
+    per = predictions.groupBy(key).agg(F.count("*").alias("copies"), F.min("score").alias("score"))
+    both = cohort.select(key, "split", "label").join(per, key, "full_outer")
+    found = both.agg(F.count_if(F.col("copies") > 1).alias("twice"), F.count_if(F.col("split").isNull()).alias("phantom"), F.count_if((F.col("split") == split) & F.col("copies").isNull()).alias("missing")).first()
+    for error, n in ((Mismatch, found["twice"]), (PhantomSamples, found["phantom"]), (SuppressedMisses, found["missing"])):
+        if n:
+            raise error(f"{n} rows")
+    return both.filter(F.col("split") == split).select(key, "label", "score")
+
+
 def dispositions(predictions: DataFrame, column: str = "disposition") -> DataFrame:
     return predictions.groupBy(F.coalesce(F.col(column), F.lit("served")).alias("disposition")).agg(F.count("*").alias("n"))
 

@@ -24,9 +24,11 @@ PHASES = (Phase("warmup", 2_000, 0, 1_000), Phase("steady", 5_000, 1_000, 1_000)
 
 
 def scaled(n: int, phases: tuple[Phase, ...] = PHASES) -> tuple[Phase, ...]:
-    """The same phases for n events in all."""
+    """The same phases for n events in all; the last takes what rounding leaves."""
     total = sum(p.events for p in phases)
-    return tuple(Phase(p.name, p.events * n // total, p.queries * n // total, p.rate) for p in phases)
+    out = [Phase(p.name, p.events * n // total, p.queries * n // total, p.rate) for p in phases]
+    last = out[-1]
+    return (*out[:-1], Phase(last.name, n - sum(p.events for p in out[:-1]), last.queries, last.rate))
 
 
 def cyclic(events: DataFrame, n: int, order: str = "rank") -> DataFrame:
@@ -110,7 +112,3 @@ def grid(events: DataFrame, cadences: tuple[int, ...] = (1, 5, 20), sizes: tuple
     cells = per.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("batch_size")).withColumn("batches", F.ceil(F.col("n") / F.col("batch_size")).cast("long"))
     falls = F.coalesce(F.col("publications") <= F.lag("publications").over(Window.partitionBy("batch_size").orderBy("cadence")), F.lit(True))
     return cells.select("cadence", "batch_size", "publications", "batches", falls.alias("falls"))
-
-
-def cadence_at(pressure: Column, low: int, high: int) -> Column:
-    return cadence(pressure, low, high)

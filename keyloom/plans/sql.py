@@ -119,7 +119,7 @@ oc AS (SELECT generation, occupancy, 0e0 + 2e-1 * (occupancy - 0e0) AS v FROM b0
 PHASED = r""",
 tot AS (SELECT count(*) AS m FROM ev),
 ph AS (SELECT * FROM (VALUES (0, 'warmup', 2000, 0, 1000), (1, 'steady', 5000, 1000, 1000), (2, 'stress', 15000, 3000, 5000), (3, 'recovery', 5000, 1000, 1000)) t(phase_idx, phase, e, q, rate)),
-ph2 AS (SELECT *, e * m // 27000 AS en, q * m // 27000 AS qn, 1000000000 // rate AS step FROM ph, tot),
+ph2 AS (SELECT *, CASE phase_idx WHEN 3 THEN m - 2000 * m // 27000 - 5000 * m // 27000 - 15000 * m // 27000 ELSE e * m // 27000 END AS en, q * m // 27000 AS qn, 1000000000 // rate AS step FROM ph, tot),
 ph3 AS (SELECT *, coalesce(sum(en) OVER w, 0) AS first, coalesce(sum(en * step) OVER w, 0) AS t0 FROM ph2 WINDOW w AS (ORDER BY phase_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 pl AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS place FROM ev),
 tr AS (SELECT pl.*, phase, phase_idx, CAST((place - first) * step + t0 AS BIGINT) AS t_sched_ns, CASE WHEN qn > 0 THEN greatest(1, en // qn) ELSE 0 END AS every FROM pl JOIN ph3 ON place >= first AND place < first + en)"""

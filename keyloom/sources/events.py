@@ -52,6 +52,25 @@ def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("quote", "").csv(path)
 
 
+def read_events_by_name(spark: SparkSession, path: str, columns: str = EVENT) -> DataFrame:
+    """Columns of an event or label file by name, in any order; a row without a number where one belongs is passed over."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(columns)]).dropna()
+
+
+def read_table_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A strict table of strings: the header is exactly ``columns``, every row has as many values, all ASCII, none blank or quoted. What
+    is not fails the job when it is read."""
+    lines = spark.read.text(path)
+    head = lines.first()
+    if head is None or head[0] != ",".join(columns):
+        raise ValueError(f"the header is not {columns}")
+    cells = lines.filter(F.col("value") != F.lit(head[0])).select(F.split("value", ",", -1).alias("c"), "value")
+    good = (F.size("c") == len(columns)) & F.col("value").rlike("^[\\x20-\\x7e]*$") & ~F.col("value").contains('"') & ~F.exists("c", lambda x: F.trim(x) == "")
+    c = F.when(good, F.col("c")).otherwise(F.raise_error(F.lit("malformed table row")).cast("array<string>"))
+    return cells.select(c.alias("c")).select(*[F.col("c")[i].alias(n) for i, n in enumerate(columns)])
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw behaviour file without a header. A row of wrong width, with an empty or negative or non-numeric field or an
     unknown behaviour fails the job."""
@@ -120,8 +139,8 @@ def with_default_score(cohort: DataFrame, scores: DataFrame, default: float = 0.
 
 
 def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """sample_id and score of several prediction files, one row each; see ``mean_scores``."""
-    return spark.read.option("header", True).schema("sample_id string, score double, label int").csv(paths).select("sample_id", "score")
+    """sample_id, score and label (null where a file has none) of several prediction files, one row each; see ``mean_scores``."""
+    return spark.read.option("header", True).schema("sample_id string, score double, label int").csv(paths)
 
 
 def mean_scores(predictions: DataFrame) -> DataFrame:
@@ -135,10 +154,21 @@ def read_telemetry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 and kind of every file below a folder."""
+    """path, bytes, sha256, kind, lines (ends of lines; null for files that are not text) and header (of a CSV) of every file below a
+    folder. A file is one value here; for folders of large data files see Spark's readers."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = F.when(F.col("path").rlike(r"\.(csv|parquet|json)$"), "data").when(F.col("path").rlike(r"\.(py|cpp|hpp|sh)$"), "code").when(F.col("path").rlike(r"\.(md|txt|pdf)$"), "text").otherwise("other")
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("kind"))
+    text = F.when(F.col("path").rlike(r"\.(csv|json|py|cpp|hpp|sh|md|txt)$"), F.decode("content", "ISO-8859-1"))
+    lines = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n")))).cast("long")
+    header = F.when(F.col("path").endswith(".csv"), F.substring_index(text, "\n", 1))
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("kind"), lines.alias("lines"), header.alias("header"))
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path and what happened to it (added, removed, changed) between two inventories; no rows if nothing did."""
+    a, b = before.select("path", F.col("sha256").alias("a")), after.select("path", F.col("sha256").alias("b"))
+    what = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return a.join(b, "path", "full_outer").select("path", what.alias("what")).filter("what is not null")
 
 
 @dataclass(frozen=True)

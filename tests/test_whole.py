@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import running
-from keyloom.operators import comparison, features, inference, metrics, policies, taxonomy
+from keyloom.operators import cache, canonical, comparison, features, inference, metrics, policies, reconcile, taxonomy, workload
 from keyloom.plans import registry
 from keyloom.sources import events as src
 from keyloom.sources import sinks
@@ -241,3 +241,49 @@ def test_streams_publish_as_batches(spark, tmp_path, policy):
     last = {x["key"]: (x["version_id"], x["seq"]) for x in batch.orderBy("seq").collect()}
     assert {x["key"]: (x["version_id"], x["latest_included_seq"]) for x in engine.latest_versions(spark, f"{base}/cache").collect()} == last
     assert spark.read.parquet(f"{base}/cache").count() == batch.count()
+
+
+def test_order_across_ranges(spark):
+    r = random.Random(32)
+    times = [r.randrange(1000) for _ in range(2000)]
+    df = spark.createDataFrame([(i * 3, t, i % 5) for i, t in enumerate(times)], "seq long, event_ts_ns long, key long").repartition(9)
+    one = canonical.order_violations(df).first()
+    assert one["global_regressions"] == sum(a > b for a, b in zip(times, times[1:], strict=False)) and one["duplicate_seq"] == 0
+    assert one["key_regressions"] == sum(a > b for a, b in zip(times, times[5:], strict=False))
+    assert canonical.within_budget(df, 5).count() == 2000
+    with pytest.raises(ValueError):
+        canonical.within_budget(df, 4)
+    assert sum(p.events for p in workload.scaled(1003)) == 1003
+
+
+def test_files_by_name(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("key,seq,behavior_code,event_ts_ns,item_id,category_id\n7,1,3,10,2,2\n\n7,2,x,11,2,2\n")
+    assert [tuple(x) for x in src.read_events_by_name(spark, str(tmp_path / "e.csv")).collect()] == [(1, 10, 7, 2, 2, 3)]
+    (tmp_path / "t.csv").write_text("a,b\n1,x y\n2,z\n")
+    assert sorted(tuple(x) for x in src.read_table_csv(spark, str(tmp_path / "t.csv"), ["a", "b"]).collect()) == [("1", "x y"), ("2", "z")]
+    with pytest.raises(ValueError):
+        src.read_table_csv(spark, str(tmp_path / "t.csv"), ["b", "a"])
+    for bad in ("1,", '1,"x"', "1,x,2", "1,\u00e9"):
+        (tmp_path / "bad.csv").write_text(f"a,b\n{bad}\n")
+        with pytest.raises(Exception, match="malformed table row"):
+            src.read_table_csv(spark, str(tmp_path / "bad.csv"), ["a", "b"]).collect()
+    before = src.inventory(spark, str(tmp_path)).select("path", "sha256", "lines", "header")
+    rows = {x["path"].rpartition("/")[2]: x for x in before.collect()}
+    assert rows["t.csv"]["lines"] == 3 and rows["t.csv"]["header"] == "a,b"
+    held = spark.createDataFrame(before.collect(), before.schema)
+    (tmp_path / "t.csv").write_text("a,b\n")
+    (tmp_path / "new.txt").write_text("x")
+    (tmp_path / "e.csv").unlink()
+    changes = {x["path"].rpartition("/")[2]: x["what"] for x in src.changed_files(held, src.inventory(spark, str(tmp_path))).collect()}
+    assert changes == {"t.csv": "changed", "new.txt": "added", "e.csv": "removed"}
+
+
+def test_checked_split(spark):
+    cohort = spark.createDataFrame([("a", "test", 1), ("b", "test", 0), ("c", "train", 0)], "sample_id string, split string, label int")
+    scores = lambda *ids: spark.createDataFrame([(i, 0.5) for i in ids], "sample_id string, score double")
+    assert reconcile.checked_split(cohort, scores("a", "b")).count() == 2
+    for ids, error in ((("a",), reconcile.SuppressedMisses), (("a", "b", "z"), reconcile.PhantomSamples), (("a", "a", "b"), reconcile.Mismatch)):
+        with pytest.raises(error):
+            reconcile.checked_split(cohort, scores(*ids))
+    one = cache.size(spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "key long, version_id long")).first()
+    assert tuple(one) == (2, 3)
