@@ -40,6 +40,8 @@ from keyloom.llm.store import cut, table
 
 #: Labelled rows that a model is fitted on, at most (in expectation, by a hash threshold).
 SAMPLE = 16_000
+#: Pieces in which the sample is worked on, however few files it comes from.
+PIECES = 48
 #: Lexicon entries at most, the most significant first.
 ENTRIES = 2_000
 #: Lengths of word beginnings that can be entries.
@@ -133,7 +135,9 @@ class Model:
 
     def measure(self, text: str | None) -> tuple[float, int]:
         """(sum of weights, words)."""
-        folded = fold(text)
+        return self.measure_folded(fold(text))
+
+    def measure_folded(self, folded: str) -> tuple[float, int]:
         return sum(h[2] for h in self.hits(folded)), folded.count(" ") - 1
 
     def features(self, measures: np.ndarray) -> np.ndarray:
@@ -146,9 +150,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def entries_of(text: str | None) -> set[str]:
+def entries_of(folded: str) -> set[str]:
     out = set()
-    for w in set(fold(text).split()):
+    for w in set(folded.split()):
         out.add(f" {w} ")
         for k in range(SHORTEST, min(LONGEST + 1, len(w))):
             out.add(f" {w[:k]}")
@@ -156,12 +160,18 @@ def entries_of(text: str | None) -> set[str]:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """text and toxic of about ``bound`` labelled rows at most that are not held out."""
+    """Folded text and toxic of about ``bound`` labelled rows at most that are not held out."""
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = usable.count()
     if n > bound:
         usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(usable), "doc_id").select("text", "toxic")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in b.column(0).to_pylist()], pa.string()), b.column(1)], ["text", "toxic"])
+
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(usable), "doc_id").select("text", "toxic")
+    return rows.repartition(PIECES).mapInArrow(run, "text string, toxic int")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -187,7 +197,7 @@ def _phrases(sample: DataFrame, weights: dict[str, float], toxic: int, clean: in
         for b in batches:
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = fold(text).split()
+                words = text.split()
                 for w in set(words) - known.keys():
                     known[w] = f" {w} " in shared.value or any(f" {w[:k]}" in shared.value for k in range(SHORTEST, min(LONGEST + 1, len(w))))
                 at = [i for i, w in enumerate(words) if known[w]]
@@ -232,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
 
     def run(batches):
         for b in batches:
-            m = np.array([shared.value.measure(t) for t in b.column(0).to_pylist()], float).reshape(-1, 2)
+            m = np.array([shared.value.measure_folded(t) for t in b.column(0).to_pylist()], float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1]), b.column(1)], ["total", "words", "y"])
 
     got = sample.mapInArrow(run, "total double, words double, y int").groupBy("total", "words", "y").agg(F.count("*").alias("n")).collect()
