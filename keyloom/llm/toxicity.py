@@ -267,11 +267,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05,
     return tuple(float(b) for b in beta)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Every row with all its columns and ``score`` (0 to 1), which replaces any column of that name."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """Every row with all its columns and its score (0 to 1) as ``name``, which replaces any column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.withColumn("score", F.lit(0.0))
-    at, to = out.columns.index(text_col), out.columns.index("score")
+    out = docs.withColumn(name, F.lit(0.0))
+    at, to = out.columns.index(text_col), out.columns.index(name)
 
     def run(batches):
         m = shared.value
@@ -286,9 +286,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` without the rows that score ``cutoff`` or more; columns as they were."""
-    columns = docs.columns
-    wide = docs.withColumn("__row", F.struct(*columns)).select("__row", F.col("text"))
-    return score(wide, model).filter(F.col("score") < cutoff).select("__row.*")
+    return score(docs, model, name="__toxicity").filter(F.col("__toxicity") < cutoff).drop("__toxicity")
 
 
 def op1_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
