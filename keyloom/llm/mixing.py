@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.functions.running import before
 from keyloom.llm.store import cut, table
 from keyloom.llm.words import SPACED, count_words
 
@@ -62,9 +63,10 @@ def source_number(source_col: str):
 
 def weighted_sources(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """source, source_size, weight: sources by code point, null last, weigh ``weights`` in turn."""
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    return by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")))
+    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    ranked = before(by_source, [F.col("source").asc_nulls_last()], ["one"])  # sources may be hosts, and many: they are ordered in ranges
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("one_before", F.lit(len(weights))) + 1).cast("int"))
+    return ranked.select("source", "source_size", weight.alias("weight"))
 
 
 def targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -91,8 +93,8 @@ def placed(groups: DataFrame, goals: DataFrame, order: list[str], buckets: int =
     keyed = keyed.withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
     goals = goals.withColumn("sid", source_number("source")).select("sid", "source_size", "target")
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("words").alias("bucket_size"))
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset")).join(goals, "sid")
+    earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset")).join(goals, "sid")
     inside = Window.partitionBy("sid", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.withColumn("upto", F.sum("words").over(inside)).join(offsets, ["sid", "bucket"])
     budget = F.floor(F.col("target") + 0.5)
