@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.components import components
 from keyloom.llm.groups import in_blocks, map_groups
 from keyloom.llm.shares import with_facts
-from keyloom.llm.store import cut, table
+from keyloom.llm.store import cut, drop_written, n_written, table
 
 THRESHOLD, RECALL, BUCKET, SEED = 0.9, 0.995, 512, 17
 #: Signs that tell whether a pair can be close, and by how many standard deviations they may be off.
@@ -187,7 +187,7 @@ def links(blocks: DataFrame, threshold: float, bits: int, tables: int) -> DataFr
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = cut(named(vectors, id_col, vector_col), "vectors")
-    sound = rows.filter("sound")
+    sound, at = rows.filter("sound"), n_written()
     classes = cut(sound.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     n, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     bits, tables = plan(n, threshold, recall)
@@ -207,6 +207,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     firsts = cut(linked_.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), "vector-firsts")
     met = with_facts(linked_, firsts, ["component"], "k", firsts.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]).select("v", "copies", "n_links", "component_id")
     info = cut(met.unionByName(info.filter("component is null").select("v", "copies", "n_links", F.col("least").alias("component_id"))), "vector-info")
+    drop_written(vectors.sparkSession, at, keep_last=True)
     linked = with_facts(sound.select("vec_id", "v"), info, ["v"], "copies", total).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.shares import maybe_among, with_facts
-from keyloom.llm.store import cut, table
+from keyloom.llm.store import cut, drop_written, n_written, table
 from keyloom.llm.words import _BASE, _BYTE_VALUE, _class, _power, mix, slices, split, text_buffers
 
 _U = np.uint64
@@ -116,6 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, text, n_lines, n_removed and ``clean`` (the text without repeated passages) of every row."""
     i, t = F.col(id_col), F.col(text_col)
     rows = docs.select(F.xxhash64(i.isNull(), i, t).alias("r1"), F.xxhash64(t, i.isNull(), i).alias("r2"), i.alias("doc_id"), t.alias("text"))
+    at = n_written()
     all_ = cut(windows(rows), "windows")
     window, row = ["hi", "lo", "held"], ["r1", "r2"]
     place = F.struct("doc_id", "r1", "r2", "line")
@@ -126,6 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = with_facts(all_.select(*window, *row, "line"), repeats, window, "n", all_.count()).filter(~keeps)
     lines = gone.groupBy(*row, "line").agg(F.count("*").alias("n"))
     cuts = cut(lines.groupBy(*row).agg(F.collect_list("line").alias("cuts"), F.max("n").alias("n")), "cuts")
+    drop_written(docs.sparkSession, at, keep_last=True)
     n_cuts, n_rows = cuts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # Only texts that may lose lines meet their cuts. Equal rows are alike in their cuts, so a hot one is joined by its share.
     asked = maybe_among(rows, cuts, row, n_cuts)

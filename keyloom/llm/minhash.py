@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.components import components
 from keyloom.llm.groups import map_groups
 from keyloom.llm.shares import maybe_among, with_facts
-from keyloom.llm.store import cut, table
+from keyloom.llm.store import cut, drop_written, n_written, table
 from keyloom.llm.words import SPACED, mix, shingles, slices, split, text_buffers
 
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -259,6 +259,7 @@ def linked(classes: DataFrame, texts: DataFrame, percent: int = PERCENT, words:
 
 def _labelled(rows: DataFrame, texts: DataFrame, percent: int, words: int) -> tuple[DataFrame, int]:
     """(for each set, by hi and lo, its ``copies`` and ``best``, the first row of its component: the smallest id, null last; rows in all)."""
+    at = n_written()
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
     first = rows.groupBy("hi", "lo").agg(F.min(order).alias("x"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("packed").alias("packed"))
     classes = cut(first.select(F.monotonically_increasing_id().alias("rep"), "hi", "lo", "n", "copies", "x", "x.r1", "x.r2", "bands", "packed"), "classes")
@@ -268,7 +269,9 @@ def _labelled(rows: DataFrame, texts: DataFrame, percent: int, words: int) -> tu
     bests = cut(named_.filter("component is not null").groupBy("component").agg(F.min("x").alias("best"), F.count("*").alias("k")), "component-firsts")
     total = bests.agg(F.sum("k")).first()[0] or 0
     linked_ = with_facts(named_.filter("component is not null"), bests, ["component"], "k", total).select("hi", "lo", "copies", "best")
-    return cut(linked_.unionByName(named_.filter("component is null").select("hi", "lo", "copies", F.col("x").alias("best"))), "set-firsts"), rows.count()
+    firsts = cut(linked_.unionByName(named_.filter("component is null").select("hi", "lo", "copies", F.col("x").alias("best"))), "set-firsts")
+    drop_written(rows.sparkSession, at, keep_last=True)
+    return firsts, rows.count()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:

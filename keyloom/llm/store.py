@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/keyloom"
-#: Below the shared folder: what this session has written, until it is dropped.
-_written: list[str] = []
+#: What each thread of the driver has written, until it is dropped: what one thread makes no other one deletes.
+_local = threading.local()
+
+
+def _written() -> list[str]:
+    if not hasattr(_local, "paths"):
+        _local.paths = []
+    return _local.paths
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +42,7 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    _written.append(path)
+    _written().append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,17 +53,19 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_written(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
-    """Deletes what ``cut`` has written since it had written ``since`` tables (all but the last one, if asked). For callers that
-    are done with the results, which are read from these tables."""
-    end = len(_written) - keep_last
-    for path in _written[since:end]:
-        drop(spark, path)
-    del _written[since:end]
+def n_written() -> int:
+    """How many tables of this thread are there; a mark for ``drop_written``."""
+    return len(_written())
 
 
-def n_written() -> int:
-    return len(_written)
+def drop_written(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes what this thread has written by ``cut`` since the mark ``since``, but for the last table, if asked. Only for what no result
+    is still read from."""
+    paths = _written()
+    end = len(paths) - keep_last
+    for path in paths[since:end]:
+        drop(spark, path)
+    del paths[since:end]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
