@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import decontaminate, minhash, mixing, sharding, toxicity
-from keyloom.llm.store import cut, table
+from keyloom.llm.store import cut, drop_written, n_written, table
 
 N_SHARDS = 16
 
@@ -54,10 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; a stage's result is written before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``; a stage's result is written before the next one reads it, and what came before it is dropped."""
+    docs, at = table(spark, sf_dir, "documents"), n_written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs, f"stage-{name}")
+            drop_written(spark, at, keep_last=True)
     return docs
