@@ -14,7 +14,8 @@ def before(df: DataFrame, order: list, values: list[str], by: tuple[str, ...] =
     Rows are dealt by ranges of (by, order) and summed in each range; what stands before a range is a sum over the ranges'
     totals, of which there are as many as ranges and groups."""
     pid = "__range"
-    placed = written(df.repartitionByRange(*by, *order).withColumn(pid, F.spark_partition_id()), "ranges")
+    rows = written(df, "rows")  # bounds of ranges are sampled from it: what it is made of is not worked out twice
+    placed = written(rows.repartitionByRange(*by, *order).withColumn(pid, F.spark_partition_id()), "ranges")
     totals = placed.groupBy(pid, *by).agg(*[F.sum(v).alias(f"__{v}") for v in values])
     earlier = Window.partitionBy(*by).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(pid, *by, *[F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__{v}") for v in values])

@@ -318,12 +318,12 @@ def cyclic_padding(s, d):
 def failure_taxonomy(s, d):
     """Failures of the test split; what happened before is told from the rows of all splits."""
     recent = taxonomy.recency(_cohort(s, d)).filter("label is not null")
-    rows = recent.join(_scored(s, d).select("seq", "score"), "seq")
+    rows = written(recent.join(_scored(s, d).select("seq", "score"), "seq"), "examined")
     return taxonomy.prevalence(taxonomy.classify(rows)).select("category", "severity", "n", *r6("share"))
 
 
 def activity_terciles(s, d):
-    return taxonomy.by_tier(_compared(s, d), ("config",)).select("tier", "config", "n", *r9("auroc", "ap"))
+    return taxonomy.by_tier(written(_compared(s, d), "compared"), ("config",)).select("tier", "config", "n", *r9("auroc", "ap"))
 
 
 QUERIES = {
