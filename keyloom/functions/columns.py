@@ -53,6 +53,11 @@ def finite_decimal(text: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+def finite(x: Column, what: str) -> Column:
+    """``x``, failing when read if it is infinite or not a number; null stays."""
+    return F.when(x.isNull() | (~F.isnan(x) & (F.abs(x) < float("inf"))), x).otherwise(F.raise_error(F.lit(f"{what} is not finite")).cast("double"))
+
+
 def dot(bias: float, weights: tuple[float, ...], xs: list[Column]) -> Column:
     """bias + w0*x0 + ..., added in this order."""
     z = F.lit(float(bias))

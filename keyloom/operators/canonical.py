@@ -76,6 +76,25 @@ def checked_order(events: DataFrame) -> DataFrame:
     return events.withColumn("__ok", F.when(ok, True).otherwise(F.raise_error(F.lit("events out of order")).cast("boolean"))).filter("__ok").drop("__ok")
 
 
+def source_faults(raw: DataFrame, end_ns: int, id_col: str = "source_id") -> DataFrame:
+    """One row of counts: ids that are missing, blank, padded or repeated, times outside 0 to ``end_ns``, keys that are missing or
+    negative, and behaviours outside the domain."""
+    per = raw.groupBy(id_col).agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("event_ts_ns").between(0, end_ns), F.lit(False))).alias("times"), F.count_if(~F.coalesce(F.col("key") >= 0, F.lit(False))).alias("keys"),
+        F.count_if(behaviour_code(F.col("behavior")).isNull()).alias("behaviors"),
+    )
+    bad_id = F.col(id_col).isNull() | (F.col(id_col) == "") | F.col(id_col).rlike(r"^\s|\s$")
+    total = {"bad_ids": F.when(bad_id, F.col("n")), "repeated_ids": F.when(~bad_id, F.col("n") - 1), "bad_times": F.col("times"), "bad_keys": F.col("keys"), "bad_behaviors": F.col("behaviors")}
+    return per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in total.items()])
+
+
+def checked_source(raw: DataFrame, end_ns: int, id_col: str = "source_id") -> DataFrame:
+    """``raw``, or an error with what is wrong with it. One aggregation counts all of it."""
+    if wrong := {k: v for k, v in source_faults(raw, end_ns, id_col).first().asDict().items() if v}:
+        raise ValueError(f"faults of the source: {wrong}")
+    return raw
+
+
 def key_budget(events: DataFrame, max_keys: int) -> DataFrame:
     return events.agg(F.count_distinct("key").alias("n_keys")).withColumn("within_budget", F.col("n_keys") <= max_keys)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from keyloom.functions.columns import FEATURES, NS, WEIGHTS, dot, logistic
+from keyloom.functions.columns import FEATURES, NS, WEIGHTS, dot, finite, logistic
 from keyloom.functions.fold import ordered_fold
 from keyloom.sources.events import LogisticModel
 
@@ -54,8 +54,9 @@ def vector(events: DataFrame, alpha: Column | float = ALPHA) -> DataFrame:
 
 
 def scored(features: DataFrame, model: LogisticModel) -> DataFrame:
-    """Adds ``score``."""
-    return features.withColumn("score", logistic(dot(model.bias, model.weights, [F.col(x) for x in FEATURES])))
+    """Adds ``score``; fails when read where features and weights give no finite number."""
+    z = finite(dot(model.bias, model.weights, [F.col(x) for x in FEATURES]), "the score of an event")
+    return features.withColumn("score", logistic(z))
 
 
 def kernel_weights(alphas: str = "alphas") -> Column:

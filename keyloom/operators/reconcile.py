@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+STALENESS = ("mean_staleness_ms", "max_staleness_ms")
+
+
 class Mismatch(ValueError):
     """What did not reconcile, by status."""
 
@@ -63,15 +66,19 @@ def leaks(queries: DataFrame) -> DataFrame:
 
 def streaming_metrics(summary: DataFrame, queries: DataFrame, sla_ms: float) -> DataFrame:
     """One row: coverage, write-work ratio, conservation, mean and max staleness, share of queries within the deadline
-    (a missing latency counts as met; without queries 1)."""
-    stale = F.greatest(F.lit(0), F.col("query_ts_ns") - F.col("feature_ts_ns")) / 1e6
+    (a missing latency counts as met; without queries 1). Staleness is that of the queries with both times; where there are none it is
+    what the summary itself says, or 0. Fails when read if no queries were offered."""
+    stale = F.when(F.col("query_ts_ns").isNotNull() & F.col("feature_ts_ns").isNotNull(), F.greatest(F.lit(0), F.col("query_ts_ns") - F.col("feature_ts_ns")) / 1e6)
+    none_offered = F.raise_error(F.lit("queries_offered must be positive")).cast("double")
     met = (F.coalesce("latency_ms", F.lit(0.0)) <= sla_ms).cast("int")
-    q = queries.agg(F.count("*").alias("n_queries"), F.coalesce(F.avg(stale), F.lit(0.0)).alias("mean_staleness_ms"), F.coalesce(F.max(stale), F.lit(0.0)).alias("max_staleness_ms"), F.coalesce(F.avg(met), F.lit(1.0)).alias("deadline_utility"))
+    q = queries.agg(F.count("*").alias("n_queries"), F.avg(stale).alias("mean_staleness_ms"), F.max(stale).alias("max_staleness_ms"), F.coalesce(F.avg(met), F.lit(1.0)).alias("deadline_utility"))
     s = summary.select(
-        F.when(F.col("queries_offered") > 0, F.col("queries_answered") / F.col("queries_offered")).alias("coverage"), (F.col("writes_emitted") / F.greatest(F.lit(1), F.col("events_processed"))).alias("write_work_ratio"),
+        F.when(F.col("queries_offered") > 0, F.col("queries_answered") / F.col("queries_offered")).otherwise(none_offered).alias("coverage"), (F.col("writes_emitted") / F.greatest(F.lit(1), F.col("events_processed"))).alias("write_work_ratio"),
         (F.col("events_processed") == F.col("writes_emitted") + F.col("events_absorbed")).alias("conserved"),
+        *[(F.col(c) if c in summary.columns else F.lit(None).cast("double")).alias(f"told_{c}") for c in STALENESS],
     )
-    return s.crossJoin(q)  # one row each
+    both = s.crossJoin(q)  # one row each
+    return both.withColumns({c: F.coalesce(c, f"told_{c}", F.lit(0.0)) for c in STALENESS}).drop(*[f"told_{c}" for c in STALENESS])
 
 
 def differences(ours: DataFrame, theirs: DataFrame, key: str, columns: list[str], rel: float = 2e-12, abs_: float = 2e-14) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -213,8 +214,10 @@ def policy_suite(s, d):
 
 
 def policy_signatures(s, d):
-    rn = src.events(s, d).select(F.row_number().over(feat.w_key()).alias("rn")).select("rn", F.explode(F.array(F.lit(1), F.lit(4), F.lit(9))).alias("cadence"))
-    return inference.signatures(rn.select("cadence", F.when(F.col("rn") % F.col("cadence") == 0, 1).otherwise(0).alias("publications"), (F.col("rn") % F.col("cadence")).alias("staleness")), "cadence", ["publications", "staleness"])
+    """What each configuration publishes and leaves pending, and whether that tells it from the others. All share one exchange by key."""
+    rows = src.events(s, d).repartition("key")
+    of = lambda k: policies.publish(rows, policies.Policy("fixed_cadence", cadence=k)).select(F.lit(k).alias("cadence"), F.col("published").cast("int").alias("publications"), F.col("pending").alias("staleness"))
+    return inference.signatures(reduce(DataFrame.unionByName, map(of, CONFIGS.values())), "cadence", ["publications", "staleness"])
 
 
 def budget_match(s, d):

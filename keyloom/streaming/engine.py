@@ -60,6 +60,8 @@ class KeyedFeatures(StatefulProcessor):
             z = self.model.bias
             for w, v in zip(self.model.weights, x, strict=True):
                 z += w * v
+            if not math.isfinite(z):
+                raise ValueError(f"the score of event {seq} is not finite")
             score = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
             hit = decide(self.policy, version, pending, ns - public, pressure)
             version, pending, public = (version + 1, 0, ns) if hit else (version, pending + 1, public)
@@ -80,6 +82,25 @@ def feature_stream(events: DataFrame, model: LogisticModel, alpha: float = 0.1,
     return events.groupBy("key").transformWithStateInPandas(KeyedFeatures(alpha, model, policy), OUT, "Append", "None")
 
 
+def observed(stream: DataFrame) -> DataFrame:
+    """A feature stream whose progress tells of each micro-batch how many events it had, and how many were published and coalesced."""
+    published = F.col("published")
+    return stream.observe("accounting", F.count("*").alias("processed"), F.count_if(published).alias("published"), F.count_if(~published).alias("coalesced"))
+
+
+def accounted(query) -> dict[str, int]:
+    """Sums of what ``observed`` told over the micro-batches that the query remembers (spark.sql.streaming.numRecentProgressUpdates
+    of them); raises if they do not add up."""
+    total = {"processed": 0, "published": 0, "coalesced": 0}
+    for progress in query.recentProgress:
+        told = progress.observedMetrics.get("accounting")
+        for name in total:
+            total[name] += told[name] if told is not None else 0
+    if total["processed"] != total["published"] + total["coalesced"]:
+        raise ValueError(f"events are not conserved: {total}")
+    return total
+
+
 def cache_stream(stream: DataFrame, path: str, checkpoint: str):
     """Starts writing the published versions of a feature stream below ``path``, one folder for each micro-batch, so that one that is
     run again replaces its own. ``latest_versions`` reads what is public."""

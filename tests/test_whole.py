@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import running
-from keyloom.operators import cache, canonical, comparison, features, inference, metrics, policies, reconcile, taxonomy, workload
+from keyloom.functions import columns as C
+from keyloom.operators import cache, canonical, comparison, features, inference, metrics, policies, reconcile, taxonomy, training, workload
 from keyloom.plans import registry
 from keyloom.sources import events as src
 from keyloom.sources import sinks
+from keyloom.sources.pulled import pulled
 from keyloom.streaming import engine
 
 
@@ -287,3 +289,86 @@ def test_checked_split(spark):
             reconcile.checked_split(cohort, scores(*ids))
     one = cache.size(spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "key long, version_id long")).first()
     assert tuple(one) == (2, 3)
+
+
+def test_training_finds_the_optimum(spark):
+    """At the fitted weights the gradient of mean log loss plus half the penalty times the squared weights is zero; no step lowers it."""
+    r = np.random.default_rng(40)
+    x = r.normal(0, 1, (500, 7)) * [1, 2, 0.5, 1, 1, 3, 1]
+    y = (r.random(500) < 1 / (1 + np.exp(-(x @ [0.5, -0.3, 1, 0, 0.2, 0.1, -1] + 0.4)))).astype(int)
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "seq long, " + ", ".join(f"{f} double" for f in C.FEATURES))
+    cohort = spark.createDataFrame([(i, "train", int(v)) for i, v in enumerate(y)], "seq long, split string, label int")
+    model, history = training.fit(training.examples(rows, cohort))
+    w = np.array(model.weights)
+    off = 1 / (1 + np.exp(-(x @ w + model.bias))) - y
+    assert np.abs(x.T @ off / 500 + 1e-4 * w).max() < 1e-5 and abs(off.mean()) < 1e-5
+    assert history == sorted(history, reverse=True)
+
+
+def test_bootstrap_beside_plain_version(spark):
+    """Intervals of the distributed draws beside those of other draws made here; clusters of unequal size weigh by their rows."""
+    r = np.random.default_rng(41)
+    sizes = r.integers(5, 60, 25)
+    sums = np.array([r.normal(0.2, 1, k).sum() for k in sizes])
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(sums, sizes, strict=True))], "group_id long, d_sum double, n long")
+    got = inference.bootstrap(df, draws=4000).first()
+    picks = r.integers(0, 25, (4000, 25))
+    means = sums[picks].sum(axis=1) / sizes[picks].sum(axis=1)
+    assert got["mean_difference"] == pytest.approx(sums.sum() / sizes.sum())
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=0.02)
+    left = (sums.sum() - sums) / (sizes.sum() - sizes)
+    assert (got["bca_low"], got["bca_high"]) == pytest.approx(inference.accelerated(means, sums.sum() / sizes.sum(), [left]), abs=0.03)
+    assert inference.bootstrap(df.repartition(5), draws=4000).first() == got
+
+
+def test_staleness_of_queries_with_both_times(spark):
+    columns = "events_processed long, writes_emitted long, events_absorbed long, queries_offered long, queries_answered long, mean_staleness_ms double, max_staleness_ms double"
+    summary = spark.createDataFrame([(10, 2, 8, 4, 3, 7.5, 9.0)], columns)
+    q = spark.createDataFrame([("a", 5_000_000, 1_000_000, 1.0), ("b", 9_000_000, None, 9.0), ("c", None, 1, None)], "query_id string, query_ts_ns long, feature_ts_ns long, latency_ms double")
+    one = reconcile.streaming_metrics(summary, q, 5.0).first()
+    assert (one["mean_staleness_ms"], one["max_staleness_ms"], one["coverage"]) == (4.0, 4.0, 0.75)
+    told = reconcile.streaming_metrics(summary, q.filter("query_id != 'a'"), 5.0).first()
+    assert (told["mean_staleness_ms"], told["max_staleness_ms"]) == (7.5, 9.0)
+    none = reconcile.streaming_metrics(summary.drop("mean_staleness_ms", "max_staleness_ms"), q.limit(0), 5.0).first()
+    assert (none["mean_staleness_ms"], none["deadline_utility"]) == (0.0, 1.0)
+    with pytest.raises(Exception, match="queries_offered must be positive"):
+        reconcile.streaming_metrics(summary.withColumn("queries_offered", F.lit(0)), q, 5.0).collect()
+
+
+def test_scores_are_finite(spark):
+    rows = spark.createDataFrame([(1, *[1e308] * 7)], "seq long, " + ", ".join(f"{f} double" for f in C.FEATURES))
+    assert features.scored(rows, src.LogisticModel(0.0, (1e-308, *[0.0] * 6))).count() == 1
+    with pytest.raises(Exception, match="not finite"):
+        features.scored(rows, src.LogisticModel(0.0, (10.0,) * 7)).collect()
+
+
+def test_faults_of_a_source(spark):
+    good = [("a", 5, 1, "pv"), ("b", 6, 0, "buy")]
+    schema = "source_id string, event_ts_ns long, key long, behavior string"
+    assert canonical.checked_source(spark.createDataFrame(good, schema), 10).count() == 2
+    bad = [*good, ("a", 7, 1, "pv"), (" c", 7, 1, "pv"), ("", 7, 1, "pv"), (None, 7, 1, "pv"), ("d", 11, 1, "pv"), ("e", -1, -1, "pv"), ("f", None, None, "look")]
+    rows = spark.createDataFrame(bad, schema)
+    assert canonical.source_faults(rows, 10).first().asDict() == {"bad_ids": 3, "repeated_ids": 1, "bad_times": 3, "bad_keys": 2, "bad_behaviors": 1}
+    with pytest.raises(ValueError, match="repeated_ids"):
+        canonical.checked_source(rows, 10)
+
+
+def test_pulled_rows(spark):
+    rows = pulled(spark, lambda part: ((part * 10 + i, i, part, 0, 0, 0) for i in range(part)), 4)
+    assert sorted(x["seq"] for x in rows.collect()) == [10, 20, 21, 30, 31, 32] and rows.rdd.getNumPartitions() == 4
+    assert features.vector(rows).count() == 6
+
+
+def test_streams_are_accounted(spark, tmp_path):
+    """Counts in the progress of a stream beside the same from a batch."""
+    rows = [(i, i * 1_000_000_000, i % 3, i, 1, i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, src.EVENT)
+    base = tmp_path.as_uri()
+    for k in range(2):
+        df.filter(F.expr(f"seq div 30 = {k}")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    policy = policies.Policy("fixed_cadence", cadence=4)
+    stream = engine.observed(engine.feature_stream(engine.event_stream(spark, f"{base}/in", files_per_batch=1), registry.MODEL, policy=policy))
+    query = engine.cache_stream(stream, f"{base}/cache", f"{base}/check")
+    query.awaitTermination()
+    n = policies.publish(df, policy).filter("published").count()
+    assert engine.accounted(query) == {"processed": 60, "published": n, "coalesced": 60 - n}
