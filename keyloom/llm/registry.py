@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, embeddings, html_text, licenses, line_chunks, minhash, mixing, preferences, sharding, toxicity
+from keyloom.llm import decontaminate, embeddings, html_text, importance, licenses, line_chunks, minhash, mixing, pieces, preferences, search, sharding, toxicity
 
 QUERIES = {
     "op1_lexicon": toxicity.op1_lexicon,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_dom_trees": html_text.op8_dom_trees,
     "op9_suffix_array": decontaminate.op9_suffix_array,
     "op10_patience": licenses.op10_patience,
+    "op11_resample": importance.op11_resample,
+    "op12_prefix_table": pieces.op12_prefix_table,
+    "op13_tiered": search.op13_tiered,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op5_mix": mixing.OP5_SQL,
     "op7_minhash": minhash.OP7_SQL,
     "op9_suffix_array": decontaminate.OP9_SQL,
+    "op11_resample": importance.OP11_SQL,
+    "op13_tiered": search.OP13_SQL,
 }
