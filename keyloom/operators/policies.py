@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.columns import log_loss
-from keyloom.functions.fold import ordered_fold
+from keyloom.functions import chains
+from keyloom.functions.scan import scan
 from keyloom.operators.features import running, w_key
 
 
@@ -48,8 +49,9 @@ def _finish(decided: DataFrame) -> DataFrame:
     return out.withColumn("pending", (place - F.when(F.col("version_id") > 0, 1).otherwise(0)).cast("long"))
 
 
-def publish(events: DataFrame, policy: Policy, rank: str = "seq", total: int | None = None) -> DataFrame:
-    """Adds published, version_id and pending. Quota: ``rank`` numbers all events from 0, of ``total``."""
+def publish(events: DataFrame, policy: Policy, rank: str = "seq", total: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Adds published, version_id and pending. Quota: ``rank`` numbers all events from 0, of ``total``. Elapsed and adaptive: a key of more
+    than ``hot_rows`` events is cut into ranges; the elapsed one needs such a key's times in order."""
     if policy.kind == "exact_fresh":
         return _finish(events.withColumn("published", F.lit(True)))
     if policy.kind == "fixed_cadence":
@@ -59,23 +61,9 @@ def publish(events: DataFrame, policy: Policy, rank: str = "seq", total: int | N
         share = lambda i: F.expr(f"({i}) * {policy.quota} div {max(1, n)}")
         return _finish(events.withColumn("published", share(f"{rank} + 1") > share(rank)))
 
-    def elapsed(state, ts):
-        last, version, pending = state
-        hit = last is None or ts - last >= policy.elapsed_ns
-        state = (ts, version + 1, 0) if hit else (last, version, pending + 1)
-        return state, hit, state[1], state[2]
-
-    def adaptive(state, pressure):
-        version, pending = state
-        p = min(max(pressure, 0.0), 1.0)
-        k = min(max(policy.cadence + int(p * (policy.cadence_max - policy.cadence)), policy.cadence), policy.cadence_max)
-        state = (version + 1, 0) if pending + 1 >= k else (version, pending + 1)
-        return state, state[1] == 0, state[0], state[1]
-
-    out = "published boolean, version_id long, pending long"
     if policy.kind == "elapsed":
-        return ordered_fold(events, ["key"], ["seq"], ["event_ts_ns"], lambda: (None, 0, 0), elapsed, out)
-    return ordered_fold(events, ["key"], ["seq"], ["pressure"], lambda: (0, 0), adaptive, out)
+        return scan(events, chains.elapsed(policy.elapsed_ns), hot_rows=hot_rows).drop("public_ns")
+    return scan(events, chains.adaptive(policy.cadence, policy.cadence_max), hot_rows=hot_rows)
 
 
 def accounting(published: DataFrame, queries: DataFrame | None = None) -> DataFrame:

@@ -18,8 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or LOCAL).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` as a table in the shared folder; lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
