@@ -226,6 +226,31 @@ def affine(m: np.ndarray, b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
     return m, b
 
 
+#: So many rows of a key are averaged one after another (over all keys of a batch at once), in the order of the definition.
+STEPS = 256
+
+
+def averaged(alpha: np.ndarray, x: np.ndarray, starts: np.ndarray, before: float) -> np.ndarray:
+    """s += alpha (x - s) over each key's rows, from 0, and from ``before`` for the key that goes on. Short keys come out to the last bit as
+    one row after another gives them; what is beyond STEPS rows of a key in a batch is composed."""
+    n = len(x)
+    place = np.arange(n) - first_of(starts)
+    order = np.argsort(place, kind="stable")
+    edges = np.searchsorted(place[order], np.arange(STEPS + 1))
+    s = np.zeros(n)
+    for j in range(STEPS):
+        i = order[edges[j] : edges[j + 1]]
+        if not len(i):
+            return s
+        last = s[i - 1] if j else np.where(starts[i], 0.0, before)
+        s[i] = last + alpha[i] * (x[i] - last)
+    rest = np.flatnonzero(place >= STEPS)
+    if len(rest):
+        m, b = affine(1 - alpha[rest], alpha[rest] * x[rest], place[rest] == STEPS)
+        s[rest] = m * s[rest - place[rest] + STEPS - 1] + b
+    return s
+
+
 def chained(successor: np.ndarray, entries: np.ndarray) -> np.ndarray:
     """Marks what is reached from ``entries`` by following ``successor``; len(successor) stands for none. By jumps of doubling length."""
     n = len(successor)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from keyloom.functions.columns import FEATURES, NS, WEIGHTS, dot, finite, logistic
-from keyloom.functions.scan import Scan, affine, scan, sums
+from keyloom.functions.scan import Scan, affine, averaged, scan, sums
 from keyloom.sources.events import LogisticModel
 
 ALPHA = 0.1
@@ -62,10 +62,7 @@ def _run(c: dict[str, np.ndarray], starts: np.ndarray, state: tuple | None) -> t
     gap_s = _gaps(ts, starts, before)
     out = {"pv": some(code == 0, pv), "cart_fav": some((code == 1) | (code == 2), cart_fav), "buy": some(code == 3, buy), "n": some(code >= 0, n), "gap_s": gap_s}
     for name, x, start in (("engagement_ema", _WEIGHTS[code], engagement), ("gap_ema", gap_s, gap)):
-        b = alpha * x
-        if before is not None:
-            b[0] += (1 - alpha[0]) * start
-        out[name] = affine(1 - alpha, b, starts)[1]
+        out[name] = averaged(alpha, x, starts, start)
     after = [out[k][-1] for k in ("pv", "cart_fav", "buy", "n")]
     return out, (*after, ts[-1], out["engagement_ema"][-1], out["gap_ema"][-1])
 
