@@ -133,7 +133,7 @@ class Library:
         member = np.zeros((len(self.words), len(vocabulary)), bool)
         for t, words in enumerate(self.words):
             member[t, np.searchsorted(vocabulary, np.array(words, np.uint64))] = True
-        different = member.sum(axis=1)
+        different, sizes = member.sum(axis=1), np.array([len(words) for words in self.words])
         for a, b in slices(offsets):
             w = split(data, offsets[a : b + 1], ALNUM)
             at = np.flatnonzero(bitmap[(w.hashes & np.uint64(0xFFFF)).astype(np.int64)])
@@ -145,7 +145,8 @@ class Library:
             texts, row = np.unique(w.text[at], return_inverse=True)
             has = np.zeros((len(texts), len(vocabulary)), bool)
             has[row, which] = True
-            enough = has.astype(np.int32) @ member.T.astype(np.int32) >= self.coverage * different
+            # A word that is missing takes one of the template's words at least; repeated ones may all stay.
+            enough = has.astype(np.int32) @ member.T.astype(np.int32) >= np.maximum(1, different - (1 - self.coverage) * sizes - 1e-9)
             bounds = np.searchsorted(row, np.arange(len(texts) + 1))
             for r in np.flatnonzero(enough.any(axis=1)):
                 i = int(texts[r])
