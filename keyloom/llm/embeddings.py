@@ -75,7 +75,7 @@ def named(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     kind = vectors.schema[vector_col].dataType.simpleString()
     v = F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    sound = F.col(id_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
+    sound = v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(sound, F.lit(False)).alias("sound"), v.alias("v"))
 
 
@@ -210,7 +210,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     drop_written(vectors.sparkSession, at, keep_last=True)
     linked = with_facts(sound.select("vec_id", "v"), info, ["v"], "copies", total).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op2_hyperplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,13 +220,14 @@ def op2_hyperplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH RECURSIVE e AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS len FROM e
-      WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT rid, v, sqrt(list_inner_product(v, v)) AS len FROM e
+      WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.rid AS a, b.rid AS b FROM n a JOIN n b ON a.rid <> b.rid AND len(a.v) = len(b.v)
       WHERE list_inner_product(a.v, b.v) / (a.len * b.len) >= 0.9),
-r AS (SELECT vec_id AS id, vec_id AS low FROM e UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id WHERE r.low < l.b),
-m AS (SELECT id, min(low) AS component_id FROM r GROUP BY id)
-SELECT e.vec_id, coalesce(k.n_links, 0) AS n_links, m.component_id, m.component_id = e.vec_id AS kept
-FROM e JOIN m ON m.id = e.vec_id LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = e.vec_id
+r AS (SELECT rid AS id, rid AS low FROM e UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id WHERE r.low < l.b),
+m AS (SELECT id, min(low) AS low FROM r GROUP BY id),
+c AS (SELECT low, min(vec_id) AS component_id FROM m JOIN e ON e.rid = m.id GROUP BY low)
+SELECT e.vec_id, coalesce(k.n_links, 0) AS n_links, component_id, coalesce(component_id = e.vec_id, component_id IS NULL) AS kept
+FROM e JOIN m ON m.id = e.rid JOIN c USING (low) LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = e.rid
 """

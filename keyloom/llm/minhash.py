@@ -16,9 +16,9 @@ So no link between different texts is lost to a cap, and a bucket of any number
 costs its members once.
 
 Rows are known by 128 bits of hash of their id and text, so ids may be null or repeat.
-``near_duplicates`` compares a row without an id with nothing; it has no component and is kept. Rows
-that share an id but not their text are compared each by its own text. ``one_of_each`` is for whole rows,
-those without ids included. Null, empty and wordless texts have no shingles and link with nothing. Texts of
+Rows without an id take part; such a row's component is the smallest id of its group, and it is kept only
+where the group has no id at all. Rows that share an id but not their text are compared each by its own text.
+``one_of_each`` is for whole rows, and keeps one of each group, with an id or without. Null, empty and wordless texts have no shingles and link with nothing. Texts of
 any length are taken whole; a part holds fewer members where they are long. An empty table gives an empty result.
 """
 
@@ -277,12 +277,12 @@ def _labelled(rows: DataFrame, texts: DataFrame, percent: int, words: int) -> tu
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = cut(signatures(docs, id_col, text_col, words), "signatures")
-    able = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    able = F.col("n_shingles") > 0
     firsts, total = _labelled(rows.filter(able), named(docs, id_col, text_col), percent, words)
     one = rows.select("doc_id", "n_shingles", "hi", "lo")
     alone = one.filter(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     met = with_facts(one.filter(able), firsts, ["hi", "lo"], "copies", total).select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"))
-    return met.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return met.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -313,13 +313,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws]
+  SELECT rid, doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws]
                  ELSE list_distinct([ws[i:i+4] FOR i IN range(1, len(ws) - 3)]) END AS sh FROM w),
-n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
-c AS (SELECT min(doc_id) AS rep, sh FROM (SELECT doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) GROUP BY sh),
+n AS (SELECT rid, doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+c AS (SELECT min(rid) AS rep, min(doc_id) AS least, sh FROM (SELECT rid, doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) GROUP BY sh),
 e AS (SELECT rep, len(sh) AS k, hash(unnest(sh)) AS g FROM c),
 i AS (SELECT a.rep AS a, b.rep AS b, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*) AS common
       FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
@@ -327,7 +327,8 @@ l AS (SELECT a, b FROM i WHERE 100 * common >= 75 * (ka + kb - common)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT rep AS id, rep AS low FROM c UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.id WHERE r.low < u.b),
 m AS (SELECT id, min(low) AS low FROM r GROUP BY id),
-k AS (SELECT s.doc_id, m.low FROM s JOIN c ON list_sort(s.sh) = c.sh JOIN m ON m.id = c.rep WHERE len(s.sh) > 0)
-SELECT n.doc_id, n.n_shingles, coalesce(k.low, n.doc_id) AS component_id, coalesce(k.low, n.doc_id) = n.doc_id AS kept
-FROM n LEFT JOIN k ON n.doc_id = k.doc_id
+g AS (SELECT m.low, min(c.least) AS component_id FROM m JOIN c ON c.rep = m.id GROUP BY m.low),
+k AS (SELECT s.rid, g.component_id FROM s JOIN c ON list_sort(s.sh) = c.sh JOIN m ON m.id = c.rep JOIN g ON g.low = m.low WHERE len(s.sh) > 0),
+f AS (SELECT n.doc_id, n.n_shingles, CASE WHEN n.n_shingles > 0 THEN k.component_id ELSE n.doc_id END AS component_id FROM n LEFT JOIN k USING (rid))
+SELECT doc_id, n_shingles, component_id, coalesce(component_id = doc_id, component_id IS NULL) AS kept FROM f
 """
