@@ -7,10 +7,12 @@ import re
 from dataclasses import dataclass, field
 
 # Elements that do not break a line.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-# Elements without an end tag, and elements whose content is never text.
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math noscript object q s samp small span strike strong sub sup svg time tt u var wbr".split())
+# Elements without an end tag, those whose content is no markup, those whose content is never text, and those in which nothing breaks a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset(("script", "style", "noscript", "template", "iframe", "svg", "math", "object"))
+RAW = frozenset(("script", "style"))
+HIDDEN = ("template", "iframe")
+FOREIGN = ("math", "svg")
 # Start tags that end an open paragraph, and elements ended by the next of their kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 NEXT = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -31,7 +33,8 @@ PURPOSES = {
 }
 _PURPOSE_OF = {w: 1 << k for k, words in enumerate(PURPOSES.values()) for w in words.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _GOLD = re.compile(r'data-gold="(\w)"')
@@ -80,9 +83,11 @@ def parse(html: str | None, gold: bool = False) -> Page:
     # or an element that ends others looks nothing up by walking through what is open.
     where: dict[str, list[int]] = {}
     scopes, no_rows = [0], [0]
-    links, at, n = 0, 0, len(html)
+    links, at, n, hidden, foreign = 0, 0, len(html), False, False
 
     def text(a: int, b: int) -> None:
+        if hidden and any(where.get(x) for x in HIDDEN):
+            return
         s = html[a:b]
         if "&" in s:
             s = _html.unescape(s)
@@ -127,7 +132,7 @@ def parse(html: str | None, gold: bool = False) -> Page:
         attributes = (m[3] if m[2] else m[6]) or ""
         if name in RAW:
             if not attributes.endswith("/"):
-                end = re.compile(f"</{name}[^>]*>", re.I).search(html, at)
+                end = _RAW_END[name].search(html, at)  # without an end tag, to the end of the page
                 at = end.end() if end else n
             continue
         if name == "br":
@@ -145,10 +150,12 @@ def parse(html: str | None, gold: bool = False) -> Page:
             if name not in INLINE:
                 pieces.append((-1, ""))
             continue
-        breaks, purpose, node = name not in INLINE, purposes_of(attributes), open_[-1][1]
+        hidden, foreign = hidden or name in HIDDEN, foreign or name in FOREIGN
+        breaks = name not in INLINE and not (foreign and any(where.get(x) for x in FOREIGN))
+        purpose, node = purposes_of(attributes), open_[-1][1]
         if breaks:
             pieces.append((-1, ""))
-        if breaks or purpose:
+        if breaks or purpose or name == "noscript":  # which is judged by itself
             page.parent.append(node)
             page.depth.append(page.depth[node] + 1)
             node = len(page.tag)
