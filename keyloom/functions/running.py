@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from keyloom.sources.store import written
 
 
+def joined(a: DataFrame, b: DataFrame, on: list[str] | tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Joined by the columns ``on``, where null is a value like any other."""
+    names = {c: f"__on_{i}" for i, c in enumerate(on)}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return a.join(b.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def before(df: DataFrame, order: list, values: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``<value>_before`` for each of ``values``: its sum over the rows that stand before, in ``order`` and within ``by``.
 
@@ -21,5 +28,19 @@ def before(df: DataFrame, order: list, values: list[str], by: tuple[str, ...] =
     offsets = totals.select(pid, *by, *[F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__{v}") for v in values])
     inside = Window.partitionBy(pid, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
-    joined = sums.join(offsets, [pid, *by])
-    return joined.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"__{v}") for v in values}).drop(pid, *[f"__{v}" for v in values])
+    found = joined(sums, offsets, [pid, *by]) if by else sums.join(offsets, [pid])
+    return found.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"__{v}") for v in values}).drop(pid, *[f"__{v}" for v in values])
+
+
+def first(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows in ``order``, which tells all rows apart. Rows are dealt by ranges and counted; ranges that lie before the n-th row
+    are whole, and only the one that holds it is put in order, so that no task has more than a range."""
+    pid, at = "__range", "__place"
+    placed = written(df.repartitionByRange(*order).withColumn(pid, F.spark_partition_id()), "first")
+    whole, left = -1, n
+    for r in placed.groupBy(pid).agg(F.count("*").alias("n")).orderBy(pid).collect():  # as many rows as ranges
+        if r["n"] > left:
+            cut = placed.filter(F.col(pid) == r[pid]).withColumn(at, F.row_number().over(Window.partitionBy(pid).orderBy(*order)))
+            return placed.filter(F.col(pid) <= whole).unionByName(cut.filter(F.col(at) <= left).drop(at)).drop(pid)
+        whole, left = r[pid], left - r["n"]
+    return placed.drop(pid)

@@ -102,11 +102,13 @@ def row_sign_flip(rows: DataFrame, d: str, order: str, draws: int = 2000, seed:
 def student_interval(rows: DataFrame, d: str, level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
     """n, effect, low, high and dz (effect over deviation, null without any) of paired differences, Student's t."""
     one = rows.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("effect"), F.stddev_samp(d).alias("sd"))
-    sizes = sorted({r["n"] for r in one.select("n").distinct().take(MOST_CLUSTERS)})
-    t = F.lit(None).cast("double")
-    for n in sizes:
-        if n >= 2:
-            t = F.when(F.col("n") == n, student_t_critical(1 - level, n - 1)).otherwise(t)
+
+    def criticals(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([student_t_critical(1 - level, n - 1) for n in b.column(0).to_pylist()])], ["__size", "t"])
+
+    sizes = one.filter("n >= 2").select(F.col("n").alias("__size")).distinct().mapInArrow(criticals, "__size long, t double")
+    one, t = one.join(sizes, F.col("n") == F.col("__size"), "left").drop("__size"), F.col("t")
     margin = F.coalesce(t * F.col("sd") / F.sqrt("n"), F.lit(0.0))
     return one.select(*by, "n", "effect", (F.col("effect") - margin).alias("low"), (F.col("effect") + margin).alias("high"), F.when(F.col("sd") > 0, F.col("effect") / F.col("sd")).alias("dz"))
 
@@ -129,25 +131,32 @@ def bootstrap(sums: DataFrame, draws: int = 2000, seed: int = 11, level: float =
     return spark.createDataFrame([(n, float(mean), float(plain[0]), float(plain[1]), *found)], "n_clusters int, mean_difference double, low double, high double, bca_low double, bca_high double")
 
 
-def accelerated(draws: np.ndarray, value: float, left_out: list[np.ndarray], level: float = 0.95) -> tuple[float, float] | None:
-    """Efron's bias-corrected and accelerated interval of bootstrap ``draws`` around ``value``; none where it is not defined.
+def acceleration(left_out: list[np.ndarray]) -> float:
+    """A sixth of the skewness of the statistic's influence values; ``left_out`` has, for each stratum, the statistic without each of its
+    clusters. 0 where no cluster matters."""
+    influence = np.concatenate([(1 - 1 / len(x)) * (np.average(x) - x) for x in left_out])
+    scale = np.linalg.norm(influence)
+    return float(np.sum((influence / scale) ** 3)) / 6 if scale > 0 else 0.0
 
-    ``left_out`` has for each stratum the values without each of its clusters: how far these pull from their mean says how skewed
-    the statistic is (acceleration), and the draws' share below the value how biased."""
-    if len(draws) == 0 or draws.min() == draws.max():
+
+def accelerated(draws: np.ndarray, value: float, left_out: list[np.ndarray], level: float = 0.95) -> tuple[float, float] | None:
+    """Efron's bias-corrected and accelerated interval: quantiles of the sorted bootstrap ``draws``, at shares moved by how far the median
+    of the draws is off ``value`` and by the acceleration. None unless both shares exist and differ, and the draws do too."""
+    n, normal = len(draws), NormalDist()
+    if n == 0:
         return None
-    half = 0.5 / len(draws)
-    share = float(np.clip(np.mean((draws < value) + 0.5 * (draws == value)), half, 1 - half))
-    pull = np.concatenate([(x.mean() - x) * (len(x) - 1) / len(x) for x in left_out])
-    size = float(pull @ pull)
-    skew = float((pull**3).sum()) / (6 * size**1.5) if size > 0 else 0.0
-    phi = NormalDist()
-    shift = phi.inv_cdf(share)
-    z = shift + np.array([phi.inv_cdf((1 - level) / 2), phi.inv_cdf((1 + level) / 2)])
-    if (skew * z >= 1).any():
+    rank = (np.searchsorted(draws, value, "left") + np.searchsorted(draws, value, "right")) / 2  # ties count half
+    bias = normal.inv_cdf(min(max(float(rank), 0.5), n - 0.5) / n)
+    a = acceleration(left_out)
+
+    def moved(share: float) -> float:
+        z = bias + normal.inv_cdf(share)
+        return normal.cdf(bias + z / (1 - a * z)) if a * z < 1 else math.nan
+
+    low, high = moved((1 - level) / 2), moved((1 + level) / 2)
+    if not (draws[0] < draws[-1] and low < high):
         return None
-    low, high = (phi.cdf(float(x)) for x in shift + z / (1 - skew * z))
-    return tuple(float(x) for x in np.quantile(draws, [low, high])) if low < high else None
+    return float(np.quantile(draws, low)), float(np.quantile(draws, high))
 
 
 def student_t_within(angle: float, df: int) -> float:

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.columns import log_loss
-from keyloom.functions.running import before
+from keyloom.functions.running import before, joined
 
 
 def _with_totals(g: DataFrame, by: tuple[str, ...], **totals) -> DataFrame:
     """``g`` with sums over each of the groups ``by``, or over all rows."""
     sums = g.groupBy(*by).agg(*[F.sum(v).alias(k) for k, v in totals.items()])
-    return g.join(sums, list(by)) if by else g.crossJoin(F.broadcast(sums))  # one row
+    return joined(g, sums, by) if by else g.crossJoin(F.broadcast(sums))  # one row
 
 
 def ranking(df: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
@@ -82,7 +82,7 @@ def summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     sums = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
     one = df.groupBy(*by).agg(*sums)
     found = quantiles(df, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by)
-    one = one.join(found, list(by), "left") if by else one.join(F.broadcast(found), how="left")
+    one = joined(one, found, by, "left") if by else one.join(F.broadcast(found), how="left")
     return one.withColumn("cv", F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(F.lit(0.0)))
 
 
@@ -93,10 +93,10 @@ def upper_median(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFra
 
 def loss_gap(df: DataFrame, a: str, b: str, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """Mean, p95 and max of the signed difference of log losses."""
-    gaps = df.filter(F.col(label).isNotNull()).select(*by, (log_loss(F.col(label), F.col(a)) - log_loss(F.col(label), F.col(b))).alias("g"))
-    one = gaps.groupBy(*by).agg(F.count("*").alias("n"), F.avg("g").alias("mean_gap"), F.max("g").alias("max_gap"))
-    found = quantiles(gaps, "g", {"p95_gap": 0.95}, by)
-    one = one.join(found, list(by), "left") if by else one.join(F.broadcast(found), how="left")
+    gaps = df.filter(F.col(label).isNotNull()).select(*by, (log_loss(F.col(label), F.col(a)) - log_loss(F.col(label), F.col(b))).alias("__gap"))
+    one = gaps.groupBy(*by).agg(F.count("*").alias("n"), F.avg("__gap").alias("mean_gap"), F.max("__gap").alias("max_gap"))
+    found = quantiles(gaps, "__gap", {"p95_gap": 0.95}, by)
+    one = joined(one, found, by, "left") if by else one.join(F.broadcast(found), how="left")
     return one.select(*by, "n", "mean_gap", "p95_gap", "max_gap")
 
 

@@ -14,6 +14,7 @@ from keyloom.operators import features as feat
 from keyloom.plans.sql import SQL
 from keyloom.sources import events as src
 from keyloom.sources.store import shared_dir, written
+from keyloom.sources.versions import VersionStore
 from keyloom.streaming import engine
 
 # The model of the demonstration queries (its scores spread over the events table, whose gaps are hours), their horizon and end.
@@ -126,6 +127,21 @@ def _publish(policy: policies.Policy):
     return lambda s, d: policies.publish(src.events(s, d), policy).select("seq", "key", "published", "version_id", "pending")
 
 
+def _committed(s: SparkSession, d: str) -> VersionStore:
+    """A store to which three runs, one after another in seq, have committed what they published; the folder is a new one."""
+    rows = written(_published(s, d).filter("published"), "published")
+    last = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+    store = VersionStore(s, f"{shared_dir(s)}/versions-{uuid.uuid4().hex}", 8)
+    for k in range(3):
+        store.commit(rows.filter(F.expr(f"seq * 3 div {last} = {k}")))
+    return store
+
+
+def query_committed(s, d):
+    found = _committed(s, d).lookup(src.queries(s, d))
+    return found.select("query_id", "key", "cold_start", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in cache.META], *r6(*C.FEATURES))
+
+
 def publication_accounting(s, d):
     p = written(_published(s, d), "published")
     return policies.accounting(p, cache.query_final(src.queries(s, d), p))
@@ -155,10 +171,12 @@ def ema_kernel_weights(s, d):
 
 
 def ema_response(s, d):
-    grid = s.range(19 * 16).select(((F.expr("id div 16") + 1) / 20.0).alias("alpha"), (F.col("id") % 16 * F.lit(3.141592653589793) / 16.0).alias("omega"))
+    """Each key's response: steps by its number of events, frequencies by its number of purchases."""
+    keys = src.events(s, d).groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("behavior_code") == 3).alias("bought"))
+    grid = keys.select("key", ((F.col("n") % 19 + 1) / 20.0).alias("alpha"), (F.col("bought") % 16 * F.lit(3.141592653589793) / 16.0).alias("omega"))
     r = C.ema_response(F.col("alpha"), F.col("omega"))
-    one = grid.select("alpha", "omega", r["real"].alias("re"), r["imag"].alias("im"), r["group_delay"].alias("group_delay"), C.variance_equivalent_span(F.col("alpha")).alias("span"))
-    return one.select("alpha", *r6("omega", "re", "im", "group_delay"), "span")
+    one = grid.select("key", "alpha", "omega", r["real"].alias("re"), r["imag"].alias("im"), r["group_delay"].alias("group_delay"), C.variance_equivalent_span(F.col("alpha")).alias("span"))
+    return one.select("key", "alpha", *r6("omega", "re", "im", "group_delay"), "span")
 
 
 def stream_features(s, d):
@@ -193,8 +211,9 @@ def mean_scores(s, d):
 
 
 def pressure_maps(s, d):
-    p = s.range(-4, 25).select((F.col("id") / 20.0).alias("pressure"))
-    return p.select("pressure", C.cadence(F.col("pressure"), 1, 16).alias("cadence"), C.alpha_of(F.col("pressure")).alias("alpha"))
+    """Of each key, for a pressure that its number of events stands for, within bounds and beyond them."""
+    p = src.events(s, d).groupBy("key").agg(F.count("*").alias("n")).select("key", ((F.col("n") % 29 - 4) / 20.0).alias("pressure"))
+    return p.select("key", "pressure", C.cadence(F.col("pressure"), 1, 16).alias("cadence"), C.alpha_of(F.col("pressure")).alias("alpha"))
 
 
 def loss_gap_summary(s, d):
@@ -358,6 +377,8 @@ QUERIES = {
     "publish_quota": publish_quota,
     "cache_versions": lambda s, d: cache.versions(_published(s, d)).select("key", *cache.META, *r6(*C.FEATURES)),
     "cache_latest": lambda s, d: cache.latest(cache.versions(_published(s, d))).select("key", *cache.META, *r6(*C.FEATURES)),
+    "cache_committed": lambda s, d: _committed(s, d).latest().select("key", *cache.META, *r6(*C.FEATURES)),
+    "query_committed": query_committed,
     "query_final_state": lambda s, d: _answers(cache.query_final(src.queries(s, d), _published(s, d))),
     "query_asof_before": lambda s, d: _answers(cache.query_asof(src.queries(s, d), _published(s, d))),
     "query_phase_end": query_phase_end,

@@ -251,6 +251,10 @@ e AS (SELECT key, rn, seq, cad <= 1 AS published, CAST(CASE WHEN cad <= 1 THEN 1
 SELECT seq, key, published, version_id, pending FROM e"""),
     "cache_versions": sql(FEATURES, f" SELECT key, rn // 4 AS version_id, seq AS latest_included_seq, event_ts_ns AS latest_event_ts_ns, {XS} FROM f WHERE rn % 4 = 0"),
     "cache_latest": sql(FEATURES, f" SELECT key, rn // 4 AS version_id, seq AS latest_included_seq, event_ts_ns AS latest_event_ts_ns, {XS} FROM f WHERE rn % 4 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1"),
+    "cache_committed": sql(FEATURES, f" SELECT key, rn // 4 AS version_id, seq AS latest_included_seq, event_ts_ns AS latest_event_ts_ns, {XS} FROM f WHERE rn % 4 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1"),
+    "query_committed": sql(QUERIED, f""", v AS (SELECT key, rn // 4 AS version_id, seq AS latest_included_seq, event_ts_ns AS latest_event_ts_ns, {XS} FROM f WHERE rn % 4 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1)
+SELECT q.query_id, q.key, v.key IS NULL AS cold_start, coalesce(version_id, 0) AS version_id, coalesce(latest_included_seq, 0) AS latest_included_seq, coalesce(latest_event_ts_ns, 0) AS latest_event_ts_ns,
+  x0, x1, x2, x3, x4, x5, x6 FROM q LEFT JOIN v ON v.key = q.key"""),
     "query_final_state": sql(QUERIED, ", a AS (SELECT q.*, (SELECT max(rn) FROM f WHERE f.key = q.key) AS rn FROM q)", ANSWER),
     "query_asof_before": sql(QUERIED, ", a AS (SELECT q.*, f.rn FROM q ASOF LEFT JOIN f ON q.key = f.key AND q.query_id > f.seq)", ANSWER),
     "query_phase_end": sql(QUERIED, ", a AS (SELECT q.query_id, q.key, q.query_ts_ns, max(fp.rn) AS rn FROM q LEFT"
@@ -298,10 +302,9 @@ w AS (SELECT key, i, a * coalesce(product(1 - a) OVER (PARTITION BY key
   ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS w FROM o UNION ALL SELECT key, count(*),
   product(1 - a) FROM o GROUP BY key)
 SELECT key, CAST(i AS INTEGER) AS i, """, R9.format("w"), " AS weight FROM w"),
-    "ema_response": "WITH o AS (SELECT a / 20e0 AS alpha, w * 3.141592653589793e0 / 16e0 AS omega FROM range(1, 20) t(a), "
-        "range(16) u(w)), "
+    "ema_response": sql(RAW, ", o AS (SELECT key, (count(*) % 19 + 1) / 20e0 AS alpha, count(*) FILTER (code = 3) % 16 * 3.141592653589793e0 / 16e0 AS omega FROM ev GROUP BY key), "
         "p AS (SELECT *, alpha + 2 * (1 - alpha) * sin(omega / 2) * sin(omega / 2) AS re, (1 - alpha) * sin(omega) AS im"
-        " FROM o) SELECT alpha, " + R6.format("omega") + " AS omega, " + R6.format("alpha * re / (re * re + im * im)") + " AS re, " + R6.format("-alpha * im / (re * re + im * im)") + " AS im, " + R6.format("(re * (1 - alpha) * cos(omega) - im * (1 - alpha) * sin(omega)) / (re * re + im * im)") + " AS group_delay, (2 - alpha) / alpha AS span FROM p",
+        " FROM o) SELECT key, alpha, " + R6.format("omega") + " AS omega, " + R6.format("alpha * re / (re * re + im * im)") + " AS re, " + R6.format("-alpha * im / (re * re + im * im)") + " AS im, " + R6.format("(re * (1 - alpha) * cos(omega) - im * (1 - alpha) * sin(omega)) / (re * re + im * im)") + " AS group_delay, (2 - alpha) / alpha AS span FROM p"),
     "reconcile_status": sql(SPLITS, r""",
 p0 AS (SELECT seq, user_id, CASE WHEN seq % 97 = 0 THEN 1.5e0 ELSE 0.5e0 END AS score,
   CASE WHEN seq % 89 = 0 THEN 1 - label ELSE label END AS label FROM cohort WHERE seq % 101 <> 0 AND split = 'test'),
@@ -412,8 +415,8 @@ SELECT (SELECT count(*) FROM q) / CAST((SELECT count(*) FROM q) AS DOUBLE) AS co
         " WHERE behavior IS NULL AND seq % 13 = 0"),
     "mean_scores": sql(FEATURES, ", u AS (SELECT seq, score * (1 + r * 0.01e0) AS s FROM sc, range(5) t(r))"
         " SELECT CAST(seq AS VARCHAR) AS sample_id, ", R9.format("avg(s)"), " AS score, count(*) AS n_runs FROM u GROUP BY seq"),
-    "pressure_maps": "SELECT p / 20e0 AS pressure, CAST(least(greatest(1 + CAST(floor(least(greatest(p / 20e0, 0e0), 1e0) * 15e0) AS BIGINT), 1), 16) AS INTEGER) AS cadence, 0.02e0 + 0.28e0 * least(greatest(p / 20e0, 0e0), 1e0) AS alpha"
-        " FROM range(-4, 25) t(p)",
+    "pressure_maps": sql(RAW, ", k AS (SELECT key, (count(*) % 29 - 4) / 20e0 AS p FROM ev GROUP BY key) "
+        "SELECT key, p AS pressure, CAST(least(greatest(1 + CAST(floor(least(greatest(p, 0e0), 1e0) * 15e0) AS BIGINT), 1), 16) AS INTEGER) AS cadence, 0.02e0 + 0.28e0 * least(greatest(p, 0e0), 1e0) AS alpha FROM k"),
     "hourly_counts": sql(RAW, " SELECT event_ts_ns // 3600000000000 * 3600 AS hour_s, code AS behavior_code, count(*) AS n FROM ev GROUP BY ALL"),
     "controller_actions": sql(COUNTED, ", d AS (SELECT key, seq, sign(code - lag(code) OVER (PARTITION BY key ORDER BY seq)) AS d FROM c), "
         "e AS (SELECT key, d, d <> lag(d) OVER (PARTITION BY key ORDER BY seq) AS t FROM d WHERE d <> 0) SELECT key, "

@@ -7,11 +7,14 @@ import math
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.functions.columns import NS, behaviour_code, digits_only
+from keyloom.functions.running import first
 
 RAW = T.StructType([T.StructField(n, T.StringType()) for n in ("user_id", "item_id", "category_id", "behavior", "timestamp_s")])
 EVENT = "seq long, event_ts_ns long, key long, item_id long, category_id long, behavior_code int"
@@ -47,9 +50,62 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("seq").alias("query_id"), F.when(F.col("seq") % 10 == 0, F.col("key") + 1_000_000_000).otherwise(F.col("key")).alias("key"), F.col("event_ts_ns").alias("query_ts_ns"))
 
 
-def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical event file: the header must match, every value must parse."""
-    return spark.read.schema(EVENT).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("quote", "").csv(path)
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block, line: the lines of text files, and where each stands: a file is read in splits that begin at ``block``, and
+    ``line`` rises within a split, so that (file, block, line) is the order of arrival however the files are cut."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def read_events_csv(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
+    """Canonical event file: the header must match, every value must parse and be in its domain (a behaviour from 0 to 3, nothing negative).
+    Unless ``ordered`` is false, numbers must rise strictly and times must not fall from line to line, as they arrive, which is
+    checked over all files before this returns; files follow one another by name."""
+    rows = spark.read.schema(EVENT).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("quote", "").csv(path)
+    sound = F.coalesce(F.col("behavior_code").between(0, 3), F.lit(False))
+    for name in ("seq", "event_ts_ns", "key", "item_id", "category_id"):
+        sound = sound & F.coalesce(F.col(name) >= 0, F.lit(False))
+    if ordered and (wrong := {k: v for k, v in arrival_faults(rows).first().asDict().items() if v}):
+        raise ValueError(f"events arrive out of order: {wrong}")
+    return rows.withColumn("seq", F.when(sound, F.col("seq")).otherwise(F.raise_error(F.lit("an event outside its domain")).cast("long")))
+
+
+def arrival_faults(rows: DataFrame) -> DataFrame:
+    """One row: pairs of successive lines of the files ``rows`` are read from whose seq does not rise, and whose time falls. Nothing is sorted
+    by what is under test: lines are compared where they lie, split by split, and splits by their first and last lines."""
+    placed = rows.select("seq", "event_ts_ns", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def told(at: list, first: tuple, last: tuple, still: int, back: int) -> pa.RecordBatch:
+        values = [*at, *first, *last, still, back]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.string() if i == 0 else pa.int64()) for i, v in enumerate(values)], names)
+
+    names = ["file", "block", "first_seq", "first_ns", "last_seq", "last_ns", "still", "back"]
+
+    def run(batches):
+        now, first, last, still, back = None, None, None, 0, 0
+        for b in batches:
+            files, blocks = b.column(2).dictionary_encode(), b.column(3).to_numpy()
+            code = files.indices.to_numpy()
+            seq, ns = (b.column(i).fill_null(-1).to_numpy() for i in (0, 1))
+            edges = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), b.num_rows]
+            for x, z in zip(edges, edges[1:], strict=False):
+                if z == x:
+                    continue
+                at = [files.dictionary[int(code[x])].as_py(), int(blocks[x])]
+                if at != now:
+                    if now is not None:
+                        yield told(now, first, last, still, back)
+                    now, first, last, still, back = at, (int(seq[x]), int(ns[x])), None, 0, 0
+                if last is not None:
+                    still, back = still + int(seq[x] <= last[0]), back + int(ns[x] < last[1])
+                still, back = still + int((seq[x + 1 : z] <= seq[x : z - 1]).sum()), back + int((ns[x + 1 : z] < ns[x : z - 1]).sum())
+                last = int(seq[z - 1]), int(ns[z - 1])
+        if now is not None:
+            yield told(now, first, last, still, back)
+
+    splits = placed.mapInArrow(run, "file string, block long, first_seq long, first_ns long, last_seq long, last_ns long, still long, back long")
+    before = Window.orderBy("file", "block")  # as many rows as splits
+    splits = splits.withColumns({"still": F.col("still") + F.coalesce((F.col("first_seq") <= F.lag("last_seq").over(before)).cast("int"), F.lit(0)), "back": F.col("back") + F.coalesce((F.col("first_ns") < F.lag("last_ns").over(before)).cast("int"), F.lit(0))})
+    return splits.agg(F.coalesce(F.sum("still"), F.lit(0)).alias("seq_does_not_rise"), F.coalesce(F.sum("back"), F.lit(0)).alias("time_falls"))
 
 
 def read_events_by_name(spark: SparkSession, path: str, columns: str = EVENT) -> DataFrame:
@@ -61,20 +117,24 @@ def read_events_by_name(spark: SparkSession, path: str, columns: str = EVENT) ->
 def read_table_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A strict table of strings: the header is exactly ``columns``, every row has as many values, all ASCII, none blank or quoted. What
     is not fails the job when it is read."""
-    lines = spark.read.text(path)
-    head = lines.first()
-    if head is None or head[0] != ",".join(columns):
+    lines = placed_lines(spark, path)
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"), F.min("line").alias("head_line"))  # one row a file
+    found = heads.agg(F.count("*").alias("n"), F.count_if(F.col("head") != ",".join(columns)).alias("other")).first()
+    if not found["n"] or found["other"]:
         raise ValueError(f"the header is not {columns}")
-    cells = lines.filter(F.col("value") != F.lit(head[0])).select(F.split("value", ",", -1).alias("c"), "value")
+    # Only a file's first line is its header; a later one of the same words is a row.
+    rows = lines.join(F.broadcast(heads.select("file", "head_line")), "file").filter("block > 0 or line > head_line")
+    cells = rows.select(F.split("value", ",", -1).alias("c"), "value")
     good = (F.size("c") == len(columns)) & F.col("value").rlike("^[\\x20-\\x7e]*$") & ~F.col("value").contains('"') & ~F.exists("c", lambda x: F.trim(x) == "")
     c = F.when(good, F.col("c")).otherwise(F.raise_error(F.lit("malformed table row")).cast("array<string>"))
     return cells.select(c.alias("c")).select(*[F.col("c")[i].alias(n) for i, n in enumerate(columns)])
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """Raw behaviour file without a header. A row of wrong width, with an empty or negative or non-numeric field or an
-    unknown behaviour fails the job."""
-    rows = spark.read.text(path).select(F.split("value", ",", -1).alias("c"))
+    unknown behaviour fails the job. With ``max_rows`` only the first so many lines, in order of arrival, are read."""
+    found = spark.read.text(path) if max_rows is None else first(placed_lines(spark, path), ["file", "block", "line"], max_rows)
+    rows = found.select(F.split("value", ",", -1).alias("c"))
     bad = F.lit("malformed raw event row")
     names = [f.name for f in RAW]
     out = rows.select(F.when(F.size("c") == 5, F.col("c")).otherwise(F.raise_error(bad).cast("array<string>")).alias("c")).select(*[F.col("c")[i].alias(n) for i, n in enumerate(names)])
@@ -127,7 +187,7 @@ def window_events(rows: DataFrame, first_s: int, last_s: int, test_start_s: int,
     found = rows.filter(t.between(first_s, last_s) & (t < test_start_s))
     if cohort is not None:
         found = found.join(cohort.filter(F.col("split") == split).select("seq"), "seq", "left_semi")
-    found = found.orderBy("seq").limit(n)
+    found = first(found, ["seq"], n)
     if found.isEmpty():
         raise ValueError("no events in the window")
     return found
