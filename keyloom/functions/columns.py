@@ -49,6 +49,7 @@ def digits_only(text: Column) -> Column:
 
 def finite_decimal(text: Column) -> Column:
     """Finite decimal without padding, else null."""
+    # Fixed value: the grammar of a decimal.
     value = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 

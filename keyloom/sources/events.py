@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from keyloom.functions.columns import NS, behaviour_code, digits_only
 from keyloom.functions.running import first
 
+# Columns of the files and names of the telemetry, in their order.
 RAW = T.StructType([T.StructField(n, T.StringType()) for n in ("user_id", "item_id", "category_id", "behavior", "timestamp_s")])
 EVENT = "seq long, event_ts_ns long, key long, item_id long, category_id long, behavior_code int"
 QUERY = "query_id long, key long, query_ts_ns long"
