@@ -12,9 +12,9 @@ Equal vectors are collapsed first and counted. A pair counts in the first table
 meets, so links are counted without being listed, and each block passes on only a spanning
 forest of its links.
 
-Null, empty, zero and non-finite vectors (or with null components) link with nothing, and so
-do rows without an id; vectors of different lengths link with nothing of another length. Rows that repeat an id
-are vectors of their own, and each counts the others. An empty table gives an empty result. Vectors
+Null, empty, zero and non-finite vectors (or with null components) link with nothing; vectors
+of different lengths link with nothing of another length. Rows without an id link like all others: their component is the
+smallest id in it, and they are kept only where it has none. Rows that repeat an id are vectors of their own, and each counts the others. An empty table gives an empty result. Vectors
 of single precision are sent as such; all arithmetic is in double precision.
 """
 
