@@ -1,7 +1,7 @@
 """Paired inference by permutation and bootstrap, between and within clusters.
 
 Draws are distributed. For metrics that are sums over rows (Brier score, log loss, accuracy) or follow from sums (F1), a draw reads
-the clusters' sums; for ranking metrics the rows themselves are ranked once for each draw, as Spark rows. Clusters are few by
+the clusters' sums; for ranking metrics all draws are worked out range by range of the scores (ranked_draws.py). Clusters are few by
 design (hours, days): their sums are gathered, MOST_CLUSTERS at most, and more than that is an error.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.columns import log_loss
-from keyloom.operators.metrics import ranking
+from keyloom.operators.ranked_draws import BLOCK, cells, differences
 
 #: Up to so many clusters all sign patterns or swaps are enumerated.
 EXACT, EXACT_SWAPS = 16, 12
@@ -221,37 +221,17 @@ class _Sums:
         return np.where((pos > 0) & (pos < n), self.sign * out, np.nan)
 
 
-def _by_draw(spark, plan: DataFrame, sums: _Sums, n: int, weights, swaps) -> np.ndarray:
-    """The difference for each id of ``plan``, in order of ids."""
+def _by_draw(spark, draws: int, sums: _Sums, n: int, weights, swaps) -> np.ndarray:
+    """The difference for each draw, in order; a task goes through its draws in blocks of bounded size."""
+    block = max(1, BLOCK // n)
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            w = weights(ids) if weights else np.ones((len(ids), n))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums.difference(w, swaps(ids) if swaps else None))], ["id", "v"])
+            for k in range(0, b.num_rows, block):
+                ids = b.column(0).slice(k, block).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums.difference(weights(ids), swaps(ids)))], ["id", "v"])
 
-    return np.array([r["v"] for r in plan.mapInArrow(run, "id long, v double").orderBy("id").collect()], float)
-
-
-def _ranked_by_draw(rows: DataFrame, plan: DataFrame, names: list, metric: str, weights, swaps) -> np.ndarray:
-    """The same for ranking metrics: every draw's clusters meet the clusters' rows, which are ranked by draw and model."""
-    n = len(names)
-
-    def run(batches):
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            w = weights(ids) if weights else np.ones((len(ids), n))
-            s = swaps(ids) if swaps else np.zeros((len(ids), n))
-            columns = [pa.array(np.repeat(ids, n)), pa.array(names * len(ids)), pa.array(w.ravel().astype(np.int64)), pa.array(s.ravel() > 0)]
-            yield pa.RecordBatch.from_arrays(columns, ["draw", "group_id", "w", "s"])
-
-    dealt = plan.mapInArrow(run, "draw long, group_id string, w long, s boolean").filter("w > 0")
-    met = rows.join(dealt, "group_id")
-    both = met.select("draw", "label", "w", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.when(F.col("s"), F.col("b")).otherwise(F.col("a")).alias("score")), F.struct(F.lit("b").alias("model"), F.when(F.col("s"), F.col("a")).otherwise(F.col("b")).alias("score")))).alias("x"))
-    found = ranking(both.select("draw", "label", "w", "x.*"), by=("draw", "model"), weight="w")
-    value = F.col("auroc" if metric == "auroc" else "ap")
-    per = found.groupBy("draw").agg((F.max(F.when(F.col("model") == "a", value)) - F.max(F.when(F.col("model") == "b", value))).alias("v"))
-    return np.array([math.nan if r["v"] is None else r["v"] for r in plan.join(per, plan["id"] == per["draw"], "left").orderBy("id").collect()], float)
+    return np.array([r["v"] for r in spark.range(draws).mapInArrow(run, "id long, v double").orderBy("id").collect()], float)
 
 
 def paired_groups(rows: DataFrame, metric: str, draws: int = 2000, seed: int = 13, level: float = 0.95, threshold: float = 0.5) -> DataFrame:
@@ -267,33 +247,45 @@ def paired_groups(rows: DataFrame, metric: str, draws: int = 2000, seed: int = 1
         raise ValueError("labels must be 0 or 1, scores between 0 and 1, and groups named")
     if ranks:
         got = gathered(rows.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("label").alias("pos")))
-        names, count, pos = [r["group_id"] for r in got], np.array([r["n"] for r in got], float), np.array([r["pos"] for r in got], float)
-        value = lambda plan, weights=None, swaps=None: _ranked_by_draw(rows, plan, names, metric, weights, swaps)
+        count, pos = np.array([r["n"] for r in got], float), np.array([r["pos"] for r in got], float)
     else:
         sums = _Sums(rows, metric, threshold)
         count, pos = sums.n, sums.pos
-        value = lambda plan, weights=None, swaps=None: _by_draw(spark, plan, sums, len(count), weights, swaps)
     n = len(count)
     if n < 2 or not 0 < pos.sum() < count.sum():
         raise ValueError("at least two clusters and both classes")
-    effect = float(value(spark.range(1))[0])
     exact = n <= EXACT_SWAPS
-    swapped = value(spark.range(2**n if exact else draws), None, lambda ids: signs(ids, n, exact, seed))
-    hits = int((np.abs(swapped) >= least_extreme(effect)).sum())
-    p = hits / 2**n if exact else (hits + 1) / (draws + 1)
     pure = bool(((pos == 0) | (pos == count)).all())
     strata = [np.flatnonzero(pos == 0), np.flatnonzero(pos > 0)] if pure else [np.arange(n)]
+    # One plan of draws: as observed, swapped, resampled, and each cluster left out.
+    swapped_to = 1 + (2**n if exact else draws)
+    resampled_to = swapped_to + draws
+
+    def weights(ids: np.ndarray) -> np.ndarray:
+        out = np.ones((len(ids), n))
+        for row, i in zip(out, ids.tolist(), strict=True):
+            if i >= resampled_to:
+                row[i - resampled_to] = 0
+            elif i >= swapped_to:
+                r = np.random.default_rng([seed, 1, i - swapped_to])
+                row[:] = 0
+                for s in strata:
+                    np.add.at(row, r.choice(s, len(s)), 1)
+        return out
 
-    def resampled(ids: np.ndarray) -> np.ndarray:
+    def swaps(ids: np.ndarray) -> np.ndarray:
         out = np.zeros((len(ids), n))
-        for row, i in zip(out, ids, strict=True):
-            r = np.random.default_rng([seed, 1, int(i)])
-            for s in strata:
-                np.add.at(row, r.choice(s, len(s)), 1)
+        some = (ids >= 1) & (ids < swapped_to)
+        out[some] = signs(ids[some] - 1, n, exact, seed)
         return out
 
-    drawn = value(spark.range(draws), resampled)
-    alone = value(spark.range(n), lambda ids: 1 - np.eye(n)[ids])
+    if ranks:
+        values = differences(cells(rows, [r["group_id"] for r in got]), metric, resampled_to + n, n, weights, swaps)
+    else:
+        values = _by_draw(spark, resampled_to + n, sums, n, weights, swaps)
+    effect, swapped, drawn, alone = float(values[0]), values[1:swapped_to], values[swapped_to:resampled_to], values[resampled_to:]
+    hits = int((np.abs(swapped) >= least_extreme(effect)).sum())
+    p = hits / 2**n if exact else (hits + 1) / (draws + 1)
     found = None
     if np.isfinite(drawn).all() and all(len(s) >= 2 and np.isfinite(alone[s]).all() for s in strata):
         found = accelerated(np.sort(drawn), effect, [alone[s] for s in strata], level)

@@ -267,10 +267,10 @@ def paired_sign_flip(s, d):
 
 
 def paired_groups(s, d):
-    """The same by swapping the two within the days, by three metrics."""
+    """The same by swapping the two within the days, by sums and by ranks."""
     pairs = written(comparison.paired(_compared(s, d), "slow_static", "exact_fresh"), "pairs")
-    found = [inference.paired_groups(pairs, m, draws=200) for m in ("log_loss", "brier", "f1")]
-    out = found[0].unionByName(found[1]).unionByName(found[2])
+    found = [inference.paired_groups(pairs, m, draws=200) for m in ("log_loss", "brier", "f1", "auroc", "average_precision")]
+    out = reduce(DataFrame.unionByName, found)
     return out.select("metric", *r9("effect"), "p_value", "n_clusters", "exact", "stratified")
 
 

@@ -462,11 +462,32 @@ fs AS (
   FROM fc, range(4096) r(p) WHERE p < 1 << (SELECT count(*) FROM fc) GROUP BY p),
 fv AS (SELECT p, 2e0 * ta / greatest(1, na + pos) - 2e0 * tb / greatest(1, nb + pos) AS v FROM fs),
 fo AS (SELECT v AS effect FROM fv WHERE p = 0),
+gi AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS i FROM x GROUP BY group_id),
+ce AS (
+  SELECT i, label, 0 AS side, a AS s, count(*) AS n FROM x JOIN gi USING (group_id) GROUP BY ALL
+  UNION ALL SELECT i, label, 1, b, count(*) FROM x JOIN gi USING (group_id) GROUP BY ALL),
+ra AS (
+  SELECT p, ((p >> i) + side) % 2 AS arm, s, CAST(sum(n * label) AS BIGINT) AS pos, CAST(sum(n) AS BIGINT) AS n
+  FROM ce, range(4096) r(p) WHERE p < 1 << (SELECT count(*) FROM gi) GROUP BY ALL),
+rb AS (
+  SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM ra
+  WINDOW w AS (PARTITION BY p, arm ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+rc AS (
+  SELECT p, arm, sum(pos) AS np, sum(n - pos) AS nq, sum(CAST(pos AS DOUBLE) * (2 * (seen - tp) - (n - pos))) AS lost,
+         sum(pos * CAST(tp AS DOUBLE) / CAST(seen AS DOUBLE)) AS hit
+  FROM rb GROUP BY p, arm),
+rd AS (
+  SELECT p, unnest([{'m': 'auroc', 'v': 1e0 - lost / (2e0 * CAST(np AS DOUBLE) * CAST(nq AS DOUBLE))},
+    {'m': 'average_precision', 'v': hit / CAST(np AS DOUBLE)}], recursive := true), arm FROM rc),
+rv AS (SELECT m, p, sum(CASE WHEN arm = 0 THEN v ELSE -v END) AS v FROM rd GROUP BY m, p),
+ro AS (SELECT m, v AS effect FROM rv WHERE p = 0),
 u AS (
   SELECT candidate AS metric, effect, p AS p_value, k AS n_clusters FROM pv
   UNION ALL SELECT 'f1',
   any_value(effect), CAST(count(*) FILTER (WHERE abs(v) >= abs(effect) * (1 - 1e-12) - 5e-324) AS DOUBLE) / count(*), (SELECT count(*)
-  FROM fc) FROM fv, fo)
+  FROM fc) FROM fv, fo
+  UNION ALL SELECT m, any_value(effect), CAST(count(*) FILTER (WHERE abs(v) >= abs(effect) * (1 - 1e-12) - 1e-15) AS DOUBLE) / count(*),
+  (SELECT count(*) FROM gi) FROM rv JOIN ro USING (m) GROUP BY m)
 SELECT metric, """, R9.format("effect"), " AS effect, p_value, CAST(n_clusters AS INTEGER) AS n_clusters, true AS exact, false AS stratified FROM u"),
     "config_metrics": sql(COMPARED, r""",
 g AS (SELECT config, score AS s, CAST(sum(label) AS BIGINT) AS pos, count(*) AS n FROM te GROUP BY config, score),
