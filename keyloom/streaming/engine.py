@@ -16,7 +16,7 @@ from keyloom.operators.policies import Policy
 from keyloom.sources.events import EVENT, LogisticModel
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUT = "seq long, event_ts_ns long, key long, behavior_code int, " + ", ".join(f"{x} double" for x in FEATURES) + ", score double, published boolean, version_id long, pending long"
+OUT = "seq long, event_ts_ns long, key long, behavior_code int, " + ", ".join(f"{x} double" for x in FEATURES) + ", score double, published boolean, version_id long, pending long, n long"
 STATE = "engagement double, gap double, pv long, cart_fav long, buy long, n long, last_seq long, last_ns long, version long, pending long, public_ns long"
 EMPTY = (0.0, 0.0, 0, 0, 0, 0, -1, 0, 0, 0, 0)
 
@@ -51,7 +51,7 @@ class KeyedFeatures(StatefulProcessor):
         pressures = new["pressure"].tolist() if "pressure" in new else [None] * len(new)
         for seq, ns, code, pressure in zip(new["seq"].tolist(), new["event_ts_ns"].tolist(), new["behavior_code"].tolist(), pressures, strict=True):
             if n and (seq <= seq0 or ns < ns0):
-                raise ValueError(f"event {seq} of key {key[0]} is out of order")
+                raise ValueError(f"phase features: event {seq} of key {key[0]} is out of order")
             gap = (ns - ns0) / 1e9 if n else 0.0
             s += self.alpha * (WEIGHTS[code] - s)
             g += self.alpha * (gap - g)
@@ -61,14 +61,14 @@ class KeyedFeatures(StatefulProcessor):
             for w, v in zip(self.model.weights, x, strict=True):
                 z += w * v
             if not math.isfinite(z):
-                raise ValueError(f"the score of event {seq} is not finite")
+                raise ValueError(f"phase score: the score of event {seq} is not finite")
             score = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
             hit = decide(self.policy, version, pending, ns - public, pressure)
             version, pending, public = (version + 1, 0, ns) if hit else (version, pending + 1, public)
-            out.append((seq, ns, int(key[0]), code, *x, score, hit, version, pending))
+            out.append((seq, ns, int(key[0]), code, *x, score, hit, version, pending, n))
             seq0, ns0 = seq, ns
         self.state.update((s, g, pv, cf, buy, n, seq0, ns0, version, pending, public))
-        yield pd.DataFrame(out, columns=["seq", "event_ts_ns", "key", "behavior_code", *FEATURES, "score", "published", "version_id", "pending"])
+        yield pd.DataFrame(out, columns=["seq", "event_ts_ns", "key", "behavior_code", *FEATURES, "score", "published", "version_id", "pending", "n"])
 
     def close(self) -> None:
         pass
