@@ -15,7 +15,7 @@ from keyloom.plans.sql import SQL
 from keyloom.sources import events as src
 from keyloom.sources.store import shared_dir, written
 from keyloom.sources.versions import VersionStore
-from keyloom.streaming import engine
+from keyloom.streaming import engine, run, windows
 
 # The model of the demonstration queries (its scores spread over the events table, whose gaps are hours), their horizon and end.
 MODEL = src.LogisticModel(0.2, (0.4, -0.1, 0.3, 0.2, -0.4, 0.1, 0.000001))
@@ -191,6 +191,30 @@ def stream_features(s, d):
     return out.select("seq", "key", *r6(*C.FEATURES), "published", "version_id", "pending")
 
 
+def stream_run_receipt(s, d):
+    """Receipts of two runs over the events, each a range of seq, on one checkpoint."""
+    base, rows = f"{shared_dir(s)}/run-{uuid.uuid4().hex}", src.events(s, d)
+    last, receipts = rows.agg(F.max("seq")).first()[0] or 0, []
+    for k in range(2):
+        rows.filter(F.expr(f"seq * 2 div {last + 1} = {k}")).repartitionByRange("seq").write.mode("append").parquet(f"{base}/events")
+        told = run.run(engine.event_stream(s, f"{base}/events"), MODEL, f"{base}/out", f"{base}/checkpoint", policy=CADENCE, alpha=feat.ALPHA)
+        receipts.append((k, *[told[c] for c in (*run.STAGES, "published", "coalesced", "keys")]))
+    return s.createDataFrame(receipts, "part int, read long, extracted long, scored long, written long, published long, coalesced long, keys long")
+
+
+def stream_hourly_ledger(s, d):
+    """Hours of a stream in which every seventh key's events come after all others: closed and open windows, and the rows that came too late."""
+    base, rows = f"{shared_dir(s)}/hours-{uuid.uuid4().hex}", src.events(s, d)
+    for late in (False, True):
+        rows.filter((F.col("key") % 7 == 0) == late).write.mode("append").parquet(f"{base}/events")
+        parts = engine.replay(windows.counted(engine.event_stream(s, f"{base}/events")), f"{base}/out", f"{base}/checkpoint")
+    open_ = windows.open_windows(s, f"{base}/checkpoint")
+    windows.conserved(rows.count(), parts, open_)
+    late = windows.late(parts).groupBy("hour_s", "behavior_code").agg(F.sum("n").alias("n"))
+    told = {"closed": windows.closed(parts), "open": open_, "late": late}
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in told.items()])
+
+
 def streaming_metrics(s, d):
     raw = src.raw_events(s, d)
     q = raw.filter("behavior is null").select(F.col("event_ts_ns").alias("query_ts_ns"), (F.col("event_ts_ns") - F.col("seq") % 7 * 1_000_000).alias("feature_ts_ns"), (F.col("seq") % 11).cast("double").alias("latency_ms"))
@@ -430,6 +454,8 @@ QUERIES = {
     "train_logistic": train_logistic,
     "hourly_counts": lambda s, d: engine.hourly(src.events(s, d)),
     "stream_features_batch_parity": stream_features,
+    "stream_run_receipt": stream_run_receipt,
+    "stream_hourly_ledger": stream_hourly_ledger,
 }
 
 ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}

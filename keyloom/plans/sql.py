@@ -418,6 +418,17 @@ SELECT (SELECT count(*) FROM q) / CAST((SELECT count(*) FROM q) AS DOUBLE) AS co
     "pressure_maps": sql(RAW, ", k AS (SELECT key, (count(*) % 29 - 4) / 20e0 AS p FROM ev GROUP BY key) "
         "SELECT key, p AS pressure, CAST(least(greatest(1 + CAST(floor(least(greatest(p, 0e0), 1e0) * 15e0) AS BIGINT), 1), 16) AS INTEGER) AS cadence, 0.02e0 + 0.28e0 * least(greatest(p, 0e0), 1e0) AS alpha FROM k"),
     "hourly_counts": sql(RAW, " SELECT event_ts_ns // 3600000000000 * 3600 AS hour_s, code AS behavior_code, count(*) AS n FROM ev GROUP BY ALL"),
+    "stream_run_receipt": sql(COUNTED, r""",
+p AS (SELECT *, CAST(seq * 2 // (1 + (SELECT max(seq) FROM c)) AS INTEGER) AS part FROM c)
+SELECT part, count(*) AS read, count(*) AS extracted, count(*) AS scored, count(*) AS written, count(*) FILTER (WHERE rn % 4 = 0) AS published,
+  count(*) FILTER (WHERE rn % 4 <> 0) AS coalesced, CAST(sum(count(*) FILTER (WHERE rn = 1)) OVER (ORDER BY part) AS BIGINT) AS keys
+  FROM p GROUP BY part"""),
+    "stream_hourly_ledger": sql(RAW, r""",
+m AS (SELECT max(event_ts_ns) FILTER (WHERE key % 7 <> 0) - 3600000000000 AS first, max(event_ts_ns) - 3600000000000 AS last FROM ev),
+h AS (SELECT *, event_ts_ns // 3600000000000 * 3600 AS hour_s FROM ev)
+SELECT CASE WHEN key % 7 = 0 AND (hour_s + 3600) * 1000000000 <= first THEN 'late'
+            WHEN (hour_s + 3600) * 1000000000 <= last THEN 'closed' ELSE 'open' END AS kind,
+  hour_s, code AS behavior_code, count(*) AS n FROM h, m GROUP BY ALL"""),
     "controller_actions": sql(COUNTED, ", d AS (SELECT key, seq, sign(code - lag(code) OVER (PARTITION BY key ORDER BY seq)) AS d FROM c), "
         "e AS (SELECT key, d, d <> lag(d) OVER (PARTITION BY key ORDER BY seq) AS t FROM d WHERE d <> 0) SELECT key, "
         "count(*) FILTER (WHERE d > 0) AS increases, count(*) FILTER (WHERE d < 0) AS decreases, "
