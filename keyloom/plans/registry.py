@@ -341,14 +341,16 @@ def cluster_bootstrap(s, d):
 
 
 def train_logistic(s, d):
-    """Weights fitted on the train split, beside those that know only the prior or x0."""
+    """Weights fitted on the train split, beside those that know only the prior or x0, with the objective of each."""
     cohort, features = written(_cohort(s, d), "cohort"), written(_features(s, d), "features")
-    rows = training.examples(features, cohort)
-    model, history = training.fit(rows)
-    base, one = training.prior(rows), training.fit(training.examples(features, cohort, columns=("x0",)))[0]
-    pad = lambda m: (*m.weights, *(0.0,) * (7 - len(m.weights)))
-    table = [("logistic", model.bias, *pad(model), len(history)), ("x0_only", one.bias, *pad(one), 0), ("prior", base.bias, *pad(base), 0)]
-    return s.createDataFrame(table, "model string, bias double, " + ", ".join(f"w{i} double" for i in range(7)) + ", iterations int")
+    rows = written(training.examples(features, cohort), "examples")
+    narrow = rows.select("seq", "label", "x0")
+    models = {"logistic": (rows, training.fit(rows)[0]), "x0_only": (narrow, training.fit(narrow)[0]), "prior": (rows, training.prior(rows))}
+    found = []
+    for name, (of, model) in models.items():
+        weights = [F.lit(w).alias(f"w{i}") for i, w in enumerate((*model.weights, *(0.0,) * (7 - len(model.weights))))]
+        found.append(training.loss_and_gradient(of, model).select(F.lit(name).alias("model"), "n", "objective", F.lit(model.bias).alias("bias"), *weights))
+    return reduce(DataFrame.unionByName, found).select("model", "n", *r6("objective", "bias", *[f"w{i}" for i in range(7)]))
 
 
 def workload_queries(s, d):

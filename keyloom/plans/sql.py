@@ -161,6 +161,31 @@ tr AS (SELECT pl.*, phase, phase_idx, CAST((place - first) * step + t0 AS BIGINT
   CASE WHEN qn > 0 THEN greatest(1, en // qn) ELSE 0 END AS every FROM pl
   JOIN ph3 ON place >= first AND place < first + en)"""
 
+
+def _newton(name: str, k: int, steps: int = 15) -> str:
+    """Whole Newton steps on mean log loss + 1e-4 / 2 |w|^2 over ``ex`` with its first k features: b0 is the bias. The equations are solved by
+    elimination, one column after another."""
+    x = ["1e0", *[f"x{i}" for i in range(k)]]
+    n = k + 1
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    z = " + ".join(f"b{i} * {v}" for i, v in enumerate(x))
+    b = ", ".join(f"b{i}" for i in range(n))
+    pen = lambda i: "0e0" if i == 0 else "1e-4"
+    q = f"SELECT step, {b}, {', '.join(x[1:])}, label, CAST(1 AS DOUBLE) / (1 + exp(-({z}))) AS p FROM {name}_r, ex WHERE step < {steps}"
+    q = f"SELECT step, {b}, " + ", ".join([f"avg((p - label) * {v}) + {pen(i)} * b{i} AS g{i}" for i, v in enumerate(x)] + [f"avg(p * (1 - p) * {x[i]} * {x[j]})" + (f" + {pen(i)}" if i == j else "") + f" AS h{i}_{j}" for i, j in cells]) + f" FROM ({q}) GROUP BY step, {b}"
+    for e in range(n - 1):
+        rest = [f"g{i} - h{e}_{i} / h{e}_{e} * g{e} AS g{i}" for i in range(e + 1, n)] + [f"h{i}_{j} - h{e}_{i} / h{e}_{e} * h{e}_{j} AS h{i}_{j}" for i, j in cells if i > e]
+        kept = [f"g{i}" for i in range(e + 1)] + [f"h{i}_{j}" for i, j in cells if i <= e]
+        q = f"SELECT step, {b}, " + ", ".join(kept + rest) + f" FROM ({q})"
+    for e in reversed(range(n)):
+        known = "".join(f" - h{e}_{j} * s{j}" for j in range(e + 1, n))
+        q = f"SELECT *, (g{e}{known}) / h{e}_{e} AS s{e} FROM ({q})"
+    first = ", ".join(["(SELECT ln(avg(label) / (1 - avg(label))) FROM ex) AS b0", *[f"0e0 AS b{i}" for i in range(1, n)]])
+    return f"""{name}_r AS (SELECT 0 AS step, {first}
+  UNION ALL SELECT step + 1, {", ".join(f"b{i} - s{i}" for i in range(n))} FROM ({q})),
+{name} AS (SELECT '{name}' AS model, b0, {", ".join(f"b{i}" if i < n else f"0e0 AS b{i}" for i in range(1, 8))} FROM {name}_r WHERE step = {steps})"""
+
+
 SQL = {
     "canonical_events": sql(RAW, r""",
 k AS (SELECT DISTINCT event_ts_ns, key, item_id, category_id, behavior FROM raw
@@ -418,6 +443,20 @@ SELECT (SELECT count(*) FROM q) / CAST((SELECT count(*) FROM q) AS DOUBLE) AS co
     "pressure_maps": sql(RAW, ", k AS (SELECT key, (count(*) % 29 - 4) / 20e0 AS p FROM ev GROUP BY key) "
         "SELECT key, p AS pressure, CAST(least(greatest(1 + CAST(floor(least(greatest(p, 0e0), 1e0) * 15e0) AS BIGINT), 1), 16) AS INTEGER) AS cadence, 0.02e0 + 0.28e0 * least(greatest(p, 0e0), 1e0) AS alpha FROM k"),
     "hourly_counts": sql(RAW, " SELECT event_ts_ns // 3600000000000 * 3600 AS hour_s, code AS behavior_code, count(*) AS n FROM ev GROUP BY ALL"),
+    "train_logistic": sql(FEATURES, LABELS.removeprefix(RAW), SPLITS_ONLY, r""",
+ex AS (
+  SELECT CAST(c.label AS DOUBLE) AS label, f.x0, f.x1, f.x2, f.x3, f.x4, f.x5, f.x6 FROM cohort c JOIN f ON f.seq = c.seq
+  WHERE split = 'train' AND c.label IS NOT NULL),
+""", _newton("logistic", 7), ",\n", _newton("x0_only", 1), r""",
+models AS (
+  SELECT * FROM logistic UNION ALL SELECT * FROM x0_only
+  UNION ALL SELECT 'prior', ln(avg(label) / (1 - avg(label))), 0, 0, 0, 0, 0, 0, 0 FROM ex),
+zs AS (
+  SELECT m.*, label, b0 + b1 * x0 + b2 * x1 + b3 * x2 + b4 * x3 + b5 * x4 + b6 * x5 + b7 * x6 AS z FROM models m, ex),
+ob AS (
+  SELECT model, count(*) AS n, avg(greatest(z, 0e0) - label * z + ln(1 + exp(-abs(z)))) +
+    1e-4 / 2 * any_value(b1 * b1 + b2 * b2 + b3 * b3 + b4 * b4 + b5 * b5 + b6 * b6 + b7 * b7) AS objective FROM zs GROUP BY model)
+SELECT model, n, """, R6.format("objective"), " AS objective, ", R6.format("b0"), " AS bias, ", ", ".join(f"{R6.format(f'b{i + 1}')} AS w{i}" for i in range(7)), " FROM models JOIN ob USING (model)"),
     "stream_run_receipt": sql(COUNTED, r""",
 p AS (SELECT *, CAST(seq * 2 // (1 + (SELECT max(seq) FROM c)) AS INTEGER) AS part FROM c)
 SELECT part, count(*) AS read, count(*) AS extracted, count(*) AS scored, count(*) AS written, count(*) FILTER (WHERE rn % 4 = 0) AS published,
