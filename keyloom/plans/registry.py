@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import columns as C
-from keyloom.operators import cache, canonical, comparison, controllers, inference, labels, metrics, policies, reconcile, taxonomy, training, workload
+from keyloom.operators import cache, canonical, comparison, controllers, inference, labels, metrics, policies, reconcile, replay, taxonomy, training, workload
 from keyloom.operators import features as feat
 from keyloom.plans.sql import SQL
 from keyloom.sources import events as src
@@ -284,6 +284,22 @@ def diagnostic_replay(s, d):
     return reconcile.differences(ours, emitted, "seq", list(C.FEATURES)).select("seq", "column", *r6("a", "b"))
 
 
+def engine_replay(s, d):
+    """Predictions with a step that changes from event to event, of which some were lost, doubled, invented or changed, against the events."""
+    p = (F.col("seq") % 29 - 4) / 20.0
+    made = feat.scored(feat.vector(src.events(s, d), C.alpha_of(p)), MODEL).withColumnRenamed("alpha", "alpha_used")
+    told = written(replay.emitted(made, p, F.col("event_ts_ns")).filter("seq % 307 != 0"), "told")
+    every = lambda n: F.col("seq") % n == 0
+    changed = replay.spoiled(told, {
+        "alpha_used": (every(401), F.lit(1.5)), "x0": (every(211), F.col("x0") + 1e-3), "x1": (every(199), F.col("x1") + 1e-3), "item_id": (every(193), F.col("item_id") + 1),
+        "latency_ns": (every(223), F.lit(1_000_005)), "pressure_sampled_ns": (every(197), F.col("pressure_loaded_ns") + 1),
+    })
+    all_ = changed.unionByName(changed.filter(every(229))).unionByName(told.filter(every(233)).withColumn("seq", F.col("seq") + 1_000_000_000))
+    found = replay.faults(src.events(s, d), all_, MODEL)
+    seconds = lambda c: F.when(F.col("rule") == "pressure_sampled_ns", F.col(c) / 1e9).otherwise(F.col(c)).alias(c)
+    return found.select("seq", "rule", seconds("told"), seconds("due")).select("seq", "rule", *r6("told", "due"))
+
+
 def paired_sign_flip(s, d):
     """Losses of a slow cadence less those of fresh features, by day of the test."""
     pairs = comparison.paired(_compared(s, d), "slow_static", "exact_fresh")
@@ -423,6 +439,7 @@ QUERIES = {
     "reconcile_status": reconcile_status,
     "dispositions": lambda s, d: reconcile.dispositions(src.raw_events(s, d), "behavior"),
     "diagnostic_replay": diagnostic_replay,
+    "engine_replay": engine_replay,
     "streaming_metrics": streaming_metrics,
     "temporal_leaks": temporal_leaks,
     "mean_scores": mean_scores,

@@ -22,10 +22,10 @@ c AS (
          CASE code WHEN 0 THEN 1e0 WHEN 1 THEN 3e0 WHEN 2 THEN 2e0 ELSE 5e0 END AS wt
   FROM ev WINDOW w AS (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
 
-FEATURES = COUNTED + r""",
+AVERAGED = r""",
 r AS (
-  SELECT key, rn, 0e0 + 1e-1 * (wt - 0e0) AS s, 0e0 + 1e-1 * (gap_s - 0e0) AS g FROM c WHERE rn = 1
-  UNION ALL SELECT c.key, c.rn, r.s + 1e-1 * (c.wt - r.s), r.g + 1e-1 * (c.gap_s - r.g) FROM r
+  SELECT key, rn, 0e0 + {step} * (wt - 0e0) AS s, 0e0 + {step} * (gap_s - 0e0) AS g FROM c WHERE rn = 1
+  UNION ALL SELECT c.key, c.rn, r.s + {step} * (c.wt - r.s), r.g + {step} * (c.gap_s - r.g) FROM r
   JOIN c ON c.key = r.key AND c.rn = r.rn + 1),
 f AS (
   SELECT c.seq, c.event_ts_ns, c.key, c.code, c.item_id, c.rn, r.s AS x0, ln(1e0 + pv) AS x1,
@@ -36,6 +36,7 @@ z AS (SELECT *, 2e-1 + 4e-1 * x0 + -1e-1 * x1 + 3e-1 * x2 + 2e-1 * x3 + -4e-1 *
 sc AS (SELECT *,
   floor(CASE WHEN zz >= 0 THEN 1 / (1 + exp(-zz)) ELSE exp(zz) / (1 + exp(zz)) END * 1e6 + 0.5e0) / 1e6 AS score
   FROM z)"""
+FEATURES = COUNTED + AVERAGED.replace("{step}", "1e-1")
 
 LABELS = RAW + r""",
 lb AS (
@@ -482,6 +483,21 @@ SELECT CASE WHEN key % 7 = 0 AND (hour_s + 3600) * 1000000000 <= first THEN 'lat
         "abs(a - b) AS difference, CAST(abs(a - b) AS DOUBLE) / greatest(1, a) AS relative, CAST(abs(a - b) AS DOUBLE) / greatest(1, a) <= 0.01 AS matched"
         " FROM u"),
     "dispositions": sql(RAW, " SELECT coalesce(behavior, 'served') AS disposition, count(*) AS n FROM raw GROUP BY 1"),
+    "engine_replay": sql(COUNTED.replace("AS wt\n", "AS wt, 2e-2 + 28e-2 * least(greatest((seq % 29 - 4) / 20e0, 0e0), 1e0) AS step\n"), AVERAGED.replace("{step}", "c.step"), r""",
+u AS (SELECT key, min(seq) AS since FROM f WHERE seq % 307 = 0 OR seq % 401 = 0 GROUP BY key),
+e AS (SELECT f.*, coalesce(seq < since, true) AS known FROM f LEFT JOIN u ON u.key = f.key),
+told AS (SELECT * FROM e WHERE seq % 307 <> 0),
+x AS (
+  SELECT seq, 'missing' AS rule, CAST(NULL AS DOUBLE) AS told, CAST(NULL AS DOUBLE) AS due FROM e WHERE seq % 307 = 0
+  UNION ALL SELECT seq, 'twice', 2, 1 FROM told WHERE seq % 229 = 0
+  UNION ALL SELECT seq + 1000000000, 'phantom', NULL, NULL FROM told WHERE seq % 233 = 0
+  UNION ALL SELECT seq, 'alpha_used', 1.5, NULL FROM told WHERE seq % 401 = 0
+  UNION ALL SELECT seq, 'x0', x0 + 1e-3, x0 FROM told WHERE seq % 211 = 0 AND known
+  UNION ALL SELECT seq, 'x1', x1 + 1e-3, x1 FROM told WHERE seq % 199 = 0
+  UNION ALL SELECT seq, 'item_id', item_id + 1, item_id FROM told WHERE seq % 193 = 0
+  UNION ALL SELECT seq, 'latency_ns', 1000005, 1000000 FROM told WHERE seq % 223 = 0
+  UNION ALL SELECT seq, 'pressure_sampled_ns', (event_ts_ns + 100001) / 1e9, (event_ts_ns + 100000) / 1e9 FROM told WHERE seq % 197 = 0)
+SELECT seq, rule, """, R6.format("told"), " AS told, ", R6.format("due"), " AS due FROM x"),
     "diagnostic_replay": sql(FEATURES, " SELECT seq, 'x0' AS \"column\", " + R6.format("x0") + " AS a, " + R6.format("x0 + 1e-3") + " AS b FROM f WHERE seq % 211 = 0"),
     "paired_sign_flip": sql(COMPARED, r""",
 m AS (
