@@ -7,6 +7,7 @@ design (hours, days): their sums are gathered, MOST_CLUSTERS at most, and more t
 
 from __future__ import annotations
 
+import hashlib
 import math
 from statistics import NormalDist
 
@@ -74,20 +75,19 @@ def sign_flip(sums: DataFrame, draws: int = 4096, seed: int = 7) -> DataFrame:
 
 
 def row_sign_flip(rows: DataFrame, d: str, order: str, draws: int = 2000, seed: int = 7) -> float:
-    """The same p-value where every row is a unit, however many rows: a row's signs in all draws follow from its ``order`` number,
-    partitions add up their flipped sums, and one row of ``draws`` sums for each is added."""
-    words = -(-draws // 64)
-    salt = np.random.default_rng(seed).integers(1, 2**63, words, dtype=np.uint64) | np.uint64(1)
+    """The same p-value where every row is a unit, however many rows: partitions add up their flipped sums, and one row of ``draws`` sums
+    for each is added. A row's signs are the bits of SHA-256 of "seed:number:block", 256 draws a block, where ``order`` is its number:
+    they are the same however rows are dealt, and in any language."""
+    blocks = -(-draws // 256)
 
     def run(batches):
-        total, observed, n = np.zeros(words * 64), 0.0, 0
+        total, observed, n = np.zeros(blocks * 256), 0.0, 0
         for b in batches:
-            x, ids = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64)
+            x, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
             for k in range(0, len(x), 2048):
-                z = (ids[k : k + 2048, None] + np.uint64(1)) * salt
-                for shift, by in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, 0xD6E8FEB86659FD93)):
-                    z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
-                flips = np.unpackbits((z ^ (z >> np.uint64(30))).view(np.uint8), axis=1).astype(np.float64) * 2 - 1
+                part = ids[k : k + 2048]
+                held = b"".join(hashlib.sha256(f"{seed}:{i}:{j}".encode()).digest() for i in part for j in range(blocks))
+                flips = np.unpackbits(np.frombuffer(held, np.uint8).reshape(len(part), -1), axis=1).astype(np.float64) * 2 - 1
                 total += x[k : k + 2048] @ flips
             observed, n = observed + float(x.sum()), n + len(x)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([observed]), pa.array([n])], ["sums", "observed", "n"])

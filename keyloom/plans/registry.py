@@ -329,8 +329,8 @@ def config_metrics(s, d):
 
 
 def comparative_suite(s, d):
-    found = comparison.suite(written(_compared(s, d), "compared"), list(CONFIGS), "exact_fresh", "tuned_static", draws=200, rows=False)
-    return found.select("candidate", "base", "n", *r9("effect"), "n_clusters", *r9("p_clusters", "adjusted_clusters"), "significant_clusters")
+    found = comparison.suite(written(_compared(s, d), "compared"), list(CONFIGS), "exact_fresh", "tuned_static", draws=200)
+    return found.select("candidate", "base", "n", *r9("effect", "p_rows", "adjusted_rows"), "significant_rows", "n_clusters", *r9("p_clusters", "adjusted_clusters"), "significant_clusters")
 
 
 def evaluated_with_default(s, d):

@@ -576,14 +576,28 @@ clusters AS (
   SELECT candidate, base, group_id, -sum(d) AS d, count(*) AS n FROM pairs
   WHERE base = 'exact_fresh' OR candidate = 'slow_static' AND base = 'tuned_static' GROUP BY ALL)""", SWAPPED, r""",
 e AS (SELECT candidate, base, count(*) AS n, avg(d) AS effect FROM pairs GROUP BY 1, 2),
+tested AS (SELECT p.* FROM pairs p JOIN (SELECT DISTINCT candidate, base FROM clusters) c ON c.candidate = p.candidate AND c.base = p.base),
+signs AS (SELECT DISTINCT seq, sha256('13:' || seq || ':0') AS hex FROM tested),
+bits AS (
+  SELECT seq, draw, ((strpos('0123456789abcdef', substr(hex, 1 + CAST(draw // 4 AS INTEGER), 1)) - 1) >> CAST(3 - draw % 4 AS INTEGER)) % 2 AS bit
+  FROM signs CROSS JOIN range(200) r(draw)),
+flipped AS (
+  SELECT candidate, base, draw, sum(CASE WHEN bit = 1 THEN d ELSE -d END) AS v, sum(d) AS o
+  FROM tested t JOIN bits b ON b.seq = t.seq GROUP BY 1, 2, 3),
+rp AS (SELECT candidate, base, (count(*) FILTER (WHERE abs(v) >= abs(o) * (1 - 1e-12)) + 1) / 201e0 AS p FROM flipped GROUP BY 1, 2),
 h AS (
-  SELECT e.candidate, e.base, e.n, e.effect, pv.k, pv.p,
+  SELECT e.candidate, e.base, e.n, e.effect, pv.k, pv.p, rp.p AS p1,
          CASE WHEN e.base = 'tuned_static' THEN 2 WHEN e.candidate = 'tuned_static' THEN 0 ELSE 1 END AS id
-  FROM pv JOIN e ON e.candidate = pv.candidate AND e.base = pv.base),
-hr AS (SELECT *, least(1e0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, id) + 1)) AS w FROM h),
-j AS (SELECT *, max(w) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING) AS adjusted FROM hr)
+  FROM pv JOIN e ON e.candidate = pv.candidate AND e.base = pv.base JOIN rp ON rp.candidate = pv.candidate AND rp.base = pv.base),
+hr AS (
+  SELECT *, least(1e0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, id) + 1)) AS w,
+         least(1e0, p1 * (count(*) OVER () - row_number() OVER (ORDER BY p1, id) + 1)) AS w1 FROM h),
+j AS (
+  SELECT *, max(w) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING) AS adjusted,
+         max(w1) OVER (ORDER BY p1, id ROWS UNBOUNDED PRECEDING) AS adjusted1 FROM hr)
 SELECT candidate, base, n, """, R9.format("effect"), " AS effect, CAST(k AS INTEGER) AS n_clusters, ", R9.format("p"), " AS p_clusters, ", R9.format("adjusted"),
-        " AS adjusted_clusters, adjusted <= 1e0 - 0.95e0 AS significant_clusters FROM j"),
+        " AS adjusted_clusters, adjusted <= 1e0 - 0.95e0 AS significant_clusters, ", R9.format("p1"), " AS p_rows, ", R9.format("adjusted1"),
+        " AS adjusted_rows, adjusted1 <= 1e0 - 0.95e0 AS significant_rows FROM j"),
     "evaluated_with_default": sql(FEATURES, LABELS.removeprefix(RAW), SPLITS_ONLY, r"""
 SELECT c.seq, c.user_id, c.label, CASE WHEN c.seq % 2 = 0 THEN sc.score ELSE 0.1225e0 END AS score FROM cohort c
   JOIN sc ON sc.seq = c.seq WHERE split = 'test'"""),
