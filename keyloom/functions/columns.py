@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NS = 1_000_000_000
 # Behaviour names, their codes, their rank among equal times, and their weights by code.
@@ -104,6 +105,24 @@ def without_folders(text: Column) -> Column:
     return F.regexp_replace(text, r"(?:/[^/\s]+)+/([^/\s]+)", "$1")
 
 
+def _redacted(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return without_folders(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _redacted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _redacted(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_redacted(value.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
+def redacted(df: DataFrame) -> DataFrame:
+    """``df`` with ``without_folders`` applied to every string in it, however deep it lies in structs, arrays and values of maps. Names of
+    fields and keys of maps stay; so do nulls, and everything that is no text."""
+    return df.select(*[_redacted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
 def ema_response(alpha: Column, omega: Column) -> dict[str, Column]:
     """Complex response of an exponential average with step ``alpha`` at ``omega``, and its group delay:
     alpha / (alpha + 2 p sin^2(omega/2) + i p sin(omega)), p = 1 - alpha."""

@@ -109,3 +109,8 @@ def overlaps(cohort: DataFrame) -> DataFrame:
     """Keys that held-out rows share with other splits: all must be 0."""
     per = cohort.groupBy("user_id").agg(F.max((F.col("split") == "ood").cast("int")).alias("ood"), *[F.max((F.col("split") == p).cast("int")).alias(p) for p in ("train", "validation", "test")])
     return per.agg(*[F.coalesce(F.sum(F.col("ood") * F.col(p)), F.lit(0)).alias(f"ood_{p}") for p in ("train", "validation", "test")])
+
+
+def fit_users(cohort: DataFrame) -> DataFrame:
+    """user_id and n (rows) of every key that training or validation has seen."""
+    return cohort.filter(F.col("split").isin("train", "validation")).groupBy("user_id").agg(F.count("*").alias("n"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions.columns import cadence
+from keyloom.functions.columns import NS, behaviour_code, cadence
+from keyloom.operators import canonical
 from keyloom.operators.features import w_key
+from keyloom.sources import events as src
+from keyloom.sources.store import written
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,23 @@ def cyclic(events: DataFrame, n: int, order: str = "rank") -> DataFrame:
     return places.join(events, order)
 
 
+def validation_load(spark: SparkSession, path: str, first_s: int, last_s: int, test_start_s: int, n: int, cohort: DataFrame | None = None) -> DataFrame:
+    """``place`` (0 .. n-1) and the first n events of a window of time in a file, over and over where it has fewer; an error where it has none.
+
+    The file's first line tells whether it is raw or canonical: a canonical one begins with the names of its columns. Events of a raw file
+    are numbered as they arrive, and ``cohort`` (whose validation rows alone are taken) does not know these numbers, so it is
+    looked at for canonical files only."""
+    head = spark.read.text(path).take(1)
+    if head and "seq" in head[0]["value"].split(","):
+        rows = src.read_events_csv(spark, path)
+    else:
+        raw, cohort = src.read_raw_csv(spark, path, placed=True), None
+        raw = canonical.dense_index(raw, ["file", "block", "line"], "seq")
+        rows = raw.select("seq", (F.col("timestamp_s") * NS).alias("event_ts_ns"), F.col("user_id").alias("key"), "item_id", "category_id", behaviour_code(F.col("behavior")).alias("behavior_code"))
+    found = written(src.window_events(rows, first_s, last_s, test_start_s, n, cohort), "load")
+    return cyclic(canonical.dense_index(found, ["seq"], "rank"), n).drop("rank")
+
+
 def schedule(events: DataFrame, phases: tuple[Phase, ...] = PHASES) -> DataFrame:
     """phase, phase_idx, t_sched_ns of events numbered by ``place``; events beyond the phases are left out."""
     name, idx, at, first, t0 = F.lit(None), F.lit(None), F.lit(None), 0, 0

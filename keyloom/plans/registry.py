@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import columns as C
-from keyloom.operators import cache, canonical, comparison, controllers, inference, labels, metrics, policies, reconcile, replay, taxonomy, training, workload
+from keyloom.operators import cache, canonical, comparison, controllers, inference, labels, metrics, policies, reconcile, releases, replay, taxonomy, training, workload
 from keyloom.operators import features as feat
 from keyloom.plans.sql import SQL
 from keyloom.sources import events as src
@@ -106,6 +106,19 @@ def _answers(df: DataFrame) -> DataFrame:
     return df.select("query_id", "key", "query_ts_ns", "cold_start", *cache.META, "event_time_age_ns", "update_staleness", C.rounded(F.col("feature_error"), 3).alias("feature_error"))
 
 
+def released_events(s, d):
+    """The canonical events as they are read from a release, with what its accounting tells of them."""
+    path = f"{shared_dir(s)}/events-{uuid.uuid4().hex}"
+    told = releases.publish_events(src.raw_events(s, d), path)["ledger"]
+    return releases.events_of(s, path).select("*", *[F.lit(told[c]).alias(c) for c in ("raw", "outliers", "duplicates")])
+
+
+def released_labels(s, d):
+    path = f"{shared_dir(s)}/labels-{uuid.uuid4().hex}"
+    releases.publish_labels(src.events(s, d), path, HORIZON_NS, END_NS)
+    return releases.labels_of(s, path)
+
+
 def top_users(s, d):
     g = _scored(s, d).groupBy("key").agg(F.count("*").alias("n"), C.rounded(F.avg("score")).alias("mean_score"))
     best = g.orderBy(F.desc("mean_score"), "key").limit(10)
@@ -405,12 +418,15 @@ QUERIES = {
     "logistic_score": lambda s, d: _scored(s, d).select("seq", "key", "score"),
     "top_users": top_users,
     "causal_labels": _labels,
+    "released_events": released_events,
+    "released_labels": released_labels,
     "label_manifest": lambda s, d: labels.manifest(_labels(s, d)),
     "cohort_splits": _cohort,
     "evaluated_cohort": lambda s, d: labels.evaluated_only(_cohort(s, d)).select("seq", "split", "group_id", "label"),
     "split_summary": lambda s, d: labels.split_summary(_cohort(s, d)),
     "test_groups": lambda s, d: labels.group_counts(_cohort(s, d)),
     "ood_users": lambda s, d: _cohort(s, d).filter("split = 'ood'").groupBy("user_id").agg(F.count("*").alias("n")),
+    "fit_users": lambda s, d: labels.fit_users(_cohort(s, d)),
     "ood_overlaps": lambda s, d: labels.overlaps(_cohort(s, d)),
     "publish_exact_fresh": _publish(policies.Policy("exact_fresh")),
     "publish_cadence": _publish(CADENCE),

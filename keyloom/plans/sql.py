@@ -194,6 +194,12 @@ k AS (SELECT DISTINCT event_ts_ns, key, item_id, category_id, behavior FROM raw
 SELECT row_number() OVER (ORDER BY event_ts_ns, key, item_id, category_id,
   CASE behavior WHEN 'pv' THEN 0 WHEN 'fav' THEN 1 WHEN 'cart' THEN 2 ELSE 3 END) - 1 AS seq, event_ts_ns, key, item_id, category_id,
        CASE behavior WHEN 'pv' THEN 0 WHEN 'cart' THEN 1 WHEN 'fav' THEN 2 ELSE 3 END AS behavior_code FROM k"""),
+    "released_events": sql(RAW, r""",
+inside AS (SELECT *, behavior IS NOT NULL AS domain, event_ts_ns BETWEEN 1704067200000000000 AND 1706659199000000000 AS during FROM raw),
+k AS (SELECT event_ts_ns, key, item_id, category_id, behavior, count(*) AS copies FROM inside WHERE domain AND during GROUP BY ALL),
+told AS (SELECT (SELECT count(*) FROM raw) AS raw, (SELECT count(*) FROM inside WHERE domain AND NOT during) AS outliers, (SELECT CAST(sum(copies - 1) AS BIGINT) FROM k) AS duplicates)
+SELECT row_number() OVER (ORDER BY event_ts_ns, key, item_id, category_id, list_position(['pv', 'fav', 'cart', 'buy'], behavior)) - 1 AS seq,
+       event_ts_ns, key, item_id, category_id, list_position(['pv', 'cart', 'fav', 'buy'], behavior) - 1 AS behavior_code, told.* FROM k CROSS JOIN told"""),
     "exclusion_ledger": sql(RAW, r""",
 t AS (SELECT *,
   CASE WHEN behavior IS NULL THEN 'domain' WHEN event_ts_ns < 0 THEN 'negative' WHEN event_ts_ns < 1704067200000000000 THEN 'before' WHEN event_ts_ns > 1706659199000000000 THEN 'after' END AS reason
@@ -231,6 +237,8 @@ SELECT (SELECT count(*) - count(DISTINCT seq) FROM ev) AS duplicate_seq,
   count(*) FILTER (WHERE b > event_ts_ns) AS global_regressions FROM o"""),
     "key_budget": sql(RAW, " SELECT count(DISTINCT key) AS n_keys, count(DISTINCT key) <= 1000000 AS within_budget FROM ev"),
     "causal_labels": sql(LABELS, " SELECT * FROM labels_"),
+    "released_labels": sql(LABELS, " SELECT * FROM labels_"),
+    "fit_users": sql(SPLITS, " SELECT user_id, count(*) AS n FROM cohort WHERE split IN ('train', 'validation') GROUP BY user_id"),
     "label_manifest": sql(LABELS, " SELECT count(*) AS total, count(label) AS evaluated, CAST(sum(censored) AS BIGINT) AS censored, "
         "count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative, "
         "count(positive_witness_seq) AS witnesses, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) / count(label) AS positive_rate"

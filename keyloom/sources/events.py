@@ -131,17 +131,21 @@ def read_table_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     return cells.select(c.alias("c")).select(*[F.col("c")[i].alias(n) for i, n in enumerate(columns)])
 
 
-def read_raw_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, max_rows: int | None = None, placed: bool = False) -> DataFrame:
     """Raw behaviour file without a header. A row of wrong width, with an empty or negative or non-numeric field or an
-    unknown behaviour fails the job. With ``max_rows`` only the first so many lines, in order of arrival, are read."""
-    found = spark.read.text(path) if max_rows is None else first(placed_lines(spark, path), ["file", "block", "line"], max_rows)
-    rows = found.select(F.split("value", ",", -1).alias("c"))
+    unknown behaviour fails the job. With ``max_rows`` only the first so many lines, in order of arrival, are read; ``placed`` adds
+    where each stood (file, block, line)."""
+    place = ["file", "block", "line"] if placed else []
+    found = placed_lines(spark, path) if placed or max_rows is not None else spark.read.text(path)
+    if max_rows is not None:
+        found = first(found, ["file", "block", "line"], max_rows)
+    rows = found.select(F.split("value", ",", -1).alias("c"), *place)
     bad = F.lit("malformed raw event row")
     names = [f.name for f in RAW]
-    out = rows.select(F.when(F.size("c") == 5, F.col("c")).otherwise(F.raise_error(bad).cast("array<string>")).alias("c")).select(*[F.col("c")[i].alias(n) for i, n in enumerate(names)])
+    out = rows.select(F.when(F.size("c") == 5, F.col("c")).otherwise(F.raise_error(bad).cast("array<string>")).alias("c"), *place).select(*[F.col("c")[i].alias(n) for i, n in enumerate(names)], *place)
     number = lambda n: F.coalesce(digits_only(F.col(n)), F.when(F.col(n).rlike("^-[0-9]+$") & F.lit(n == "timestamp_s"), F.col(n).try_cast("bigint")), F.raise_error(bad).cast("long")).alias(n)
     code = F.coalesce(behaviour_code(F.col("behavior")), F.raise_error(bad).cast("int"))
-    return out.select(*[number(n) for n in ("user_id", "item_id", "category_id")], F.when(code.isNotNull(), F.col("behavior")).alias("behavior"), number("timestamp_s"))
+    return out.select(*[number(n) for n in ("user_id", "item_id", "category_id")], F.when(code.isNotNull(), F.col("behavior")).alias("behavior"), number("timestamp_s"), *place)
 
 
 def read_queries_csv(spark: SparkSession, path: str) -> DataFrame:
