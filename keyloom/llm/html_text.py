@@ -72,6 +72,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     sib = np.zeros(n)
     place = np.arange(n) - np.searchsorted(np.where(root, n, parent)[order], np.where(root, n, parent)[order])
     sib[order] = place
+    sib[first] = 0  # a page is not told by its place among the pages
     left, right = np.zeros(n), np.zeros(n)
     a, b = order[:-1], order[1:]
     same = (parent[a] == parent[b]) & ~root[a] & ~root[b]
