@@ -17,7 +17,12 @@ from keyloom.sources.events import EVENT, LogisticModel
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "seq long, event_ts_ns long, key long, behavior_code int, " + ", ".join(f"{x} double" for x in FEATURES) + ", score double, published boolean, version_id long, pending long, n long"
-STATE = "engagement double, gap double, pv long, cart_fav long, buy long, n long, last_seq long, last_ns long, version long, pending long, public_ns long"
+HELD = "engagement double, gap double, pv long, cart_fav long, buy long, n long, last_seq long, last_ns long, version long, pending long, public_ns long"
+#: Keys are held in so many buckets by hash, each with one array a field. A checkpoint is of this number, so it is fixed.
+BUCKETS = 1024
+STATE = ", ".join(f"{name} array<{kind}>" for name, kind in (field.split() for field in f"key long, {HELD}".split(", ")))
+#: Rows that a bucket gives at a time.
+ROWS = 1 << 16
 EMPTY = (0.0, 0.0, 0, 0, 0, 0, -1, 0, 0, 0, 0)
 
 
@@ -34,9 +39,9 @@ def decide(policy: Policy, version: int, pending: int, since_ns: int, pressure:
 
 
 class KeyedFeatures(StatefulProcessor):
-    """State of one key. Rows of a micro-batch are put in order of seq first (a key's share of one micro-batch is in memory, which
-    the number of files a micro-batch takes bounds); a row that is not after the last one seen fails the query: there is no late
-    data, only disorder."""
+    """State of the keys of one bucket, so that what a call costs is shared by many keys. Rows of a micro-batch are put in order of seq
+    first (a bucket's share of one micro-batch and the states of its keys are in memory; the number of files a micro-batch takes bounds the
+    first); a row that is not after the last one seen of its key fails the query: there is no late data, only disorder."""
 
     def __init__(self, alpha: float, model: LogisticModel, policy: Policy):
         self.alpha, self.model, self.policy = alpha, model, policy
@@ -44,14 +49,18 @@ class KeyedFeatures(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, bucket, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("seq")
-        s, g, pv, cf, buy, n, seq0, ns0, version, pending, public = self.state.get() if self.state.exists() else EMPTY
+        if new["key"].isna().any():
+            raise ValueError("phase features: an event without a key")
+        held = self.state.get()
+        states = {} if held is None else dict(zip(held[0], zip(*held[1:], strict=True), strict=True))
         out = []
         pressures = new["pressure"].tolist() if "pressure" in new else [None] * len(new)
-        for seq, ns, code, pressure in zip(new["seq"].tolist(), new["event_ts_ns"].tolist(), new["behavior_code"].tolist(), pressures, strict=True):
+        for key, seq, ns, code, pressure in zip(new["key"].tolist(), new["seq"].tolist(), new["event_ts_ns"].tolist(), new["behavior_code"].tolist(), pressures, strict=True):
+            s, g, pv, cf, buy, n, seq0, ns0, version, pending, public = states.get(key, EMPTY)
             if n and (seq <= seq0 or ns < ns0):
-                raise ValueError(f"phase features: event {seq} of key {key[0]} is out of order")
+                raise ValueError(f"phase features: event {seq} of key {key} is out of order")
             gap = (ns - ns0) / 1e9 if n else 0.0
             s += self.alpha * (WEIGHTS[code] - s)
             g += self.alpha * (gap - g)
@@ -65,21 +74,31 @@ class KeyedFeatures(StatefulProcessor):
             score = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
             hit = decide(self.policy, version, pending, ns - public, pressure)
             version, pending, public = (version + 1, 0, ns) if hit else (version, pending + 1, public)
-            out.append((seq, ns, int(key[0]), code, *x, score, hit, version, pending, n))
-            seq0, ns0 = seq, ns
-        self.state.update((s, g, pv, cf, buy, n, seq0, ns0, version, pending, public))
-        yield pd.DataFrame(out, columns=["seq", "event_ts_ns", "key", "behavior_code", *FEATURES, "score", "published", "version_id", "pending", "n"])
+            out.append((seq, ns, key, code, *x, score, hit, version, pending, n))
+            states[key] = s, g, pv, cf, buy, n, seq, ns, version, pending, public
+            if len(out) == ROWS:
+                yield _given(out)
+                out = []
+        if out:
+            yield _given(out)
+        self.state.update((list(states), *map(list, zip(*states.values(), strict=True))))
 
     def close(self) -> None:
         pass
 
 
+def _given(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["seq", "event_ts_ns", "key", "behavior_code", *FEATURES, "score", "published", "version_id", "pending", "n"])
+
+
 def feature_stream(events: DataFrame, model: LogisticModel, alpha: float = 0.1, policy: Policy | None = None) -> DataFrame:
     """A stream of canonical events (for the adaptive policy with ``pressure``) to a stream of features, scores and publications."""
     policy = policy or Policy("exact_fresh")
     if policy.kind == "quota" or policy.kind == "adaptive" and "pressure" not in events.columns:
         raise ValueError("a stream has no quota, and an adaptive one needs a pressure")
-    return events.groupBy("key").transformWithStateInPandas(KeyedFeatures(alpha, model, policy), OUT, "Append", "None")
+    read = ["key", "seq", "event_ts_ns", "behavior_code", *(["pressure"] if policy.kind == "adaptive" else [])]
+    dealt = events.select(F.pmod(F.hash("key"), F.lit(BUCKETS)).alias("bucket"), *read)
+    return dealt.groupBy("bucket").transformWithStateInPandas(KeyedFeatures(alpha, model, policy), OUT, "Append", "None")
 
 
 def observed(stream: DataFrame) -> DataFrame:

@@ -85,7 +85,8 @@ def public(spark: SparkSession, path: str) -> DataFrame:
 
 def key_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """key and the state that the stream keeps of it after its last micro-batch."""
-    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "state").load().select("key.key", "value.*")
+    buckets = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "state").load().select("value.*")
+    return buckets.select(F.inline(F.arrays_zip(*buckets.columns)))
 
 
 def _put(path: str, max_keys: int | None):

@@ -50,6 +50,24 @@ def test_receipts(spark, tmp_path):
     assert [nothing[s] for s in run.STAGES] == [0] * 4 and nothing["keys"] in (0, 5)
 
 
+def test_keys_share_buckets(spark, tmp_path):
+    """More keys than buckets: a call of the stream and a row of its state are of a bucket and not of a key; rows and states are those of a batch."""
+    base, n = tmp_path.as_uri(), 3 * engine.BUCKETS
+    rows = [(i, i * 1_000_000_000, i * 7919 % n, i, 1, i % 4) for i in range(2 * n)]
+    for k in range(2):
+        put(spark, base, rows[k * n : k * n + n])
+    assert go(spark, base, max_keys=n)["keys"] == n
+    held = spark.read.format("statestore").option("path", f"{base}/check").option("stateVarName", "state").load()
+    assert held.count() <= engine.BUCKETS
+    batch = policies.publish(features.vector(spark.createDataFrame(rows, src.EVENT)), CADENCE)
+    seen = run.public(spark, f"{base}/out").select("seq", "key", *FEATURES, "published", "version_id", "pending")
+    assert seen.exceptAll(batch.select(*seen.columns)).isEmpty() and seen.count() == 2 * n
+    states = run.key_state(spark, f"{base}/check")
+    assert states.columns == ["key", *(f.split()[0] for f in engine.HELD.split(", "))]
+    last = batch.filter(f"seq >= {n}").selectExpr("key", "x0 engagement", "x6 gap", "version_id version", "pending", "seq last_seq")
+    assert states.select(*last.columns).exceptAll(last).isEmpty() and states.count() == n
+
+
 def failing(spark, tmp_path, phase, **more):
     with pytest.raises(run.RunFailed) as e:
         go(spark, tmp_path.as_uri(), str(tmp_path / "report"), **more)
