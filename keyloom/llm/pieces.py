@@ -7,8 +7,9 @@ last token: the piece that ends there, is its own encoding, and is compatible wi
 it. An automaton over all pieces finds those that end at each place, a remembered test of pairs picks the one, and the
 ids are recovered from the end backwards. The time grows with the length of the text, whatever it holds.
 
-No piece has a space mark after another character (checked when a model is read), and some characters are in no piece;
-no merge crosses such places, so a text is cut there, and what is between is encoded once and remembered, up to a bound.
+No piece has a space mark after another character, or a letter beside a character that is none (both checked when a model is
+read), and some characters are in no piece; no merge crosses such places, so a text is cut there, and what is between is encoded
+once and remembered, up to a bound. A pair is tested by taking its merges back from the last one; nothing is merged for it.
 
 Null and empty texts have no ids and decode to the empty string. Bytes that are no UTF-8 count as U+FFFD. A null list of
 ids decodes to the empty string, a null id or one beyond the table is an error. Texts of any length are taken whole. Rows
@@ -17,8 +18,10 @@ that repeat are rows; an empty table gives none; a column named like the one tha
 
 from __future__ import annotations
 
+import math
 import re
 import struct
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -96,17 +99,27 @@ class Pieces:
             if k == BYTE:
                 self.bytes[int(t[3:5], 16)] = i
         known = sorted(set("".join(self.scores)) - {MARK})
-        inner = "".join(map(re.escape, known))
         apart = not any(MARK in t.lstrip(MARK) for t in self.scores)
-        self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{inner}{MARK}]" if apart and known else "(?s:.+)")
+        # Letters and other characters are cut apart if no piece has one beside the other.
+        neighbours = {pair for t in self.scores for pair in zip(t, t[1:], strict=False) if MARK not in pair}
+        mixed = any(x.isalpha() != y.isalpha() for x, y in neighbours)
+        kinds = [known] if mixed else [[c for c in known if c.isalpha()], [c for c in known if not c.isalpha()]]
+        classes = ["".join(map(re.escape, kind)) for kind in kinds if kind]
+        spans = "".join(f"{MARK}*[{kind}]+|" for kind in classes)
+        self.cut = re.compile(f"{spans}{MARK}+|[^{''.join(classes)}{MARK}]" if apart and known else "(?s:.+)")
         self._automaton = None
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._halves: dict[str, tuple[str, str]] = {}
+        self._ordered: set[str] = set()
+        #: Of a token, those it was tested with on its right, and whether both stay; and how many pairs these are.
+        self._after: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self._pairs = 0
         self.runs = _Runs(self)
 
-    def merged(self, s: str) -> list[str]:
-        """The merges as defined: the best score first, of equals the one furthest left. For short texts; all else is tested by it."""
+    def merged(self, s: str, least: int = 1) -> list[str]:
+        """The merges as defined: the best score first, of equals the one furthest left; no more once ``least`` parts are left. For short
+        texts; all else is tested by it."""
         parts = list(s)
-        while len(parts) > 1:
+        while len(parts) > least:
             best, where = None, -1
             for i, pair in enumerate(map(str.__add__, parts, parts[1:])):
                 score = self.scores.get(pair)
@@ -125,35 +138,74 @@ class Pieces:
 
             made = ahocorasick.Automaton()
             for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)):
-                if k == NORMAL and (len(t) == 1 or self.merged(t) == [t]):
+                if k != NORMAL:
+                    continue
+                halves = self.merged(t, 2)
+                if len(halves) == 2:
+                    self._halves[t] = halves[0], halves[1]
+                if len(halves) <= 2:
                     made.add_word(t, (i, len(t)))
             made.make_automaton()
             self._automaton = made
+            # Pieces that score as no other does and less than both of their halves, which are such too: their merges come in order of scores.
+            uses = Counter(self.scores.values())
+            for t in sorted(self._halves, key=len):
+                if uses[self.scores[t]] == 1 and all(len(h) == 1 or h in self._ordered and self.scores[h] > self.scores[t] for h in self._halves[t]):
+                    self._ordered.add(t)
         return self._automaton
 
+    def stay(self, a: str, b: str) -> bool:
+        """Whether two texts that are each one token stay so together. Where merges come in order of scores, they are taken back from the last
+        one, and what then lies at the boundary must have no merge that would have come first; of one piece, that is the one further
+        left. The automaton has to be made."""
+        scores, halves = self.scores, self._halves
+        if len(a) > 1 and a not in self._ordered or len(b) > 1 and b not in self._ordered:
+            return self.merged(a + b) == [a, b]
+        limit, at_right = -math.inf, False
+        while True:
+            score = scores.get(a + b)
+            if score is not None and (score > limit or at_right and score == limit):
+                return False
+            left, right = halves.get(a), halves.get(b)
+            if left is None and right is None:
+                return True
+            if right is None or left is not None and scores[a] < scores[b]:
+                limit, at_right, a = scores[a], False, left[1]
+            else:
+                limit, at_right, b = scores[b], True, right[0]
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether both stay as they are when they are encoded together. A character in no piece is ~ its code point."""
-        key = left, right
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            a, b = (self.text[t] if t >= 0 else chr(~t) for t in key)
-            found = self._pairs[key] = self.merged(a + b) == [a, b]
+        """Whether both stay as they are when they are encoded together. A character in no piece is ~ its code point. Remembered."""
+        if self._pairs >= PAIRS:
+            for after in self._after.values():  # a run that is under way holds some of them
+                after.clear()
+            self._pairs = 0
+        self._pairs += 1
+        found = self._after[left][right] = self.stay(self.text[left] if left >= 0 else chr(~left), self.text[right])
         return found
 
     def run_ids(self, s: str) -> tuple[int, ...]:
         """Ids of a text between cuts, in which spaces are marks."""
-        n, last, at = len(s), [None] * (len(s) + 1), 1
+        n, last, at, every = len(s), [None] * (len(s) + 1), 1, self._after
+        after = last.copy()  # of the last token there
         if self.automaton:
             for end, (piece, size) in self.automaton.iter(s):
                 end += 1
                 while at < end:  # no piece ends there, or it is one the text cannot be cut into: the character stands alone
                     if last[at] is None:
                         last[at] = ~ord(s[at - 1])
+                        after[at] = every[last[at]]
                     at += 1
-                if last[end] is None and (size == end or self.compatible(last[end - size], piece)):
+                if last[end] is None:
+                    if size < end:
+                        begin = end - size
+                        stay = after[begin].get(piece)
+                        if stay is None:
+                            stay = self.compatible(last[begin], piece)
+                        if not stay:
+                            continue
                     last[end] = piece
+                    after[end] = every[piece]
         while at <= n:
             if last[at] is None:
                 last[at] = ~ord(s[at - 1])

@@ -146,6 +146,42 @@ def test_the_table_of_prefixes_is_the_merges(model):
         assert [made.text[i] for i in made.run_ids(s)] == [x for part in made.merged(s) for x in ([part] if part in made.scores else [f"<0x{b:02X}>" for b in part.encode()])]
 
 
+def test_pairs_are_tested_without_merging(model, monkeypatch):
+    """What is said of two tokens is what their merges say, also of one piece twice and of pieces cut in two elsewhere; nothing is merged for it."""
+    with open(model, "rb") as f:
+        made = pieces.Pieces(f.read())
+    r = random.Random(8)
+    own = [t for t in made.scores if made.automaton.get(t, None)]
+    set_of_own = set(own)
+    short, marks = [t for t in own if len(t) <= 3], [t for t in own if not t.strip(pieces.MARK)]
+    pairs = [(r.choice(x), r.choice(x)) for x in (own, short) for _ in range(3000)] + [(t, t) for t in r.sample(own, 500)] + [(a, b) for a in marks for b in marks]
+    pairs += [(t[:k], t[k:]) for t in r.sample(own, 1500) for k in range(1, len(t)) if {t[:k], t[k:]} <= set_of_own]
+    due = [made.merged(a + b) == [a, b] for a, b in pairs]
+    assert {True, False} == set(due) and [made.stay(a, b) for a, b in pairs] == due
+    monkeypatch.setattr(made, "merged", None)
+    plain = [(a, b) for a, b in pairs if pieces.MARK * 2 not in a + b]
+    assert len(plain) > 5000
+    for a, b in plain:
+        made.stay(a, b)
+
+
+def test_letters_are_cut_from_what_stands_beside_them(model, library):
+    with open(model, "rb") as f:
+        made = pieces.Pieces(f.read())
+    assert made.cut.findall("▁sur.***▁▁(a1)▁▁b🜚") == ["▁sur", ".***", "▁▁(", "a", "1)", "▁▁b", "🜚"]
+    for text in ("sur.***  (a1)  b🜚", "l'été.Et...x", "a_b-c/d\\e]^f", "日本。語1"):
+        assert made.ids(text) == library.encode(text)
+
+
+def test_few_remembered_pairs(model, library, monkeypatch, odd):
+    monkeypatch.setattr(pieces, "PAIRS", 5)
+    with open(model, "rb") as f:
+        made = pieces.Pieces(f.read())
+    for text in odd[:150]:
+        assert made.ids(text) == library.encode(text)
+        assert sum(map(len, made._after.values())) <= 5
+
+
 def test_a_model_of_another_kind_is_refused():
     with pytest.raises(ValueError, match="no BPE"):
         pieces.Pieces(b"")
