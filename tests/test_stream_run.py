@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,41 @@ def test_keys_share_buckets(spark, tmp_path):
     assert states.select(*last.columns).exceptAll(last).isEmpty() and states.count() == n
 
 
+class Held:
+    """A bucket's state without a store."""
+
+    value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_bucket_in_parts(spark, monkeypatch):
+    """Keys of one bucket, one of them hot, over two micro-batches that come and go in parts: rows are those of a batch, in bounded frames; a
+    key's disorder and an event without a key are errors."""
+    monkeypatch.setattr(engine, "ROWS", 40)
+    r = random.Random(3)
+    rows = [(i, i * 1_000_000_000, r.choice([7, 7, 7, 2**60, 0, 3]), i, 1, r.randrange(4)) for i in range(400)]
+    columns = [f.split()[0] for f in src.EVENT.split(", ")]
+    made = engine.KeyedFeatures(features.ALPHA, MODEL, CADENCE)
+    made.state, out = Held(), []
+    for part in (rows[:200], rows[200:]):
+        r.shuffle(part)
+        out += made.handleInputRows((0,), iter([pd.DataFrame(part[a : a + 50], columns=columns) for a in range(0, 200, 50)]), None)
+    assert [len(x) for x in out] == [40] * 10
+    got = {x["seq"]: x for x in pd.concat(out).to_dict("records")}
+    due = {x["seq"]: x for x in policies.publish(features.vector(spark.createDataFrame(rows, src.EVENT)), CADENCE).collect()}
+    names = ["key", "event_ts_ns", *FEATURES, "published", "version_id", "pending"]
+    assert {k: [x[n] for n in names] for k, x in got.items()} == {k: [x[n] for n in names] for k, x in due.items()}
+    assert sorted(made.state.value[0]) == [0, 3, 7, 2**60]
+    for wrong, told in (([rows[0]], "out of order"), ([(500, 10**15, None, 1, 1, 0)], "without a key")):
+        with pytest.raises(ValueError, match=told):
+            list(made.handleInputRows((0,), iter([pd.DataFrame(wrong, columns=columns)]), None))
+
+
 def failing(spark, tmp_path, phase, **more):
     with pytest.raises(run.RunFailed) as e:
         go(spark, tmp_path.as_uri(), str(tmp_path / "report"), **more)
